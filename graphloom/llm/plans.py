@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm import format_duplicates, frequency
+from graphloom.llm import canonical, format_duplicates, frequency
 from graphloom.tables import table
 
 
@@ -43,7 +43,27 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.collapse(table(spark, d, "graph_jsonl"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records)}
+def _typed_rows(spark: SparkSession, d: str) -> DataFrame:
+    both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("id", "type")])
+    return table(spark, d, "graph_nodes").select("node_row_id", F.explode(both).alias("x")).select("node_row_id", "x.field", "x.value")
+
+
+def _generated() -> Column:
+    """Ids that programs made: documents, images, sections."""
+    return (F.col("field") == "id") & F.col("value").rlike(r"^img_\w+_\d+_\d+$|^\w+_raw_with_image_ids_with_captions$|^\w+::section::")
+
+
+def p5_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every freely typed id and type with the registry entry it means and the score."""
+    return canonical.map_rows(_typed_rows(spark, d), "node_row_id", table(spark, d, "entity_registry"), _generated())
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every freely typed id and type with the registry entry it means, or -1."""
+    return p5_mapped(spark, d).select("node_row_id", "field", "ref_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped)}
 _TYPES = """with t as (
   select 'nodes.type' as field, type as term, graph_doc_id from graph_nodes where type is not null
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),
