@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm import canonical, format_duplicates, frequency, mojibake
+from graphloom.llm import canonical, format_duplicates, frequency, mojibake, scans
 from graphloom.tables import table
 
 
@@ -63,6 +63,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_mapped(spark, d).select("node_row_id", "field", "ref_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of chunks with page furniture, split words or misread words."""
+    return scans.line_kinds(table(spark, d, "chunks"))
+
+
+def p7_mended(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk as continuous paragraphs."""
+    return scans.mended(table(spark, d, "chunks"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which at least a part was decoded wrongly."""
     return mojibake.affected(table(spark, d, "documents"))
@@ -73,7 +83,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p10_found, p10_restored)}
 _TYPES = """with t as (
   select 'nodes.type' as field, type as term, graph_doc_id from graph_nodes where type is not null
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),
