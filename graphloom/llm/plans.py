@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm import canonical, format_duplicates, frequency, mojibake, scans
+from graphloom.llm import canonical, format_duplicates, frequency, mixture, mojibake, packing, scans, sizes
 from graphloom.tables import table
 
 
@@ -73,6 +73,35 @@ def p7_mended(spark: SparkSession, d: str) -> DataFrame:
     return scans.mended(table(spark, d, "chunks"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(sizes.token_sizes(table(spark, d, "documents")), "doc_id", table(spark, d, "containers"))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one that exceeds the capacity, in its container, for each capacity."""
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_report(_packed(spark, d), table(spark, d, "containers"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sized = sizes.token_sizes(table(spark, d, "documents"), keep=["source", "lang", "paper"]).withColumnRenamed("paper", "topic")
+    return mixture.mix(sized, table(spark, d, "mixture_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their number of uses."""
+    return _mixed(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source reached against its target."""
+    return mixture.share_report(_mixed(spark, d), table(spark, d, "mixture_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which at least a part was decoded wrongly."""
     return mojibake.affected(table(spark, d, "documents"))
@@ -83,7 +112,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored)}
 _TYPES = """with t as (
   select 'nodes.type' as field, type as term, graph_doc_id from graph_nodes where type is not null
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),
