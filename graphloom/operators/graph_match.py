@@ -50,8 +50,9 @@ def direct_edges(edge_table: DataFrame, pair: DataFrame, limit: int = 20) -> Dat
 
 def split_pointer(doc: Column) -> tuple[Column, Column]:
     """(file, chunk id) of ``<file>.jsonl::<chunk id>``, split at the first mark; null where it is another form."""
-    file, rest = F.substring_index(doc, "::", 1), F.expr(f"substring({doc._jc.toString()}, instr({doc._jc.toString()}, '::') + 2)")
-    ok = (F.instr(doc, "::") > 0) & file.endswith(".jsonl") & (rest != "")
+    parts = F.split(doc, "::", 2)
+    file, rest = F.get(parts, 0), F.get(parts, 1)
+    ok = file.endswith(".jsonl") & (rest != "")
     return F.when(ok, file), F.when(ok, rest)
 
 
@@ -71,7 +72,7 @@ def neighbourhood(edge_table: DataFrame, centre: DataFrame, limit: int = 25) ->
     there = edge_table.select(F.col("src").alias("id"), "rel", F.col("dst").alias("neighbour"), F.col("dst_type").alias("neighbour_type"))
     back = edge_table.where("src <> dst").select(F.col("dst").alias("id"), "rel", F.col("src").alias("neighbour"), F.col("src_type").alias("neighbour_type"))
     found = there.unionByName(back).join(F.broadcast(centre), "id").select("rel", "neighbour", "neighbour_type").distinct()
-    return found.orderBy("rel", "neighbour", F.coalesce("neighbour_type", F.lit(""))).limit(limit)
+    return found.orderBy(F.coalesce("rel", F.lit("")), "neighbour", F.coalesce("neighbour_type", F.lit(""))).limit(limit)
 
 
 def subgraph_edges(edge_table: DataFrame, names: DataFrame, limit: int = 200) -> DataFrame:
@@ -166,11 +167,9 @@ def connected_components(node_ids: DataFrame, edge_table: DataFrame, max_rounds:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = links.groupBy("u").agg(F.min("v").alias("m"))
         large = materialize(large.where("u <> v").distinct(), f"cc-large-{round_}")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
-        del own
         links = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"cc-{round_}")
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
