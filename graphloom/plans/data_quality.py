@@ -109,3 +109,39 @@ def p6_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_nodes_wide, p1_sources_wide, p2_found, p2_metadata, p2_nodes, p2_relationships, p2_documents, p2_objects, p6_found, p6_orphans_by_month)}
+
+_ITEMS = r"""with k as (select owner_kind, meta_key, value_type, lower(regexp_replace(meta_key, '[^\p{L}\p{N}]', '', 'g')) as n from metadata_keys),
+raw as (select owner_kind, owner_id, item_id, recorded_at, meta_value, lower(regexp_replace(meta_key, '[^\p{L}\p{N}]', '', 'g')) as n from metadata_items where meta_key is not null and owner_id is not null),
+m as (select raw.*, k.meta_key as attribute, k.value_type, case when raw.n = k.n then 0 else 1 end as d from raw join k on raw.owner_kind = k.owner_kind
+  and (raw.n = k.n or (length(raw.n) >= 3 and length(k.n) >= 4 and damerau_levenshtein(raw.n, k.n) = 1))),
+b as (select *, count(*) over (partition by item_id, d) as same, min(d) over (partition by item_id) as best from m),
+i as (select * exclude (meta_value), regexp_replace(meta_value, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as v, meta_value from b where d = best and (d = 0 or same = 1)),
+r as (select owner_kind, owner_id, attribute, case value_type
+  when 'string' then length(v) > 0
+  when 'boolean' then lower(v) in ('true', 't', 'yes', 'y', '1', 'on', 'false', 'f', 'no', 'n', '0', 'off')
+  when 'int' then try_cast(case when regexp_matches(v, '^[+-]?\d{1,3}([, _'']\d{3})+(\.0*)?$') then regexp_replace(v, '[, _'']', '', 'g')
+     when regexp_matches(v, '^[+-]?\d+\.?$|^[+-]?\d+\.\d+$|^[+-]?\d+(\.\d+)?[eE][+-]?\d{1,2}$') then v end as double) % 1 = 0
+  when 'double' then regexp_matches(v, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*%?$|^[+-]?\d+,\d+\s*%?$|^[+-]?\d{1,3}(,\d{3})+\.\d+\s*%?$|^[+-]?\d{1,3}(\.\d{3})+,\d+\s*%?$')
+  when 'date' then coalesce(case when regexp_matches(v, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$') then try_strptime(v[1:10], '%Y-%m-%d') end,
+     case when regexp_matches(v, '^\d{8}$') then try_strptime(v, '%Y%m%d') end,
+     try_strptime(v, ['%Y-%m-%d', '%Y/%m/%d', '%Y.%m.%d', '%d.%m.%Y', '%d %b %Y', '%d %B %Y', '%b %d, %Y', '%B %d, %Y'])) is not null
+  end as ok from i)
+"""
+
+_REFS = r"""with ends as (select 'graph_relationships' as table_name, rel_id as row_id, 'source.id' as field, 'node:' || source.id as key, source.id as raw, extracted_at as t from graph_relationships
+  union all select 'graph_relationships', rel_id, 'target.id', 'node:' || target.id, target.id, extracted_at from graph_relationships
+  union all select 'graph_sources', graph_doc_id, 'source_id', case when source_id like '%::images' then 'file:' || left(source_id, length(source_id) - 8) else 'chunk:' || string_split(source_id, '::')[-1] end,
+    case when source_id = 'unknown' or source_id like '%::images' then source_id else string_split(source_id, '::')[-1] end, extracted_at from graph_sources),
+refs as (select * from ends where raw is not null and length(regexp_replace(raw, '[\s\p{Z}]+', '', 'g')) > 0 and raw <> 'unknown'),
+targets as (select 'node:' || id as key, first_seen_at as a, deleted_at as z from graph_nodes where id is not null
+  union all select 'chunk:' || id, created_at, deleted_at from chunks where id is not null union all select 'file:' || metadata.source, created_at, deleted_at from chunks where metadata.source is not null),
+j as (select table_name, row_id, field, r.t, count(g.key) as rows, coalesce(bool_or(a <= r.t and (z is null or z > r.t)), false) as valid, coalesce(bool_or(a > r.t and (z is null or z > a)), false) as later
+  from refs r left join targets g on r.key = g.key group by all),
+s as (select table_name, row_id, field, t, case when rows = 0 then 'missing' when later then 'late' else 'deleted' end as state from j where not valid)
+"""
+
+ORACLES = {
+    "p1_found": _ITEMS + "select owner_kind, owner_id, attribute as meta_key, case when bool_or(ok) then 'filled' else 'unreadable' end as state from r group by 1, 2, 3",
+    "p6_found": _REFS + "select table_name, row_id, field, state from s",
+    "p6_orphans_by_month": _REFS + "select table_name, field, strftime(t, '%Y-%m') as month, state, count(*) as orphans from s group by all",
+}
