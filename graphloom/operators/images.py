@@ -30,7 +30,7 @@ def image_refs(documents: DataFrame, key: str, text: str) -> DataFrame:
 def snippet(image_id: F.Column, path: F.Column, page: F.Column, section: F.Column) -> F.Column:
     """The metadata block of one image as text (fenced JSON without the outer braces)."""
     return F.concat(
-        F.lit('```json\n"'), image_id, F.lit('": {\n  "path": "'), path, F.lit('",\n  "page": '), page.cast("string"), F.lit(',\n  "section": "'), F.coalesce(section, F.lit("None")), F.lit('"\n},\n```')
+        F.lit('```json\n"'), image_id, F.lit('": {\n  "path": "'), path, F.lit('",\n  "page": '), page.cast("string"), F.lit(',\n  "section": "'), F.coalesce(section, F.lit("None")), F.lit('",\n}\n```')
     )
 
 
@@ -42,7 +42,7 @@ def assign_ids(documents: DataFrame, key: str, text: str, stem: F.Column, paper:
     page = lambda p: F.coalesce(fn.image_name_parts(p)[1], fn.page_from_filename(p), F.lit(0))
     blocks = F.transform(paths, lambda p: snippet(fn.image_id(p, F.col("_stem"), paper), p, page(p), F.col("section")))
     rest = F.regexp_replace("line", IMAGE_REF, "")
-    kept = F.when(F.size(paths) == 0, F.array("line")).when(fn.strip(rest) == "", blocks).otherwise(F.concat(F.array(rest), blocks))
+    kept = F.when(F.size(paths) == 0, F.array("line")).otherwise(F.concat(F.array(rest), blocks))
     return ln.join_lines(rows.withColumn("_out", F.array_join(kept, "\n")), key, F.col("_out"))
 
 
