@@ -36,7 +36,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_i
         blocks = -(-total // QUERY_BLOCK) or 1
         mine = held.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).orderBy("q").collect()
         ids = np.array([r.q for r in mine], dtype=np.int64)
-        matrix = np.array([r.e for r in mine], dtype=np.float64).reshape(len(mine), -1)
+        matrix = np.array([r.e for r in mine], dtype=np.float64) if mine else np.zeros((0, 1))
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True) if len(mine) else np.ones((0, 1))
         shared = spark.sparkContext.broadcast((ids, matrix / np.where(lengths > 0, lengths, 1)))
 
