@@ -115,7 +115,7 @@ def sequence_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, restored) of the garbled sequences of a text; neighbours make one span.
 
     A weak sequence counts if another follows it, or if the text has stronger ones (drawing
-    characters: if it is part of a word).
+    characters: if it is part of a word or makes a word of its own).
     """
     if text.isascii():
         return []
@@ -132,7 +132,7 @@ def sequence_spans(text: str) -> list[tuple[int, int, str]]:
     strong = any(not weak and not all("─" <= c <= "╿" for c in text[a:b]) for a, b, _, weak in runs)
     for a, b, restored, weak in runs:
         if all("─" <= c <= "╿" for c in text[a:b]):
-            if _beside_letter(text, a, b):
+            if _beside_letter(text, a, b) or (len(restored) > 1 and restored.isalpha()):
                 kept.append((a, b, restored))
         elif strong or not weak:
             kept.append((a, b, restored))
