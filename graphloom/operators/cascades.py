@@ -45,6 +45,21 @@ def chunk_pointers(chunks: DataFrame, pointers: DataFrame, chunk_id: str = "id",
     return found
 
 
+def shared_pointers(edge_table: DataFrame, inside: DataFrame) -> DataFrame:
+    """(src, rel, dst, doc): every pointer that mentions both ends of an edge.
+
+    inside: distinct (doc, id). Each edge looks up the pointers of its end with the fewer mentions and
+    checks the other end by (doc, id); so a hub's pointers are never multiplied by its edges.
+    """
+    count = inside.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    e = edge_table.select("src", "rel", "dst").distinct()
+    e = e.join(count.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src").join(count.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst")
+    by_source = F.col("ns") <= F.col("nd")
+    asked = e.select("src", "rel", "dst", F.when(by_source, F.col("src")).otherwise(F.col("dst")).alias("few"), F.when(by_source, F.col("dst")).otherwise(F.col("src")).alias("many"))
+    looked = asked.join(inside.withColumnRenamed("id", "few"), "few")
+    return looked.join(inside.withColumnRenamed("id", "many"), ["doc", "many"]).select("src", "rel", "dst", "doc")
+
+
 def entities_for_chunks(chunks: DataFrame, mention_table: DataFrame) -> DataFrame:
     """(chunk_id, id, type, rule): entities of each chunk through the pointers that name it."""
     linked = chunk_pointers(chunks, mention_table.select("doc"))
@@ -52,16 +67,10 @@ def entities_for_chunks(chunks: DataFrame, mention_table: DataFrame) -> DataFram
 
 
 def relations_for_chunks(chunks: DataFrame, mention_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """(chunk_id, src, rel, dst, rule): relations both of whose ends a chunk's pointer mentions.
-
-    Both ends are bound to the same pointer by an equi-join on (pointer, end).
-    """
+    """(chunk_id, src, rel, dst, rule): relations both of whose ends a chunk's pointer mentions."""
     linked = chunk_pointers(chunks, mention_table.select("doc"))
-    inside = mention_table.select("doc", "id").distinct().join(linked, "doc")
-    plain = edge_table.select("src", "rel", "dst").distinct()
-    s = inside.select("doc", "chunk_id", "rule", F.col("id").alias("src"))
-    t = inside.select("doc", "chunk_id", F.col("id").alias("dst"))
-    return plain.join(s, "src").join(t, ["doc", "chunk_id", "dst"]).select("chunk_id", "src", "rel", "dst", "rule").distinct()
+    inside = mention_table.select("doc", "id").distinct().join(linked.select("doc").distinct(), "doc", "left_semi")
+    return shared_pointers(edge_table, inside).join(linked, "doc").select("chunk_id", "src", "rel", "dst", "rule").distinct()
 
 
 def node_source_chunk(node_table: DataFrame, mention_table: DataFrame, chunks: DataFrame, chunk_id: str = "id", content: str = "content", order: list[str] | None = None) -> DataFrame:
@@ -78,13 +87,12 @@ def relation_source(edge_table: DataFrame, mention_table: DataFrame) -> DataFram
     """(src, rel, dst, doc, rule): the pointer of each relation: one that mentions both ends, else the source, else the target.
 
     The smallest pointer of the first rule that finds one; null where none does. Each rule keeps one
-    row per relation before the rules meet, and the pointers of an end are reduced to the smallest
-    beforehand (rules 2 and 3), so a hub multiplies nothing but its own relations' pointers (rule 1).
+    row per relation before the rules meet.
     """
     e = edge_table.select("src", "rel", "dst").distinct()
     m = mention_table.select("doc", "id").distinct()
     least = m.groupBy("id").agg(F.min("doc").alias("doc"))
-    both = e.join(m.withColumnRenamed("id", "src"), "src").join(m.withColumnRenamed("id", "dst"), ["doc", "dst"]).groupBy("src", "rel", "dst").agg(F.min("doc").alias("doc1"))
+    both = shared_pointers(edge_table, m).groupBy("src", "rel", "dst").agg(F.min("doc").alias("doc1"))
     s = least.select(F.col("id").alias("src"), F.col("doc").alias("doc2"))
     t = least.select(F.col("id").alias("dst"), F.col("doc").alias("doc3"))
     same = F.col("e.src").eqNullSafe(F.col("b.src")) & F.col("e.rel").eqNullSafe(F.col("b.rel")) & F.col("e.dst").eqNullSafe(F.col("b.dst"))

@@ -2,9 +2,9 @@
 
 The declared attributes (a small fixed table) name the columns and their types. Each item row is
 resolved to a declared attribute by a codegen expression, never by a join, so no key can be hot;
-then one aggregation with one set of conditional aggregates per attribute makes the wide row.
+then duplicates of a cell are resolved and one conditional aggregate per attribute makes the wide row.
 All aggregates combine map-side, so an owner that holds any share of the rows costs one partial
-row per task.
+row per attribute and task.
 
 Defined results: a null or undeclared key makes no column and shows in :func:`discover`; a null
 owner makes no row; among several readable values of one cell the latest ``recorded_at`` wins,
@@ -134,20 +134,27 @@ def widen(items: DataFrame, declared: dict[str, dict[str, str]], owners: DataFra
         rows = rows.unionByName(owners.select("owner_kind", "owner_id", F.lit(True).alias("listed")), allowMissingColumns=True)
     kinds = sorted({k for a in declared.values() for k in a.values()})
     rows = rows.where(F.col("owner_id").isNotNull()).withColumn("attribute", _resolved(rows, declared))
-    needs = {kind: [a for attrs in declared.values() for a, k in attrs.items() if k == kind] for kind in kinds}
+    needs = {kind: sorted({a for attrs in declared.values() for a, k in attrs.items() if k == kind}) for kind in kinds}
+    typed = F.struct(*[F.when(F.col("attribute").isin(needs[kind]), typed_value(F.col("meta_value"), kind)).alias(kind) for kind in kinds])
     rows = rows.select(
         "owner_kind", "owner_id", "attribute", "listed",
         F.struct(F.coalesce(F.col("recorded_at"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), F.col("item_id").alias("item")).alias("rank"),
-        *[F.when(F.col("attribute").isin(needs[kind]), typed_value(F.col("meta_value"), kind)).alias(f"as_{kind}") for kind in kinds],
+        typed.alias("typed"),
     )
+    # duplicates first: one row per cell, the latest item that states a value
+    states = F.col(f"typed.{kinds[0]}").isNotNull()
+    for kind in kinds[1:]:
+        states = states | F.col(f"typed.{kind}").isNotNull()
+    cells = rows.groupBy("owner_kind", "owner_id", "attribute").agg(
+        F.max_by("typed", F.when(states, F.col("rank"))).alias("typed"), F.count("attribute").alias("items"), F.max("listed").alias("listed")
+    )
     aggregates = [F.max("listed").alias("listed")]
     for owner_kind, attributes in declared.items():
         for name, kind in attributes.items():
             here = (F.col("owner_kind") == owner_kind) & (F.col("attribute") == name)
-            value = F.col(f"as_{kind}")
-            aggregates.append(F.max_by(value, F.when(here & value.isNotNull(), F.col("rank"))).alias(f"{owner_kind}.{name}"))
-            aggregates.append(F.count(F.when(here, 1)).alias(f"{owner_kind}.{name}__items"))
-    return rows.groupBy("owner_kind", "owner_id").agg(*aggregates)
+            aggregates.append(F.max(F.when(here, F.col(f"typed.{kind}"))).alias(f"{owner_kind}.{name}"))
+            aggregates.append(F.coalesce(F.max(F.when(here, F.col("items"))), F.lit(0)).alias(f"{owner_kind}.{name}__items"))
+    return cells.groupBy("owner_kind", "owner_id").agg(*aggregates)
 
 
 def wide_table(items: DataFrame, declared: dict[str, dict[str, str]], owner_kind: str, owners: DataFrame | None = None) -> DataFrame:

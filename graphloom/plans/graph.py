@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.operators import graph_build as build, graph_match as match, graph_metrics as metrics
+from graphloom.operators import cascades, graph_build as build, graph_match as match, graph_metrics as metrics
 from graphloom.tables import table
 
 
@@ -228,9 +228,7 @@ def triangle_in_documents(g: Graph) -> DataFrame:
     """Edges both of whose ends are mentioned by a document of the pair."""
     docs = match.comention_documents(g.mentions, match.strongest_pair(g.edges), 2**31 - 1).select("doc")
     inside = g.mentions.join(docs, "doc", "left_semi").select("doc", "id").distinct()
-    s, t = inside.withColumnRenamed("id", "src"), inside.withColumnRenamed("id", "dst")
-    plain = g.edges.select("src", "rel", "dst").distinct()
-    return plain.join(s, "src").join(t, ["doc", "dst"]).select("src", "rel", "dst").distinct()
+    return cascades.shared_pointers(g.edges, inside).select("src", "rel", "dst").distinct()
 
 
 @query(
