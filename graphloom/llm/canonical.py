@@ -114,6 +114,7 @@ class Entries:
 
     def __init__(self, rows: list[tuple[int, str, str | None]]) -> None:
         self.names = [(ref, _word.findall(name.lower())) for ref, name, _ in rows]
+        self.sets = [frozenset(words) for _, words in self.names]
         counts: dict[str, int] = defaultdict(int)
         for _, words in self.names:
             for w in set(words):
@@ -131,10 +132,14 @@ class Entries:
                 key = "".join(_word.findall(form)).lower()
                 self.short[key] = None if key in self.short else k
 
-    def codes(self, k: int) -> set[str]:
-        """Short forms that may stand beside the spelt-out name: the registered one, initials, three-letter heads."""
-        words = self.names[k][1]
-        return {"".join(w[0] for w in words), "".join(w[:3] for w in words)} | {c for c, i in self.short.items() if i == k}
+        #: Short forms that may stand beside the spelt-out name: the registered one, initials, three-letter heads.
+        self.coded: dict[str, set[int]] = defaultdict(set)
+        for k, (_, words) in enumerate(self.names):
+            for code in ("".join(w[0] for w in words), "".join(w[:3] for w in words)):
+                self.coded[code].add(k)
+        for code, k in self.short.items():
+            if k is not None:
+                self.coded[code].add(k)
 
     def score(self, content: list[tuple[str, list[tuple[str, int]]]], k: int) -> tuple[float, bool, int]:
         """Soft TF-IDF of the corrected tokens against an entry; whether all of both sides is used in order; edits."""
@@ -174,10 +179,12 @@ class Entries:
             dropped = "" if n == 0 else next(t for t, _ in lists if all(t != c for c, _ in content)) if len({t for t, _ in lists}) == len(lists) else None
             if dropped is None:
                 continue
-            candidates = {k for _, found in content for w, _ in found for k in self.by_rarest.get(w, ())}
+            available = {w for _, found in content for w, _ in found}
+            # an entry with a word that no token can mean is never used whole, so it is not scored
+            candidates = {k for w in available for k in self.by_rarest.get(w, ()) if self.sets[k] <= available}
+            if dropped:
+                candidates &= self.coded.get(dropped.rstrip("."), set())
             for k in candidates:
-                if dropped and dropped.rstrip(".") not in self.codes(k):
-                    continue
                 value, order, edits = self.score(content, k)
                 size = len(self.names[k][1])
                 whole = sorted(order) == list(range(size))
