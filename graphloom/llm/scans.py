@@ -325,9 +325,13 @@ class Vocabulary:
             return min(found, key=lambda ew: (ew[0], -context.get(ew[1], 0), -self.counts.get(ew[1], 0), ew[1]))[1]
         if held:
             return None
-        letters = sum(c.isalpha() for c in low)
-        if scanned and letters >= 3 and (bare[0].isupper() or not bare[0].isalpha()) and regex.fullmatch(r"[\p{L}@†!(0-9$|+]+", t := tries[-1] if len(tries) > 1 and not tries[-1].isalpha() and not low.isalpha() else low):
-            return self.name_reading(t)
+        if not scanned or sum(c.isalpha() for c in low) < 3 or (bare[0].isalpha() and not bare[0].isupper()):
+            return None
+        for t in dict.fromkeys([low, *tries]):
+            if regex.fullmatch(r"[\p{L}@†!(0-9$|+]+", t) and (name := self.name_reading(t)):
+                # a symbol at an end can be punctuation, unless more follows: the name has to be much likelier with it
+                if t == low or regex.search(r"[!(|][,.;:]", raw) or self.likelihood(name) - self.likelihood(low) > NAME_GAIN:
+                    return name
         return None
 
 
