@@ -41,15 +41,17 @@ FILLERS = ["a", "an", "the", "our", "ours", "proposed", "module", "mechanism", "
 
 _word = regex.compile(r"[\p{L}\p{N}]+")
 _cite = regex.compile(r"\[\s*\d+(\s*[,–-]\s*\d+)*\s*\]")
+_split = regex.compile(r"[\s_\-/–—,.]")
+_token = regex.compile(r"[\p{L}\p{N}]+\.?|,")
 _camel = regex.compile(r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})")
 
 
 def tokens_of(value: str) -> list[str]:
     """Lower-case tokens in order; an abbreviation keeps its full stop, a comma stays as a token."""
     text = _cite.sub(" ", value)
-    if not regex.search(r"[\s_\-/–—,.]", text.strip()):
+    if not _split.search(text.strip()):
         text = _camel.sub(" ", text)
-    return [t.lower() for t in regex.findall(r"[\p{L}\p{N}]+\.?|,", text)]
+    return [t.lower() for t in _token.findall(text)]
 
 
 def swap_distance(a: str, b: str, bound: int) -> int:

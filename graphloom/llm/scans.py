@@ -60,6 +60,11 @@ _cue = regex.compile(r"[:·—]|\bet\s+al\b|\d")
 _alpha = regex.compile(r"[\p{L}]+")
 _edge = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _plain_word = regex.compile(r"\p{L}+(?:[-’']\p{L}+)*")
+_numeral = regex.compile(r"[Ll]?\d+([.,:]\d+)*[a-z%]?|\p{L}")
+_name_like = regex.compile(r"[\p{L}@†!(0-9$|+]+")
+_odd_end = regex.compile(r"[!(|][,.;:]")
+_et_al = regex.compile(r"\bet\s+\S{1,2}\.\s*$")
+_parts = regex.compile(r"[^\s·:,.—–|/()]+")
 _soft_edge = ".,;:?\"“”‘’'*_`#|[]{}<>=…/\\)"
 
 
@@ -77,9 +82,9 @@ def title_like(line: str) -> bool:
     words = _alpha.findall(line)
     if len(line) > 90 or line.lstrip()[:1] in "#|*`{}\"-+>" or len([w for w in words if len(w) > 1]) < 2 or line.rstrip()[-1:] in ",;:?!" + MARKS:
         return False
-    if line.rstrip().endswith(".") and not regex.search(r"\bet\s+\S{1,2}\.\s*$", line):
+    if line.rstrip().endswith(".") and not _et_al.search(line):
         return False
-    heads = [w for w in regex.findall(r"[^\s·:,.—–|/()]+", line) if _alpha.search(w) and w.lower() not in SMALL]
+    heads = [w for w in _parts.findall(line) if _alpha.search(w) and w.lower() not in SMALL]
     return len(heads) >= 1 and all(w[0].isupper() or not w[0].isalpha() for w in heads)
 
 
@@ -227,6 +232,7 @@ class Vocabulary:
             self.firsts[pair[0]] = self.firsts.get(pair[0], 0) + n
         self.bigrams = bigrams
         self.memo: dict[str, list[tuple[int, str]]] = {}
+        self.fine: set[str] = set()
 
     def candidates(self, word: str) -> list[tuple[int, str]]:
         """(edits, word) of every vocabulary word that ``word`` can be a misreading of."""
@@ -294,17 +300,21 @@ class Vocabulary:
     def known(self, word: str) -> bool:
         return word in self.counts or (("-" in word) and all(p in self.counts or p.isdigit() or not p for p in word.split("-")))
 
+    def _reads_well(self, raw: str) -> None:
+        """Remember a word that is none of a misreading wherever it stands."""
+        if len(self.fine) > REMEMBERED:
+            self.fine.clear()
+        self.fine.add(raw)
+
     def judge(self, raw: str, context: dict[str, int], scanned: bool) -> str | None:
         """The word that ``raw`` was misread from, or null if it reads well or nothing explains it."""
-        bare = _edge.sub("", raw)
-        if not bare or not any(c.isalpha() for c in raw):
+        if raw in self.fine:
             return None
+        bare = _edge.sub("", raw)
         low = bare.lower()
-        if regex.fullmatch(r"[Ll]?\d+([.,:]\d+)*[a-z%]?|\p{L}", bare):
-            return None
         held = self.counts.get(low, 0)
-        if not held and self.known(low):
-            return None
+        if not bare or not any(c.isalpha() for c in raw) or _numeral.fullmatch(bare) or (not held and self.known(low)):
+            return self._reads_well(raw)
         tries = [low]
         for whole in (raw.strip(_soft_edge).lower(), raw.lstrip("([\"“").strip(_soft_edge).lower(), raw.strip(_soft_edge + "(").lower()):
             if whole and whole not in tries:
@@ -324,13 +334,13 @@ class Vocabulary:
         if found:
             return min(found, key=lambda ew: (ew[0], -context.get(ew[1], 0), -self.counts.get(ew[1], 0), ew[1]))[1]
         if held:
-            return None
+            return self._reads_well(raw)
         if not scanned or sum(c.isalpha() for c in low) < 3 or (bare[0].isalpha() and not bare[0].isupper()):
             return None
         for t in dict.fromkeys([low, *tries]):
-            if regex.fullmatch(r"[\p{L}@†!(0-9$|+]+", t) and (name := self.name_reading(t)):
+            if _name_like.fullmatch(t) and (name := self.name_reading(t)):
                 # a symbol at an end can be punctuation, unless more follows: the name has to be much likelier with it
-                if t == low or regex.search(r"[!(|][,.;:]", raw) or self.likelihood(name) - self.likelihood(low) > NAME_GAIN:
+                if t == low or _odd_end.search(raw) or self.likelihood(name) - self.likelihood(low) > NAME_GAIN:
                     return name
         return None
 
