@@ -8,7 +8,7 @@ its scalars and its children's hashes. It yields two tables:
 
 Arbitrarily deep recursion has no built-in expression, hence Python; the joins that flatten the two
 tables stay in the JVM. Tasks forget repeated objects locally before the shuffle, so a hot object
-costs one row per task; on the bridge side AQE splits a hot hash.
+costs one row per task; on the bridge side the occurrences of a hot object are salted.
 
 Layouts understood: one document per line; ``{"graph": {...}, "source": ...}``;
 ``{"documents": [...]}`` and top-level arrays of documents; any of them encoded twice. Metadata may
@@ -29,6 +29,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.storage import materialize
 from graphloom.tables import wide_enough
 
@@ -199,25 +200,31 @@ def shred(lines: DataFrame, id_column: str = "line_id", text_column: str = "line
     return objects, bridge
 
 
+def _attached(occurrences: DataFrame, held: DataFrame) -> DataFrame:
+    """Occurrences joined to their stored objects; those of a hot object are spread over tasks."""
+    counted = occurrences.groupBy("hash").agg(F.count(F.lit(1)).alias("count"))
+    return salted_join(occurrences, held, "hash", hot_keys(counted, "hash"), F.col("line_id"))
+
+
 def metadata_entries(objects: DataFrame, bridge: DataFrame) -> DataFrame:
     """Every metadata entry of every owner, with its ordinal and how often its key came before in the owner."""
     held = objects.where("kind = 'metadata'").select("hash", "meta_key", "meta_value")
-    return bridge.where("role = 'metadata'").join(held, "hash").select("line_id", "doc_pos", "owner", "owner_pos", "ordinal", "key_ordinal", "meta_key", "meta_value", "parent_occ")
+    return _attached(bridge.where("role = 'metadata'"), held).select("line_id", "doc_pos", "owner", "owner_pos", "ordinal", "key_ordinal", "meta_key", "meta_value", "parent_occ")
 
 
 def nodes(objects: DataFrame, bridge: DataFrame) -> DataFrame:
     """Every node of every document."""
     held = objects.where("kind = 'node'").select("hash", F.col("id").alias("node_id"), F.col("type").alias("node_type"), F.size("children").alias("entries"))
-    return bridge.where("role = 'node'").join(held, "hash").select("line_id", "doc_pos", F.col("owner_pos").alias("node_pos"), "node_id", "node_type", "entries", "hash")
+    return _attached(bridge.where("role = 'node'"), held).select("line_id", "doc_pos", F.col("owner_pos").alias("node_pos"), "node_id", "node_type", "entries", "hash")
 
 
 def relationships(objects: DataFrame, bridge: DataFrame) -> DataFrame:
     """Every relationship with both endpoints (null where absent)."""
     kind = objects.where("kind = 'relationship'").select("hash", F.col("type").alias("rel_type"))
     ends = objects.where("kind = 'endpoint'").select("hash", F.struct("id", "type").alias("end"))
-    rel = bridge.where("role = 'relationship'").join(kind, "hash").select("line_id", "occ", "doc_pos", F.col("owner_pos").alias("rel_pos"), "rel_type")
+    rel = _attached(bridge.where("role = 'relationship'"), kind).select("line_id", "occ", "doc_pos", F.col("owner_pos").alias("rel_pos"), "rel_type")
     sides = (
-        bridge.where(F.col("role").isin("rel_source", "rel_target")).join(ends, "hash")
+        _attached(bridge.where(F.col("role").isin("rel_source", "rel_target")), ends)
         .groupBy("line_id", F.col("parent_occ").alias("occ"))
         .agg(*[F.first(F.when(F.col("role") == r, F.col("end")), ignorenulls=True).alias(r) for r in ("rel_source", "rel_target")])
     )
