@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm.canonical import swap_distance
+from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.storage import materialize
 from graphloom.tables import wide_enough
 
@@ -528,9 +529,10 @@ def learn(prepared: DataFrame) -> Vocabulary:
 def prepare(chunks: DataFrame) -> DataFrame:
     """(chunk_key, source, content, heads) of the chunks that have text."""
     rows = chunks.select(F.col("chunk_key").cast("bigint"), F.col("metadata.source").alias("source"), "content").where(F.length("content") > 0)
-    heads = running_heads(rows)
-    # the heads side is one row per source: a source of any share of the chunks is split by AQE
-    return materialize(wide_enough(rows.join(heads, "source", "left")), "prepared")
+    heads = materialize(running_heads(rows), "heads")
+    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("count"))
+    joined = salted_join(rows, heads, "source", hot_keys(counted, "source"), F.col("chunk_key"), how="left")
+    return materialize(wide_enough(joined), "prepared").select("chunk_key", "source", "content", "heads")
 
 
 def _broadcast(spark: SparkSession, vocabulary: Vocabulary):
