@@ -121,3 +121,44 @@ def fill_prompt(template: Column, chunk: Column, known_ids: Column) -> Column:
     """A prompt with the chunk put in first and the list of known ids after it (``None`` for none)."""
     listed = F.when(F.size(known_ids) > 0, F.array_join(known_ids, ", ")).otherwise("None")
     return F.replace(F.replace(template, F.lit("{chunk}"), chunk), F.lit("{entities}"), listed)
+
+
+def nested_strings(value: Column, mark: str) -> Column:
+    """Distinct strings anywhere in a nested value that hold ``mark``, in the order written."""
+    text = F.to_json(value)
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.contains(s, F.lit(mark))))
+
+
+def nested_int(json_text: Column, key: str) -> Column:
+    """The last integer under ``key`` anywhere in a JSON text; null where there is none."""
+    found = F.regexp_extract_all(json_text, F.lit(rf'"{key}"\s*:\s*(-?[0-9]+)'), F.lit(1))
+    return F.try_element_at(found, F.lit(-1)).try_cast("bigint")
+
+
+def evidence_ids(block: Column) -> Column:
+    """The ids of an evidence block's ``- id | rest`` lines, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^- ([^|\n]+)"), F.lit(1)), lambda x: F.trim(x)))
+
+
+def with_block(answer: Column, title: str, body: Column) -> Column:
+    """An answer with an evidence block put at its end, unless it holds the block's title or there is no evidence."""
+    missing = ~F.contains(answer, F.lit(title)) & (F.length(body) > 0)
+    return F.when(missing, F.concat(answer, F.lit(f"\n\n{title}\n"), body)).otherwise(answer)
+
+
+def without_section(text: Column, title: str) -> Column:
+    """A text without the section that starts with ``title``: its line, the non-blank lines after it and one blank line."""
+    return F.regexp_replace(text, rf"(?m)^\Q{title}\E[^\n]*\n(?:[^\n]*\S[^\n]*\n?)*\n?", "")
+
+
+def without_prefix(source_id: Column, stem: Column) -> Column:
+    """A source id without its file stem in front; only ids without ``::``."""
+    cut = F.regexp_replace(F.substring(source_id, F.length(stem) + 1, F.length(source_id)), "^_+", "")
+    return F.when(~F.contains(source_id, F.lit("::")) & F.startswith(source_id, stem), cut).otherwise(source_id)
+
+
+def snippet_field(line: Column) -> tuple[Column, Column]:
+    """(key, value) of one line of a metadata block, quotes and a comma at the end taken off; page digits stay as text."""
+    pattern = r'^\s*"([^"]+)"\s*:\s*(.*?)\s*,?\s*$'
+    value = F.regexp_extract(line, pattern, 2)
+    return F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")), F.when(line.rlike(pattern), F.regexp_replace(value, '^"|"$', ""))

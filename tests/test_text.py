@@ -214,3 +214,19 @@ def test_command_line_lists_queries(capsys):
     from graphloom import cli
 
     assert cli.main(["list"]) == 0 and "p1_found" in capsys.readouterr().out
+
+
+def test_evidence_and_nested_extraction(spark):
+    nested = '{"a": ["x.jsonl::1", {"b": "y.jsonl::2"}, "x.jsonl::1", "plain"], "k": 3, "z": {"k": 5}}'
+    assert one(spark, (["x.jsonl::1", "p", "y.jsonl::2", "x.jsonl::1"],), lambda c: fn.nested_strings(c, ".jsonl::"), "struct<a:array<string>>") == ["x.jsonl::1", "y.jsonl::2"]
+    assert one(spark, nested, lambda c: fn.nested_int(c, "k")) == 5 and one(spark, "{}", lambda c: fn.nested_int(c, "k")) is None
+    assert one(spark, "Images:\n- a | p\n- b | q\n- a | r\n", fn.evidence_ids) == ["a", "b"]
+    assert one(spark, "answer", lambda c: fn.with_block(c, "Images:", F.lit("- a"))) == "answer\n\nImages:\n- a"
+    assert one(spark, "has Images: x", lambda c: fn.with_block(c, "Images:", F.lit("- a"))) == "has Images: x"
+    assert one(spark, "answer", lambda c: fn.with_block(c, "Images:", F.lit(""))) == "answer"
+    assert one(spark, "top\nSources:\n- a\n- b\n\nrest", lambda c: fn.without_section(c, "Sources:")) == "top\nrest"
+    df = spark.createDataFrame([("paper_3", "paper"), ("f::paper_3", "paper"), ("other", "paper")], "s string, t string")
+    assert [r.r for r in df.select(fn.without_prefix(F.col("s"), F.col("t")).alias("r")).collect()] == ["3", "f::paper_3", "other"]
+    key, value = fn.snippet_field(F.col("v"))
+    rows = spark.createDataFrame([('  "path": "a b.png",',), ('  "page": 12',), ("}",)], "v string").select(key.alias("k"), value.alias("x")).collect()
+    assert [(r.k, r.x) for r in rows] == [("path", "a b.png"), ("page", "12"), (None, None)]
