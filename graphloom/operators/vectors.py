@@ -94,7 +94,8 @@ def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, buckets: int
     """
     bits = max(1, int(np.log2(buckets)))
     rng = np.random.default_rng(seed)
-    width = len(vectors.select("embedding").where("embedding is not null").first()[0])
+    some = vectors.select("embedding").where("embedding is not null").first()
+    width = len(some[0]) if some else 1
     planes = rng.normal(size=(tables, bits, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

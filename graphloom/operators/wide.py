@@ -102,9 +102,13 @@ def typed_value(value: Column, kind: str) -> Column:
 
 
 def declared_attributes(keys: DataFrame) -> dict[str, dict[str, str]]:
-    """Owner kind -> attribute -> kind, from the declaration table (fixed, one row per column)."""
+    """Owner kind -> attribute -> kind, from the declaration table (fixed, one row per column).
+
+    Rows with a null or an unknown kind declare nothing.
+    """
     out: dict[str, dict[str, str]] = {}
-    for row in sorted(keys.select("owner_kind", "meta_key", "value_type").distinct().collect()):
+    rows = keys.select("owner_kind", "meta_key", "value_type").na.drop().where(F.col("value_type").isin(list(SQL_TYPE))).distinct()
+    for row in sorted(rows.collect()):
         out.setdefault(row.owner_kind, {})[row.meta_key] = row.value_type
     return out
 
@@ -133,6 +137,8 @@ def widen(items: DataFrame, declared: dict[str, dict[str, str]], owners: DataFra
     if owners is not None:
         rows = rows.unionByName(owners.select("owner_kind", "owner_id", F.lit(True).alias("listed")), allowMissingColumns=True)
     kinds = sorted({k for a in declared.values() for k in a.values()})
+    if not kinds:
+        return rows.where(F.col("owner_id").isNotNull()).groupBy("owner_kind", "owner_id").agg(F.max("listed").alias("listed"))
     rows = rows.where(F.col("owner_id").isNotNull()).withColumn("attribute", _resolved(rows, declared))
     needs = {kind: sorted({a for attrs in declared.values() for a, k in attrs.items() if k == kind}) for kind in kinds}
     typed = F.struct(*[F.when(F.col("attribute").isin(needs[kind]), typed_value(F.col("meta_value"), kind)).alias(kind) for kind in kinds])
@@ -159,7 +165,7 @@ def widen(items: DataFrame, declared: dict[str, dict[str, str]], owners: DataFra
 
 def wide_table(items: DataFrame, declared: dict[str, dict[str, str]], owner_kind: str, owners: DataFrame | None = None) -> DataFrame:
     """The wide table of one owner kind with plain column names."""
-    mine = {owner_kind: declared[owner_kind]}
+    mine = {owner_kind: declared.get(owner_kind, {})}
     wide = widen(items.where(F.col("owner_kind") == owner_kind), mine, owners)
     return wide.select("owner_id", "listed", *[F.col(f"`{owner_kind}.{a}`").alias(a) for a in mine[owner_kind]], *[F.col(f"`{owner_kind}.{a}__items`").alias(f"{a}__items") for a in mine[owner_kind]])
 
@@ -172,4 +178,6 @@ def cell_states(wide: DataFrame, declared: dict[str, dict[str, str]]) -> DataFra
             held = F.col(f"`{owner_kind}.{name}__items`") > 0
             state = F.when(F.col(f"`{owner_kind}.{name}`").isNotNull(), "filled").otherwise("unreadable")
             cells.append(F.when(held, F.struct(F.lit(name).alias("meta_key"), state.alias("state"))))
+    if not cells:
+        cells = [F.lit(None).cast("struct<meta_key:string,state:string>")]
     return wide.select("owner_kind", "owner_id", F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("owner_kind", "owner_id", "cell.meta_key", "cell.state")

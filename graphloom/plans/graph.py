@@ -177,7 +177,7 @@ def props_multimap(g: Graph) -> DataFrame:
 select owner_kind, owner_id, meta_key, arg_max(value, (gen, value)) as value from b group by 1, 2, 3"""
 )
 def upsert_props(g: Graph) -> DataFrame:
-    items = g.items.where("meta_key is not null and meta_value is not null").withColumnRenamed("meta_value", "value")
+    items = g.items.where("meta_key is not null and meta_value is not null").select("owner_kind", "owner_id", "meta_key", F.col("meta_value").alias("value"), "recorded_at")
     late = F.col("recorded_at") >= F.lit("2024-07-01").cast("timestamp_ntz")
     return build.upsert(items.where(~late), items.where(late), ["owner_kind", "owner_id", "meta_key"])
 

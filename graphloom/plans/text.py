@@ -39,7 +39,7 @@ def sentence_window(spark: SparkSession, d: str) -> DataFrame:
     return lines.sentence_windows(lines.sentence_table(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(f"select doc_id, length(text) as char_count, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) as word_count, (length(text) // 4)::int as tokens from documents")
+@query(f"select doc_id, length(text)::int as char_count, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> ''))::int as word_count, (length(text) // 4)::int as tokens from documents")
 def char_word_counts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.length(t).alias("char_count"), fn.word_count(t).alias("word_count"), fn.token_estimate(t).alias("tokens"))
@@ -267,7 +267,7 @@ def semantic_breakpoints(spark: SparkSession, d: str) -> DataFrame:
     return _islands(spark, d).select("label", "vec_id", F.round("threshold", 6).alias("threshold"), "is_break", "grp")
 
 
-@query(f"with {_BREAK}, c as (select label, grp, string_agg('s' || vec_id, ' ' order by vec_id) as text from g group by 1, 2) select label, grp::int as chunk_index, text, length(text) as char_count, len(string_split(text, ' ')) as word_count from c")
+@query(f"with {_BREAK}, c as (select label, grp, string_agg('s' || vec_id, ' ' order by vec_id) as text from g group by 1, 2) select label, grp::int as chunk_index, text, length(text)::int as char_count, len(string_split(text, ' '))::int as word_count from c")
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = _islands(spark, d).withColumn("sentence", F.concat(F.lit("s"), F.col("vec_id").cast("string")))
     return chunking.semantic_chunks(rows, "label", "vec_id", "sentence")

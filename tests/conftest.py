@@ -61,3 +61,34 @@ def same_as_sql(spark, data):
         assert mine == theirs
 
     return check
+
+
+CLASHING = ["hash", "key", "value", "n", "rank", "doc", "word", "part", "count", "role", "ts", "at", "state", "fixes", "heads", "class", "canon", "grp", "rec", "suffix", "c", "tokens", "copies", "weight", "band", "topic", "length", "piece", "_salt", "_w", "typed", "attribute"]
+IDS = {"vec_id", "doc_id", "chunk_key", "line_id", "node_row_id", "rel_id", "graph_doc_id", "item_id", "ref_id", "event_id"}
+
+
+@pytest.fixture(scope="session")
+def altered(spark, data, tmp_path_factory):
+    """Folders of the test tables without rows, with rows of nulls, with every row twice, or with clashing extra columns."""
+    from pyspark.sql import functions as F
+
+    made: dict[str, str] = {}
+
+    def folder(mode: str) -> str:
+        if mode not in made:
+            made[mode] = str(tmp_path_factory.mktemp(mode))
+            for f in os.listdir(data):
+                df = spark.read.parquet(f"{data}/{f}")
+                if mode == "empty":
+                    df = df.limit(0)
+                elif mode == "nulls":
+                    blank = df.limit(20).select(*[((-F.col(c) - 1) if c in IDS else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
+                    df = df.unionByName(blank)
+                elif mode == "twice":
+                    df = df.unionByName(df)
+                elif mode == "clash":
+                    df = df.withColumns({x: F.lit("zz") for x in CLASHING if x not in df.columns})
+                df.coalesce(1).write.parquet(f"{made[mode]}/{f}")
+        return made[mode]
+
+    return folder
