@@ -136,6 +136,8 @@ def shortest_path(edge_table: DataFrame, start: str, end: str, most: int = 4) ->
     """
     spark = edge_table.sparkSession
     out_schema = "hops int, path array<string>"
+    if start is None or end is None:
+        return spark.createDataFrame([], out_schema)
     if start == end:
         return spark.createDataFrame([(0, [start])], out_schema)
     one = lambda x: spark.createDataFrame([(x,)], "id string")
