@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.llm.canonical import swap_distance
 from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.storage import materialize
-from graphloom.tables import wide_enough
+from graphloom.tables import missing_partitions, wide_enough
 
 VOCABULARY_SHARE = 5e-6
 LEAST = 3
@@ -532,7 +532,8 @@ def prepare(chunks: DataFrame) -> DataFrame:
     heads = materialize(running_heads(rows), "heads")
     counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("count"))
     joined = salted_join(rows, heads, "source", hot_keys(counted, "source"), F.col("chunk_key"), how="left")
-    return materialize(wide_enough(joined), "prepared").select("chunk_key", "source", "content", "heads")
+    want = missing_partitions(rows)
+    return materialize(joined.repartition(want) if want else joined, "prepared").select("chunk_key", "source", "content", "heads")
 
 
 def _broadcast(spark: SparkSession, vocabulary: Vocabulary):
