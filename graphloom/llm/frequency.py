@@ -161,9 +161,5 @@ def _bridged(edges: DataFrame) -> DataFrame:
 
 def mark(frequencies: DataFrame, records_total: DataFrame, rare_below: int = 3, common_share: float = 1 / 3) -> DataFrame:
     """Add ``mark``: rare (in fewer than ``rare_below`` records), common (in more than the share of ``records_total``'s rows), else null."""
-    total = records_total.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        frequencies.join(F.broadcast(total))
-        .withColumn("mark", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("_total") * F.lit(common_share), "common"))
-        .drop("_total")
-    )
+    most = records_total.count() * common_share
+    return frequencies.withColumn("mark", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(most), "common"))

@@ -166,8 +166,8 @@ def _settle(drawn: DataFrame, id_column: str, wanted: dict[str, float]) -> list[
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, documents, uses, tokens, share, most_uses): the shares reached."""
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("uses"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_uses"))
-    total = used.agg(F.sum("tokens").alias("all_tokens"))
+    total = used.agg(F.sum("tokens")).first()[0] or 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return targets.where("source is not null").select("source", "target_share", "max_repeats").join(used, "source", "left").join(F.broadcast(total)).select(
-        "source", "target_share", "max_repeats", zero("documents"), zero("uses"), zero("tokens"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"), zero("most_uses")
+    return targets.where("source is not null").select("source", "target_share", "max_repeats").join(used, "source", "left").select(
+        "source", "target_share", "max_repeats", zero("documents"), zero("uses"), zero("tokens"), F.coalesce(F.col("tokens") / F.lit(float(total or 1)), F.lit(0.0)).alias("share"), zero("most_uses")
     )
