@@ -6,9 +6,12 @@ computed beforehand and matched with an Aho-Corasick automaton, longest match fi
 
 One-byte mistakes (one one-byte encoding read as another) turn letters into single other letters, so
 they show in words only: every distinct non-ASCII word of the collection is read back under every
-pair of encodings, and it is garbled if the word it becomes is at least ``RATIO`` times as frequent
-over all documents. The garbled words so found are the patterns of the second kind. Words and their
-document counts are aggregated over the whole collection; no list of words comes to the driver.
+pair of encodings, and it is garbled if the word it becomes is in at least ``RATIO`` times as many
+distinct texts: copies of a text, however many, do not hide its words. Where distinct texts do not
+say (few texts, each repeated), documents decide by the same ratio, unless the garbled word has more
+distinct texts. The garbled words so found are the patterns of the second kind and are joined back
+to every document. Words and their counts are aggregated over the whole collection; no list of words
+comes to the driver.
 
 Only matched spans are replaced. A span that stands alone between quotation marks is quoted, not
 garbled. Characters already lost (U+FFFD) mark a document as affected and stay.
@@ -169,40 +172,46 @@ def readings(word: str) -> dict[str, str]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, word) of the non-ASCII words; a null word marks a document with garbled sequences or losses."""
+    """(doc_id, copy, word) of the non-ASCII words; a null word marks a document with garbled sequences or losses."""
     for batch in batches:
-        ids, found = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        ids, copies, found = [], [], []
+        for doc_id, copy, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if text is None or text.isascii():
                 continue
+            mine = [*words(text)]
             if sequence_spans(text) or lost_spans(text):
-                ids.append(doc_id)
-                found.append(None)
-            for w in words(text):
-                ids.append(doc_id)
-                found.append(w)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "word": pa.array(found, pa.string())})
+                mine.append(None)
+            ids += [doc_id] * len(mine)
+            copies += [copy] * len(mine)
+            found += mine
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "copy": pa.array(copies, pa.int64()), "word": pa.array(found, pa.string())})
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(w, n, back, pair) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for back, pair in readings(w).items()]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], names=["word", "docs", "back", "pair"])
+        rows = [(w, docs, texts, back, pair) for w, docs, texts in zip(*(batch.column(i).to_pylist() for i in range(3))) for back, pair in readings(w).items()]
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["word", "docs", "texts", "back", "pair"])
 
 
 def _words_of(documents: DataFrame) -> DataFrame:
-    return materialize(wide_enough(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_scan, "doc_id bigint, word string"), "words")
+    """(doc_id, copy, word): ``copy`` is the hash of the text, the same for all its copies."""
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("copy"), "text")
+    return materialize(wide_enough(rows).mapInArrow(_scan, "doc_id bigint, copy bigint, word string"), "words")
 
 
 def garbled_words(scanned: DataFrame) -> DataFrame:
-    """(word, back, pair): the words that one-byte mistakes made, over all documents."""
-    counted = materialize(scanned.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "word-counts")
-    tried = counted.mapInArrow(_read_back, "word string, docs bigint, back string, pair string")
-    known = counted.select(F.col("word").alias("back"), F.col("docs").alias("back_docs"))
+    """(word, back, pair): the words that one-byte mistakes made, over the whole collection."""
+    by_text = scanned.where("word is not null").groupBy("word", "copy").agg(F.count(F.lit(1)).alias("docs"))
+    counted = materialize(by_text.groupBy("word").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts")), "word-counts")
+    tried = counted.mapInArrow(_read_back, "word string, docs bigint, texts bigint, back string, pair string")
+    known = counted.select(F.col("word").alias("back"), F.col("docs").alias("back_docs"), F.col("texts").alias("back_texts"))
     ratio = F.when(F.length("word") == 1, RATIO_SINGLE).otherwise(RATIO)
-    better = tried.join(known, "back").where(F.col("back_docs") >= F.col("docs") * ratio)
-    best = Window.partitionBy("word").orderBy(F.desc("back_docs"), "back")
+    by_texts = F.col("back_texts") >= F.col("texts") * ratio
+    by_docs = (F.col("back_docs") >= F.col("docs") * ratio) & (F.col("back_texts") >= F.col("texts"))
+    better = tried.join(known, "back").where(by_texts | by_docs)
+    best = Window.partitionBy("word").orderBy(F.desc("back_texts"), F.desc("back_docs"), "back")
     return better.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("word", "back", "pair")
 
 

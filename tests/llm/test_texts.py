@@ -54,6 +54,18 @@ def test_found_and_restored(spark):
     assert moji.affected(df.limit(0)).count() == 0 and moji.restore(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [200, 1000])
+def test_copies_of_a_garbled_text_do_not_hide_it(spark, copies):
+    one_byte = CLEAN[0].encode("cp1252", "replace").decode("mac_roman")
+    assert not moji.sequence_spans(one_byte) and not moji.lost_spans(one_byte)
+    clean = [f"{t} {i}" for i in range(4) for t in CLEAN]
+    df = documents(spark, clean + [one_byte] * copies)
+    want = set(range(len(clean), len(clean) + copies))
+    assert {r.doc_id for r in moji.affected(df).collect()} == want
+    back = {r.doc_id: r.restored for r in moji.restore(df).collect()}
+    assert set(back) == want and all("réseau complète les données" in t for t in back.values())
+
+
 BODY = "The reader compresses the passage only for redundant inputs and the careful decoder selects every low-rank sentence. "
 
 
