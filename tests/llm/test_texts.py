@@ -182,6 +182,20 @@ def test_mixture_reaches_shares_without_exceeding_repeats(spark):
     assert empty.count() == 0 and {r.tokens for r in mixture.share_report(empty, targets).collect()} == {0}
 
 
+def test_raking_meets_the_share_of_every_topic(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aabc"), rng.choice(["en", "de"]), f"paper {rng.randrange(700)}", rng.randint(1, 60)) for i in range(20_000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.45, 6), ("b", 0.3, 6), ("c", 0.25, 6)], "source string, target_share double, max_repeats int")
+    cells = {rows[r.doc_id][1:4]: r.weight for r in mixture.mix(sized, targets, total=1_200_000.0).collect()}
+    have, made = Counter(), Counter()
+    for _, source, lang, topic, tokens in rows:
+        have[topic] += tokens
+        made[topic] += tokens * cells.get((source, lang, topic), 0.0)
+    share = sum(made.values()) / sum(have.values())
+    assert max(abs(made[t] / have[t] / share - 1) for t in have) < 0.02
+
+
 def test_token_sizes(spark):
     import os
 
