@@ -1,6 +1,6 @@
 """Frequencies of all n-grams by a distributed suffix array with common-prefix intervals.
 
-Suffixes (up to ``max_n`` tokens) are sorted over the cluster by a range partition whose key ends in
+Suffixes (whole, unless ``max_n`` tokens are asked for) are sorted over the cluster by a range partition whose key ends in
 the record id, so the suffixes of one term, however hot, spread over many partitions. Within a
 partition neighbours' longest common prefixes delimit the intervals: an interval of prefix length n
 is one n-gram and its width the number of its occurrences. Intervals that cross a partition bound
@@ -78,8 +78,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.batch()
 
 
-def ngram_frequencies(df: DataFrame, group: Column, text: Column, record: Column, max_n: int = 1, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(grp, ngram, n, occurrences, records) of every n-gram up to ``max_n`` tokens.
+def ngram_frequencies(df: DataFrame, group: Column, text: Column, record: Column, max_n: int | None = None, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(grp, ngram, n, occurrences, records) of every n-gram, or of those up to ``max_n`` tokens.
 
     ``tokenize`` makes an array of tokens from a text; by default a text is one token. Tokens of an
     n-gram are joined by a space.
@@ -90,13 +90,13 @@ def ngram_frequencies(df: DataFrame, group: Column, text: Column, record: Column
     else:
         clean = F.transform(tokenize(text), lambda t: F.translate(t, _SEP, ""))
         rows = df.where(text.isNotNull()).select(group.alias("grp"), record.cast("string").alias("rec"), clean.alias("tokens")).where(F.size("tokens") > 0)
-        suffixes = rows.select("grp", "rec", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.array_join(F.slice(F.col("tokens"), i, max_n), _SEP))).alias("suffix"))
+        suffixes = rows.select("grp", "rec", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.array_join(F.slice(F.col("tokens"), i, F.size("tokens") if max_n is None else F.lit(max_n)), _SEP))).alias("suffix"))
     combined = suffixes.groupBy("grp", "suffix", "rec").agg(F.count(F.lit(1)).alias("c"))
-    if max_n > 1:
+    if max_n != 1:
         combined = materialize(combined, "suffixes")  # read twice
     split = _whole_intervals if tokenize is None else _intervals
     scans = combined.select("grp", "suffix", "rec", "c").repartitionByRange("grp", "suffix", "rec").sortWithinPartitions("grp", "suffix", "rec").mapInArrow(split, _SCAN)
-    if max_n > 1:
+    if max_n != 1:
         ordered = combined.where("rec is not null").select("grp", "rec", "suffix").repartitionByRange("grp", "rec", "suffix").sortWithinPartitions("grp", "rec", "suffix")
         ordered = materialize(ordered.withColumn("pid", F.spark_partition_id()), "record-order", ["pid"]).select("grp", "rec", "suffix", F.col("pid").cast("int").alias("pid"))
         # a file is one sorted partition; read it whole and in order

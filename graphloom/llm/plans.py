@@ -26,13 +26,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_terms(spark, d).where("mark is not null").select("field", "term", "mark")
 
 
-def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences and graph documents of all word n-grams (up to three words) of the types."""
+def _ngrams(spark: SparkSession, d: str, max_n: int | None = None) -> DataFrame:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    counted = frequency.ngram_frequencies(_type_rows(spark, d), F.col("field"), F.col("term"), F.col("graph_doc_id"), 3, words)
+    counted = frequency.ngram_frequencies(_type_rows(spark, d), F.col("field"), F.col("term"), F.col("graph_doc_id"), max_n, words)
     return counted.select(F.col("grp").alias("field"), "ngram", "n", "occurrences", "records")
 
 
+def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and graph documents of the word n-grams of up to three words, as its SQL twin has them."""
+    return _ngrams(spark, d, 3)
+
+
+def p3_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and graph documents of all word n-grams of the types, however long."""
+    return _ngrams(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Copies of records that differ only in formatting, each with the first of its group."""
     return format_duplicates.copies(table(spark, d, "graph_jsonl")).select("first_line_id", "line_id")
@@ -112,7 +121,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p3_all_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored)}
 _TYPES = """with t as (
   select 'nodes.type' as field, type as term, graph_doc_id from graph_nodes where type is not null
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),

@@ -50,6 +50,13 @@ def test_ngrams_across_partitions(spark, seed):
     assert got == brute(data, 3, str.split)
 
 
+def test_all_ngrams_without_a_bound(spark):
+    data = [("f", "precedes partial normalizer between", 1), ("f", "precedes partial normalizer between", 2), ("f", "a b a b a b a b", 1), ("f", "", 3), ("f", "partial normalizer between", 2)]
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    got = {tuple(r) for r in freq.ngram_frequencies(rows(spark, data).repartition(3), F.col("field"), F.col("term"), F.col("doc"), tokenize=words).collect()}
+    assert got == brute(data, 8, str.split)
+
+
 def test_marks_and_empty_table(spark):
     data = [("a", "rare", 1), ("a", "some", 1), ("a", "some", 2), ("a", "some", 3)] + [("a", "common", i) for i in range(5)]
     total = spark.range(12)
