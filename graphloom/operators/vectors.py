@@ -89,8 +89,8 @@ def first_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
 def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, buckets: int = 16, tables: int = 12, seed: int = 7) -> DataFrame:
     """Approximate neighbours by random hyperplanes: rows share a table's bucket if their signs agree.
 
-    Every row is indexed in every table; candidates are scored exactly. Bucket and query sets meet
-    on (table, bucket) keys; a query's candidates are reduced to k before the last shuffle.
+    Every row is indexed in every table; a query also looks into the bucket across the plane it lies
+    nearest to. Candidates are scored exactly. Bucket and query sets meet on (table, bucket) keys; a query's candidates are reduced to k before the last shuffle.
     """
     bits = max(1, int(np.log2(buckets)))
     rng = np.random.default_rng(seed)
@@ -98,21 +98,25 @@ def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, buckets: int
     width = len(some[0]) if some else 1
     planes = rng.normal(size=(tables, bits, width))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            codes = np.zeros((batch.num_rows, tables), dtype=np.int64)
-            if batch.num_rows:
-                for t in range(tables):
-                    codes[:, t] = ((m @ planes[t].T) > 0) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(codes), pa.list_(pa.int64()))], names=["id", "embedding", "codes"])
+    def index(df: DataFrame, name: str, probe: bool = False) -> DataFrame:
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                codes = np.zeros((batch.num_rows, tables * (2 if probe else 1)), dtype=np.int64)
+                if batch.num_rows:
+                    for t in range(tables):
+                        side = m @ planes[t].T
+                        codes[:, t] = (side > 0) @ (1 << np.arange(bits))
+                        if probe:
+                            codes[:, tables + t] = codes[:, t] ^ (1 << np.abs(side).argmin(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(codes), pa.list_(pa.int64()))], names=["id", "embedding", "codes"])
 
-    def index(df: DataFrame, name: str) -> DataFrame:
         rows = df.where("embedding is not null").select(F.col(name).cast("bigint").alias("id"), F.col("embedding").cast("array<double>"))
-        return rows.mapInArrow(sign, "id bigint, embedding array<double>, codes array<bigint>").select("id", "embedding", F.posexplode("codes").alias("tab", "code"))
+        signed = rows.mapInArrow(sign, "id bigint, embedding array<double>, codes array<bigint>").select("id", "embedding", F.posexplode("codes").alias("tab", "code"))
+        return signed.withColumn("tab", F.col("tab") % tables)
 
     a = index(vectors, "vec_id").select(F.col("id").alias("vec_id"), F.col("embedding").alias("ve"), "tab", "code")
-    b = index(queries, "query_id").select(F.col("id").alias("query_id"), F.col("embedding").alias("qe"), "tab", "code")
+    b = index(queries, "query_id", probe=True).select(F.col("id").alias("query_id"), F.col("embedding").alias("qe"), "tab", "code")
     scored = a.join(b, ["tab", "code"]).select("query_id", "vec_id", F.round(vx.cosine(F.col("qe"), F.col("ve")), 6).alias("score")).distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -106,6 +106,13 @@ def test_approximate_neighbours_reach_the_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_approximate_neighbours_of_the_table_reach_the_recall(spark, data):
+    from graphloom.plans import REGISTRY
+
+    exact, near = ({(r.query_id, r.vec_id) for r in REGISTRY[name](spark, data).collect()} for name in ("cosine_topk", "lsh_topk"))
+    assert len(exact & near) / len(exact) >= 0.93
+
+
 def test_bm25_counts_over_all_documents(spark):
     d = spark.createDataFrame([(1, "graph graph node"), (2, "graph"), (3, None), (4, "other")], "id bigint, text string")
     got = search.bm25(d, "id", "text", "Graph node").collect()
