@@ -96,3 +96,61 @@ def test_objects_are_stored_once_and_children_link_to_parents(spark):
 def test_empty_table(spark):
     objects, bridge = nested.shred(spark.createDataFrame([], SCHEMA))
     assert objects.count() == 0 and bridge.count() == 0
+
+
+def shredded(line):
+    """(object rows by hash, bridge rows) of one line, straight from the shredder."""
+    s = nested._Shredder()
+    s.line(1, nested.parse_line(line))
+    rows = [dict(zip(nested._FIELDS, r)) for r in s.rows]
+    return {r["hash"]: r for r in rows if r["part"] == "object"}, [r for r in rows if r["part"] == "bridge"]
+
+
+def node_hash(node):
+    _, bridge = shredded(json.dumps({"nodes": [node]}))
+    return next(r["hash"] for r in bridge if r["role"] == "node")
+
+
+def test_identity_covers_every_field():
+    base = {"id": "a", "type": "T", "weight": 0.5, "tags": ["x", "y"], "deep": {"l": [{"k": 1}]}}
+    assert node_hash(base) == node_hash(dict(reversed(base.items())))
+    for change in ({"weight": 0.6}, {"weight": "0.5"}, {"tags": ["y", "x"]}, {"tags": None}, {"deep": {"l": [{"k": 2}]}}, {"id": None}, {"type": 5}, {"metadata": [{"key": "k"}]}, {"metadata": ["no entry"]}):
+        assert node_hash({**base, **change}) != node_hash(base), change
+    one, text = ({"id": "a", "metadata": [{"key": "k", "value": v}]} for v in (1, "1"))
+    assert node_hash(one) != node_hash(text)
+
+
+def test_nothing_of_a_line_is_lost():
+    doc = {"nodes": [{"id": "n", "original_chunk_ids": ["c1", {"c": 2}], "metadata": [{"key": "k", "value": {"in": [1, {"deep": True}]}, "unit": "mm"}, "stray"]}, "odd"], "relationships": [{"source": 5, "target": "n", "type": "R", "metadata": {"w": [1]}}], "source": "plain", "run": {"at": "x"}}
+    objects, bridge = shredded(json.dumps({"batch": 7, "meta": {"a": {"b": "leaf"}}, "documents": [doc, "loose"]}))
+    everything = json.dumps([list(o.values()) for o in objects.values()])
+    for word in ("c1", "deep", "mm", "stray", "odd", "leaf", "loose", "plain", '"w:', "batch", '\\"at\\"'):
+        assert word in everything, word
+    by_occ = {r["occ"]: r for r in bridge}
+    for r in bridge:  # every child hash is a child of its parent's object
+        if r["parent_occ"]:
+            assert any(c.endswith(r["hash"]) for c in objects[by_occ[r["parent_occ"]]["hash"]]["children"]) or by_occ[r["parent_occ"]]["role"] == "line"
+    assert {r["role"] for r in bridge} == {"line", "document", "node", "metadata", "field", "relationship", "rel_target", "source"}
+
+
+def test_any_depth(spark):
+    deep = "[" * 30_000 + "1" + "]" * 30_000
+    line = '{"nodes": [{"id": "a", "metadata": [{"key": "k", "value": ' + deep + "}]}]}"
+    assert entries(spark, [line, json.dumps(line)]) == [(0, 0, "node", 0, "k"), (1, 0, "node", 0, "k")]
+
+
+def test_deep_decoder_reads_what_the_standard_one_reads():
+    from graphloom.operators import jsonvalue
+
+    good = ['{"a":[1,-2.50e+3,{"b":null,"c":[]}],"d":{},"e":"x\\u00e9\\"y","a":true}', " [ ] ", "0", '"s"', "[[],{},[{}]]", '{"a" : 1 , "b":[ 2 , 3 ]}']
+    bad = ["", "[", "[1,]", "{,}", '{"a"}', '{"a":1,}', "[1 2]", "01", "1.", "nul", '"\n"', "[1]]", '{"a":1]', "NaN", "{1:2}", "-", "tru e"]
+    for text in good:
+        assert jsonvalue._decode_deep(text) == jsonvalue._decode(text)
+    for text in bad:
+        for read in (jsonvalue._decode_deep, jsonvalue._decode):
+            try:
+                read(text)
+            except ValueError:
+                continue
+            raise AssertionError((read, text))
+    assert jsonvalue.canonical_text(jsonvalue.decode(good[0])) == '{"a":true,"d":{},"e":"xé\\"y"}'
