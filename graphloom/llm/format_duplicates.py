@@ -1,90 +1,187 @@
 """Records that differ only in whitespace, letter case, punctuation or field order.
 
-Progressive partition refinement. First the cheap invariants, computed in the JVM: the number of
-letters and digits and a hash of their histogram; neither changes with formatting or field order, so
-copies share a class. Only rows in classes with several members go on, and only their texts move:
-they are joined back by their unique id. The costlier key, the hash of the canonical form (objects
-with fields sorted, strings reduced to lower-case letters and digits, array order and the difference
-between absent, null and empty kept), splits the classes into groups of copies.
+Progressive partition refinement, every step on the members of the step before that share a class:
 
-Group counts combine map-side; the join that brings each member its group's first id salts hot
-groups. Nothing is compared in pairs.
+1. length: the number of characters that formatting does not touch. Lengths fall into ``LENGTHS``
+   buckets, so the classes with several members are one bitmap of fixed size;
+2. length and letter histogram, only for records whose length class has several members. The classes
+   with several members become a Bloom filter of ``FILTER_BITS`` bits: its size is a parameter, and
+   what it lets through by chance only reaches the next step, it never changes the result;
+3. the hash of the canonical form, only for records that pass the filter. It alone decides.
+
+Each step reads the lines again through the filter of the step before: texts are never shuffled,
+only ids and hashes are. Group counts combine map-side, and the join that brings each member its
+group's first id salts hot groups. Nothing is compared in pairs.
+
+What formatting is: white space (with zero-width space and byte order mark), everything Unicode calls
+punctuation, and letter case (full case folding, after the punctuation is gone). Symbols (+ $ < = ^),
+combining marks and emoji are content. Numbers are compared as written. The order of fields does not
+matter, that of array elements does; absent, null and empty are different.
 
 Defined results: lines that are null, blank, broken or hold no JSON object are no records; a record
-encoded twice is unwrapped once; of repeated ids the rows count as the same record; groups of one
-are records with one copy.
+encoded twice is unwrapped once; of a field that one object repeats the last counts; nesting of any
+depth is read; of repeated ids the rows count as the same record; groups of one are records with one
+copy.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from graphloom.operators.nested import parse_line
+from graphloom.operators.jsonvalue import Number, canonical_text, parse_line, places
 from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.storage import materialize
 from graphloom.tables import wide_enough
 
-_NOISE = r"[^\p{L}\p{N}]+"
-_noise = regex.compile(_NOISE)
+#: Buckets of lengths; one bit each is broadcast.
+LENGTHS = 1 << 20
+#: Bits of the Bloom filter over histogram classes; 1/8 byte each is broadcast.
+FILTER_BITS = 1 << 25
+_CHUNK = 1 << 15  # bits of one row of a bitmap under construction
+
+_noise = regex.compile(r"[\p{P}\p{Z}\s​﻿]+")
+_ascii_noise = re.compile(r"[\s!-#%-*,-/:;?@\[-\]_{}]+")
+_escape = re.compile(r"\\(?:u[0-9a-fA-F]{4}|.)")
+
+
+def bare(text: str) -> str:
+    """A text without what formatting can change."""
+    return (_ascii_noise if text.isascii() else _noise).sub("", text).casefold()
+
+
+def canonical(value) -> str:
+    """A hash of a value that formatting and field order do not change; bottom-up, without recursion."""
+    every = places(value) if isinstance(value, (dict, list)) else []
+    if not every:
+        return _leaf(value)
+    digests = [""] * len(every)
+    below: list[dict[int, str]] = [{} for _ in every]
+    for at in range(len(every) - 1, -1, -1):
+        above, _, ordinal, held = every[at]
+        mine = below[at]
+        if isinstance(held, dict):
+            parts = sorted(f"{_word(k)}\x00{mine[i] if i in mine else _leaf(v)}" for i, (k, v) in enumerate(held.items()))
+            content = "o\x01" + "\x01".join(parts)
+        else:
+            content = "a\x01" + "\x01".join([mine[i] if i in mine else _leaf(v) for i, v in enumerate(held)])
+        digests[at] = "h" + blake2b(content.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        if above >= 0:
+            below[above][ordinal] = digests[at]
+    return digests[0]
+
+
+def _word(text: str) -> str:
+    """The bare text; control characters, which the separators are, come out escaped."""
+    text = bare(text)
+    return text if text.isprintable() else repr(text)
+
+
+def _leaf(value) -> str:
+    if type(value) is str:
+        return "s" + _word(value)
+    if isinstance(value, Number):
+        return "n" + value.lower()
+    return "v" + str(value)
+
+
+def _content(value) -> str:
+    """All characters of a record that formatting does not touch; a little coarser than :func:`canonical`."""
+    try:
+        text = _plain(value)
+    except RecursionError:
+        text = canonical_text(value)
+    return bare(_escape.sub("", text))
+
+
+class _Encoder:
+    """JSON text of a parsed value by the C encoder; numbers come out as strings, which the histogram does not mind."""
+
+    def __init__(self) -> None:
+        import json
 
+        self.encode = json.JSONEncoder(ensure_ascii=False, check_circular=False).encode
 
-def _plain_json(text: Column) -> Column:
-    """The JSON text with escapes resolved as far as they hide letters; null where the JVM can't parse it."""
-    outer = F.try_parse_json(F.regexp_replace(text, "^[\\s﻿]+", ""))
-    inner = F.try_variant_get(outer, "$", "string")
-    unwrapped = F.when(text.rlike('^[\\s﻿]*"'), F.try_parse_json(inner)).otherwise(outer)
-    return F.regexp_replace(F.to_json(unwrapped), r"\\(u00[0-9a-fA-F]{2}|[bfnrt])", " ")
 
+_plain = _Encoder().encode
 
-def cheap_class(text: Column) -> Column:
-    """Invariants under formatting and field order: count and histogram of the letters and digits."""
-    bare = F.regexp_replace(F.lower(F.upper(_plain_json(text))), _NOISE, "")
-    histogram = F.array_join(F.array_sort(F.split(bare, "")), "")
-    return F.concat_ws(":", F.length(bare).cast("string"), F.xxhash64(histogram).cast("string"))
 
+def _histogram(content: str) -> int:
+    """Class of length and letter histogram, as a number of 63 bits."""
+    return int.from_bytes(blake2b("".join(sorted(content)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
-def canonical(value):
-    """A hashable form that formatting and field order do not change."""
-    if isinstance(value, dict):
-        return ["o", *sorted(([_noise.sub("", k.upper().lower()), canonical(v)] for k, v in value.items()), key=lambda kv: json.dumps(kv))]
-    if isinstance(value, list):
-        return ["a", *(canonical(v) for v in value)]
-    if isinstance(value, str):
-        return ["s", _noise.sub("", value.upper().lower())]
-    return ["v", json.dumps(value)]
 
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
+    for line_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        try:
+            value = parse_line(line)
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            yield line_id, value
 
-def _canonical_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, hashes = [], []
-        for line_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            try:
-                value = parse_line(line)
-            except ValueError:
-                continue
-            if isinstance(value, dict):
-                ids.append(line_id)
-                hashes.append(blake2b(json.dumps(canonical(value)).encode(), digest_size=16).hexdigest())
-        yield pa.RecordBatch.from_pydict({"line_id": pa.array(ids, pa.int64()), "canon": pa.array(hashes, pa.string())})
+
+def _has(bits: bytes, at: int) -> bool:
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def _bitmap(positions: DataFrame, size: int) -> bytes:
+    """``size`` bits, those at the positions ``at`` set; chunks are put together by the executors."""
+    chunks = positions.select(F.col("at")).groupBy(F.floor(F.col("at") / _CHUNK).cast("bigint").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(at % {_CHUNK})").alias("bits"))
+    out = bytearray(size >> 3)
+    for row in chunks.collect():  # at most size / _CHUNK rows of 4 KB
+        start = row.chunk * (_CHUNK >> 3)
+        part = bytes(row.bits)[: _CHUNK >> 3]
+        out[start : start + len(part)] = part
+    return bytes(out)
+
+
+def _filter_bits(key: int) -> tuple[int, int]:
+    return key % FILTER_BITS, (key >> 25) % FILTER_BITS
+
+
+def _step(rows: DataFrame, keys: Callable[[int, dict], list], schema: str) -> DataFrame:
+    """One reading of the lines: what ``keys`` gives of each record."""
+    fields = [f.split() for f in schema.split(", ")]
+    types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[t] for _, t in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [row for line_id, value in _records(batch) for row in keys(line_id, value)]
+            columns = list(zip(*found)) if found else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[n for n, _ in fields])
+
+    return rows.mapInArrow(run, schema)
 
 
 def refine(lines: DataFrame, id_column: str = "line_id", text_column: str = "line") -> DataFrame:
-    """(line_id, canon): the canonical hash of every record that shares its cheap class with another.
+    """(line_id, canon): the canonical hash of every record that shares its length and histogram class with another."""
+    spark = lines.sparkSession
+    raw = wide_enough(lines.select(F.col(id_column).cast("bigint").alias("line_id"), F.col(text_column).alias("line")).where(F.col("line").isNotNull()))
+
+    lengths = _step(raw, lambda _, value: [(len(_content(value)) % LENGTHS,)], "at int")
+    several = spark.sparkContext.broadcast(_bitmap(lengths.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("at").cast("bigint")), LENGTHS))
+
+    def classes(_: int, value: dict) -> list:
+        content = _content(value)
+        return [(_histogram(content),)] if _has(several.value, len(content) % LENGTHS) else []
+
+    shared = _step(raw, classes, "class bigint").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = shared.select(F.explode(F.array(F.col("class") % FILTER_BITS, F.shiftrightunsigned("class", 25) % FILTER_BITS)).alias("at"))
+    passing = spark.sparkContext.broadcast(_bitmap(bits, FILTER_BITS))
 
-    Lines the JVM's parser refuses share the class without a key and are settled by the canonical key.
-    """
-    raw = lines.select(F.col(id_column).cast("bigint").alias("line_id"), F.col(text_column).alias("line")).where(F.col("line").isNotNull())
-    classes = materialize(wide_enough(raw).select("line_id", F.coalesce(cheap_class(F.col("line")), F.lit("?")).alias("class")), "classes")
-    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    sizes = materialize(sizes, "class-sizes")
-    members = salted_join(classes, sizes.select("class"), "class", hot_keys(sizes, "class"), F.col("line_id")).select("line_id")
-    return raw.join(members, "line_id").select("line_id", "line").mapInArrow(_canonical_hashes, "line_id bigint, canon string")
+    def keys(line_id: int, value: dict) -> list:
+        content = _content(value)
+        if not _has(several.value, len(content) % LENGTHS) or not all(_has(passing.value, b) for b in _filter_bits(_histogram(content))):
+            return []
+        return [(line_id, canonical(value))]
+
+    return _step(raw, keys, "line_id bigint, canon string")
 
 
 def copies(lines: DataFrame, id_column: str = "line_id", text_column: str = "line") -> DataFrame:
@@ -100,18 +197,6 @@ def collapse(lines: DataFrame, id_column: str = "line_id", text_column: str = "l
     raw = lines.select(F.col(id_column).cast("bigint").alias("line_id"), F.col(text_column).alias("line"))
     found = materialize(copies(lines, id_column, text_column), "copies")
     firsts = found.groupBy(F.col("first_line_id").alias("line_id")).agg((F.count(F.lit(1)) + 1).alias("copies"))
-    records = wide_enough(raw).mapInArrow(_object_ids, "line_id bigint")
+    records = _step(wide_enough(raw), lambda line_id, _: [(line_id,)], "line_id bigint")
     rest = records.join(found.select("line_id"), "line_id", "left_anti")
     return rest.join(firsts, "line_id", "left").select("line_id", F.coalesce("copies", F.lit(1)).alias("copies"))
-
-
-def _object_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = []
-        for line_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            try:
-                if isinstance(parse_line(line), dict):
-                    ids.append(line_id)
-            except ValueError:
-                continue
-        yield pa.RecordBatch.from_pydict({"line_id": pa.array(ids, pa.int64())})

@@ -110,3 +110,34 @@ def test_long_texts(spark):
     big = json.dumps({"id": "word " * 200_000})
     got = dup.copies(lines(spark, [big, big.upper().replace('"ID"', '"id"'), json.dumps({"id": "x"})])).collect()
     assert [(r.first_line_id, r.line_id) for r in got] == [(0, 10)]
+
+
+def test_symbols_marks_and_emoji_are_content(spark):
+    pairs = [("C++", "C"), ("+1", "-1"), ("$5", "€5"), ("a<b", "a>b"), ("कि", "की"), ("😀", "😢")]
+    texts = [json.dumps({"id": x}, ensure_ascii=False) for pair in pairs for x in pair]
+    assert dup.copies(lines(spark, texts)).count() == 0 and dup.collapse(lines(spark, texts)).count() == 12
+
+
+def test_case_is_folded_after_the_punctuation(spark):
+    texts = [json.dumps({"id": "ΛΟΓΟΣ Α"}, ensure_ascii=False), json.dumps({"ID": "λογοσα"}), json.dumps({"id": "ΛΟΓΟΣΑ."}), '{"n": 1e2}', '{"n": 100.0}', '{"N": 1E2}']
+    got = {(r.first_line_id, r.line_id) for r in dup.copies(lines(spark, texts)).collect()}
+    assert got == {(0, 10), (0, 20), (30, 50)}
+
+
+def test_deep_records_are_copies_too(spark):
+    deep = "[" * 30_000 + '"Deep"' + "]" * 30_000
+    texts = ['{"a": ' + deep + ', "b": 1}', '{"B":1,"a":' + deep.lower() + "}", '{"a": ' + "[" * 900 + "]" * 900 + "}", '{"A" :' + "[ " * 900 + "]" * 900 + "}"]
+    got = {(r.first_line_id, r.line_id) for r in dup.copies(lines(spark, texts)).collect()}
+    assert got == {(0, 10), (20, 30)}
+
+
+def test_steps_never_part_what_the_last_key_joins():
+    rng = random.Random(3)
+    parts = ["Straße", "STRASSE", "ﬁn", "İ", "K", "x\ny", "a\u0001b", "q\\n", "-", "1", "é", "“z”", "\u2003", "C++", "\ud800"]
+    by_key = {}
+    for _ in range(4000):
+        value = {rng.choice("abAB"): [rng.choice(parts), rng.choice([1, 1.5, None, True, "1", "15"])], rng.choice("cC_"): "".join(rng.choices(parts, k=2))}
+        parsed = dup.parse_line(json.dumps(value, ensure_ascii=rng.random() < 0.5))
+        content = dup._content(parsed)
+        by_key.setdefault(dup.canonical(parsed), set()).add((len(content), dup._histogram(content)))
+    assert all(len(v) == 1 for v in by_key.values()) and len(by_key) > 500
