@@ -66,6 +66,37 @@ def test_copies_of_a_garbled_text_do_not_hide_it(spark, copies):
     assert set(back) == want and all("réseau complète les données" in t for t in back.values())
 
 
+SCRIPTS = ["😀 hi 🎉 there", "中文字符测试", "これはテストです", "שלום עולם", "مرحبا بالعالم", "ภาษาไทย", "Ελληνικά, έκδοση ήταν", "oﬁx ﬁeld", "costs ₹5", "a ≡ b", "Kağıt üzerinde", "한국어 문장"]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+@pytest.mark.parametrize("wrong", ["cp1252", "latin_1", "cp437", "cp1251"])
+def test_sequences_of_every_script(text, wrong):
+    assert moji.repair(moji._read(text.encode("utf-8"), wrong), {}) == (text, True)
+    assert moji.sequence_spans(text) == []
+
+
+@pytest.mark.parametrize("text", ["«\xa0employé\xa0»", "“employé…”", "so „groß”", "à «\xa0mot\xa0»", "CAFÉ»", "работа так тел раб", "«слово…»", "使用BERT模型进行测试，结果如下", "Ærø ½²", "żółć gęślą", "日本語のテスト", "русский — «цитата»…"])
+def test_correct_text_is_left_alone(text):
+    assert moji.sequence_spans(text) == []
+
+
+@pytest.mark.parametrize("wrong", ["gbk", "cp949"])
+def test_multi_byte_encodings(wrong):
+    assert moji.repair("déjà élevé".encode().decode(wrong), {}) == ("déjà élevé", True)
+    assert moji.repair("中文测试".encode("gb2312").decode("latin_1"), {}) == ("中文测试", True)
+
+
+def test_scripts_are_found_in_a_collection(spark):
+    bad = [moji._read(t.encode(), "cp1252") for t in ("emoji 😀", "中文字符", "שלום", "été")]
+    assert {r.doc_id for r in moji.affected(documents(spark, [*SCRIPTS, *bad])).collect()} == set(range(len(SCRIPTS), len(SCRIPTS) + 4))
+
+
+def test_more_garbled_words_than_fit_the_automaton(spark, monkeypatch):
+    monkeypatch.setattr(moji, "PATTERNS", 1)
+    test_found_and_restored(spark)
+
+
 BODY = "The reader compresses the passage only for redundant inputs and the careful decoder selects every low-rank sentence. "
 
 
