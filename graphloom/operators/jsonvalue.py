@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from json.decoder import scanstring
+from json.encoder import encode_basestring
 
 
 class Number(str):
@@ -115,9 +116,9 @@ def nested(value) -> bool:
 
 def literal(value) -> str:
     """A scalar as JSON."""
-    if isinstance(value, Number):
-        return str(value)
-    return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return str(value) if isinstance(value, Number) else encode_basestring(value)
+    return "null" if value is None else "true" if value else "false"
 
 
 def places(value) -> list[list]:
@@ -145,7 +146,7 @@ def canonical_text(value) -> str:
         elif isinstance(it, dict):
             todo.append((True, "}"))
             for n, (name, child) in enumerate(sorted(it.items(), key=lambda kv: kv[0], reverse=True), 1):
-                todo += [(False, child), (True, ("," if n < len(it) else "") + json.dumps(name, ensure_ascii=False) + ":")]
+                todo += [(False, child), (True, ("," if n < len(it) else "") + encode_basestring(name) + ":")]
             todo.append((True, "{"))
         elif isinstance(it, list):
             todo.append((True, "]"))

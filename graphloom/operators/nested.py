@@ -45,10 +45,10 @@ SHRED_SCHEMA = (
     "part string, line_id bigint, occ int, parent_occ int, role string, field string, doc_pos int, owner string, owner_pos int, "
     "ordinal int, key_ordinal int, hash string, id string, type string, meta_key string, meta_value string, fields string, children array<string>"
 )
-_FIELDS = [f.split()[0] for f in SHRED_SCHEMA.split(", ")]
 _ARROW = pa.schema(
     [(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (f.split() for f in SHRED_SCHEMA.split(", "))]
 )
+_content = json.JSONEncoder(ensure_ascii=False, check_circular=False, separators=(",", ":")).encode
 #: Hashes a task remembers to drop repeats before the shuffle; beyond it the memory starts anew.
 REMEMBERED = 100_000
 
@@ -101,29 +101,29 @@ def _text(value) -> str | None:
     if value is None:
         return None
     text = value if isinstance(value, str) else canonical_text(value)
-    return text.encode("utf-8", "replace").decode("utf-8")
+    return str(text) if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
 _OWN = {"node": {"id", "type", "metadata"}, "endpoint": {"id", "type", "metadata"}, "source": {"source_id", "source_type", "metadata"}, "relationship": {"source", "target", "type"}, "document": {"nodes", "relationships", "source"}}
 
 
 class _Shredder:
-    """Rows of one task; ``objects`` seen are dropped again."""
+    """Rows of one task; objects it has seen are dropped again."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple] = []
-        self.seen: set[str] = set()
+        self.objects: list[tuple] = []
+        self.bridge: list[tuple] = []
+        self.seen: dict[tuple, str] = {}
 
     def obj(self, kind: str, id_=None, type_=None, key=None, value=None, fields: str | None = None, children=(), literals=()) -> str:
         """Store an object; ``literals`` tell apart what the texts do not (the number 1 and the text "1")."""
-        children = list(children)
-        content = json.dumps([kind, id_, type_, key, value, fields, children, literals], ensure_ascii=False, separators=(",", ":"))
-        digest = blake2b(content.encode("utf-8", "replace"), digest_size=16).hexdigest()
-        if digest not in self.seen:
+        content = (kind, id_, type_, key, value, fields, tuple(children), *literals)
+        digest = self.seen.get(content)
+        if digest is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            self.seen.add(digest)
-            self.rows.append(("object", None, None, None, kind, None, None, None, None, None, None, digest, id_, type_, key, value, fields, children))
+            digest = self.seen[content] = blake2b(_content(content).encode("utf-8", "replace"), digest_size=16).hexdigest()
+            self.objects.append((kind, digest, id_, type_, key, value, fields, list(content[6])))
         return digest
 
     def subtree(self, value) -> list[tuple]:
@@ -176,12 +176,12 @@ class _Shredder:
         return digest, entries, below
 
     def line(self, line_id: int, value) -> None:
-        occ = 0
+        occ, add = 0, self.bridge.append
 
         def emit(parent: int, role: str, doc_pos: int, owner: str | None, owner_pos: int, ordinal: int, key_ordinal: int, digest: str, field: str | None = None) -> int:
             nonlocal occ
             occ += 1
-            self.rows.append(("bridge", line_id, occ, parent, role, field, doc_pos, owner, owner_pos, ordinal, key_ordinal, digest, None, None, None, None, None, None))
+            add((line_id, occ, parent, role, field, doc_pos, owner, owner_pos, ordinal, key_ordinal, digest))
             return occ
 
         def emit_below(parent: int, doc_pos: int, owner: str | None, owner_pos: int, below) -> None:
@@ -256,13 +256,23 @@ def _kids(below: list[tuple[str, list]]) -> list[str]:
     return sorted(f"{field}:{tree[0][3]}" for field, tree in below)
 
 
+_OBJECT = ["role", "hash", "id", "type", "meta_key", "meta_value", "fields", "children"]
+_BRIDGE = ["line_id", "occ", "parent_occ", "role", "field", "doc_pos", "owner", "owner_pos", "ordinal", "key_ordinal", "hash"]
+
+
+def _batch(part: str, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    held = dict(zip(names, zip(*rows)))
+    columns = [pa.array([part] * len(rows), f.type) if f.name == "part" else pa.array(held[f.name], f.type) if f.name in held else pa.nulls(len(rows), f.type) for f in _ARROW]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shredder = _Shredder()
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*shredder.rows)) if shredder.rows else [[] for _ in _FIELDS]
-        shredder.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
+    def flush() -> Iterator[pa.RecordBatch]:
+        for part, names, rows in (("object", _OBJECT, shredder.objects), ("bridge", _BRIDGE, shredder.bridge)):
+            yield _batch(part, names, rows)
+            rows.clear()
 
     for batch in batches:
         for line_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -270,9 +280,9 @@ def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 shredder.line(line_id, parse_line(line))
             except ValueError:
                 continue
-            if len(shredder.rows) >= 20_000:
-                yield flush()
-        yield flush()
+            if len(shredder.bridge) >= 20_000:
+                yield from flush()
+        yield from flush()
 
 
 def shred(lines: DataFrame, id_column: str = "line_id", text_column: str = "line") -> tuple[DataFrame, DataFrame]:

@@ -102,8 +102,7 @@ def shredded(line):
     """(object rows by hash, bridge rows) of one line, straight from the shredder."""
     s = nested._Shredder()
     s.line(1, nested.parse_line(line))
-    rows = [dict(zip(nested._FIELDS, r)) for r in s.rows]
-    return {r["hash"]: r for r in rows if r["part"] == "object"}, [r for r in rows if r["part"] == "bridge"]
+    return {r["hash"]: r for r in (dict(zip(nested._OBJECT, o)) for o in s.objects)}, [dict(zip(nested._BRIDGE, b)) for b in s.bridge]
 
 
 def node_hash(node):
