@@ -27,13 +27,16 @@ copy.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.llm.bitmaps import bitmap, has
 from graphloom.operators.jsonvalue import Number, canonical_text, parse_line, places
 from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.storage import materialize
@@ -43,16 +46,15 @@ from graphloom.tables import wide_enough
 LENGTHS = 1 << 20
 #: Bits of the Bloom filter over histogram classes; 1/8 byte each is broadcast.
 FILTER_BITS = 1 << 25
-_CHUNK = 1 << 15  # bits of one row of a bitmap under construction
 
 _noise = regex.compile(r"[\p{P}\p{Z}\s​﻿]+")
-_ascii_noise = re.compile(r"[\s!-#%-*,-/:;?@\[-\]_{}]+")
+_ascii_noise = dict.fromkeys(i for i in range(128) if _noise.fullmatch(chr(i)))
 _escape = re.compile(r"\\(?:u[0-9a-fA-F]{4}|.)")
 
 
 def bare(text: str) -> str:
     """A text without what formatting can change."""
-    return (_ascii_noise if text.isascii() else _noise).sub("", text).casefold()
+    return text.translate(_ascii_noise).lower() if text.isascii() else _noise.sub("", text).casefold()
 
 
 def canonical(value) -> str:
@@ -78,10 +80,17 @@ def canonical(value) -> str:
 
 def _word(text: str) -> str:
     """The bare text; control characters, which the separators are, come out escaped."""
+    return _short_word(text) if len(text) <= 64 else _long_word(text)
+
+
+def _long_word(text: str) -> str:
     text = bare(text)
     return text if text.isprintable() else repr(text)
 
 
+_short_word = lru_cache(1 << 16)(_long_word)
+
+
 def _leaf(value) -> str:
     if type(value) is str:
         return "s" + _word(value)
@@ -113,7 +122,8 @@ _plain = _Encoder().encode
 
 def _histogram(content: str) -> int:
     """Class of length and letter histogram, as a number of 63 bits."""
-    return int.from_bytes(blake2b("".join(sorted(content)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+    counts = "\0".join([f"{c}{content.count(c)}" for c in sorted(set(content))]) if len(content) < 1 << 16 else "\0".join(f"{c}{n}" for c, n in sorted(Counter(content).items()))
+    return int.from_bytes(blake2b(counts.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
 def _records(batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
@@ -126,21 +136,6 @@ def _records(batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
             yield line_id, value
 
 
-def _has(bits: bytes, at: int) -> bool:
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
-def _bitmap(positions: DataFrame, size: int) -> bytes:
-    """``size`` bits, those at the positions ``at`` set; chunks are put together by the executors."""
-    chunks = positions.select(F.col("at")).groupBy(F.floor(F.col("at") / _CHUNK).cast("bigint").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(at % {_CHUNK})").alias("bits"))
-    out = bytearray(size >> 3)
-    for row in chunks.collect():  # at most size / _CHUNK rows of 4 KB
-        start = row.chunk * (_CHUNK >> 3)
-        part = bytes(row.bits)[: _CHUNK >> 3]
-        out[start : start + len(part)] = part
-    return bytes(out)
-
-
 def _filter_bits(key: int) -> tuple[int, int]:
     return key % FILTER_BITS, (key >> 25) % FILTER_BITS
 
@@ -165,19 +160,19 @@ def refine(lines: DataFrame, id_column: str = "line_id", text_column: str = "lin
     raw = wide_enough(lines.select(F.col(id_column).cast("bigint").alias("line_id"), F.col(text_column).alias("line")).where(F.col("line").isNotNull()))
 
     lengths = _step(raw, lambda _, value: [(len(_content(value)) % LENGTHS,)], "at int")
-    several = spark.sparkContext.broadcast(_bitmap(lengths.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("at").cast("bigint")), LENGTHS))
+    several = spark.sparkContext.broadcast(bitmap(lengths.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("at").cast("bigint")), LENGTHS))
 
     def classes(_: int, value: dict) -> list:
         content = _content(value)
-        return [(_histogram(content),)] if _has(several.value, len(content) % LENGTHS) else []
+        return [(_histogram(content),)] if has(several.value, len(content) % LENGTHS) else []
 
     shared = _step(raw, classes, "class bigint").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bits = shared.select(F.explode(F.array(F.col("class") % FILTER_BITS, F.shiftrightunsigned("class", 25) % FILTER_BITS)).alias("at"))
-    passing = spark.sparkContext.broadcast(_bitmap(bits, FILTER_BITS))
+    passing = spark.sparkContext.broadcast(bitmap(bits, FILTER_BITS))
 
     def keys(line_id: int, value: dict) -> list:
         content = _content(value)
-        if not _has(several.value, len(content) % LENGTHS) or not all(_has(passing.value, b) for b in _filter_bits(_histogram(content))):
+        if not has(several.value, len(content) % LENGTHS) or not all(has(passing.value, b) for b in _filter_bits(_histogram(content))):
             return []
         return [(line_id, canonical(value))]
 
