@@ -1,16 +1,25 @@
 """Text of scanned pages: furniture out, words mended, paragraphs reflowed.
 
-Three things are learned from the whole collection before any text is touched:
-
-* running heads: lines beside page numbers, keyed by their OCR-insensitive skeleton, per source;
-* the vocabulary: every word that makes up at least ``VOCABULARY_SHARE`` of all word tokens (so at
-  most 1 / share words, the bound of what is broadcast) and occurs ``LEAST`` times;
-* letter bigrams of capitalised unknown words, to judge names no vocabulary has.
-
-A word outside the vocabulary runs through a Levenshtein automaton over OCR confusions (one edit is
-one confusion, up to ``MAX_EDITS``) intersected with the vocabulary trie, which yields every word it
-can be a misreading of. Candidates are ranked by edits, by occurrence elsewhere in the same text
-and by frequency. Words split at a line end are joined across furniture before they are judged.
+Two readings of the texts, and between them work on distinct words only:
+
+1. The first lays every text out once and yields running-head candidates (lines keyed by their
+   OCR-insensitive skeleton, per source), the words as written with their counts, and the pairs of
+   word parts that a line end divides. All are summed up in the reading tasks first.
+2. Over distinct words: each word and each joined pair runs through a weighted Levenshtein automaton
+   (an OCR confusion costs 1, an insertion, deletion, substitution or swap of neighbours 2, up to
+   ``budget``), intersected with the trie of the vocabulary. The vocabulary is every word with at
+   least ``LEAST`` uses, in shards of ``SHARD`` words that different tasks hold, so it may grow with
+   the collection; retrieval is complete within the budget. Whether a candidate explains a word is a
+   matter of ratios (``RATIO``, ``KNOWN_RATIO``), which no collection size changes.
+3. The second reading tells furniture from text with the known running heads and takes the findings
+   of step 2 for its words, ranking candidates of equal cost by occurrence in the same text, then by
+   frequency. The findings are broadcast if they are at most ``FINDINGS``; beyond that each text gets
+   its own by joins (a Bloom filter of fixed size first drops the words without any), with the same
+   result.
+
+A candidate more than confusions away can be an inflection or another word: it counts only in a scanned
+text in which it occurs itself, for a word that is rare beside it and no shorter or longer form of it.
+Letter bigrams of capitalised rare words judge names no vocabulary has.
 
 Defined results: null and empty texts give no lines; fenced code and table rows are left alone; a
 number list is no furniture; a hyphen that belongs to a word stays; repeated texts are each treated;
@@ -19,27 +28,38 @@ texts of any length are worked on whole.
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.canonical import swap_distance
+from graphloom.llm.bitmaps import bitmap, has
 from graphloom.operators.skew import hot_keys, salted_join
 from graphloom.storage import materialize
-from graphloom.tables import missing_partitions, wide_enough
+from graphloom.tables import wide_enough
 
-VOCABULARY_SHARE = 5e-6
+#: Uses from which a word belongs to the vocabulary.
 LEAST = 3
-MAX_EDITS = 3
-#: A known word still counts as misread if a candidate is this many times as frequent.
+#: A candidate explains a word if it is this many times as frequent.
+RATIO = 5
+#: The same for a word that clean text uses, and for candidates more than confusions away.
 KNOWN_RATIO = 100
+#: Words of the vocabulary whose trie one task holds.
+SHARD = 200_000
+#: Findings (running heads and words) that are broadcast.
+FINDINGS = 500_000
+FILTER_BITS = 1 << 25
 #: Log-likelihood gain from which a name counts as misread.
 NAME_GAIN = 3.5
 REMEMBERED = 200_000
+#: A longer line is a paragraph, not a running head.
+HEAD_WIDTH = 250
 
 # What the scanner takes letters for.
 CONFUSIONS = [
@@ -54,7 +74,9 @@ SMALL = {"and", "et", "al", "of", "the", "in", "on", "for", "vol", "no", "pp", "
 
 _number = r"(?:\d{1,4}|\d(?: \d){1,3}|[ivxlc]{1,7}|[\dlIOoi!|SB]{1,4})"
 PAGE = rf"(?:[-—–\[(]\s*{_number}\s*[-—–\])]|(?:[Pp]\S{{2}}e\s+|[Pp]\.\s*)?{_number}(?:\s*(?:/|of|0f)\s*{_number})?)"
-_page_line = regex.compile(rf"\s*{PAGE}\s*")
+_page_line = regex.compile(PAGE)
+#: The longest page number with what may stand around it.
+PAGE_WIDTH = 40
 _page_after = regex.compile(rf"(\S.*?)(?:\s{{2,}}|\s+\|\s+)({PAGE})\s*")
 _page_before = regex.compile(rf"\s*({PAGE})(?:\s{{2,}}|\s+\|\s+)(\S.*?)\s*")
 _cue = regex.compile(r"[:·—]|\bet\s+al\b|\d")
@@ -80,8 +102,10 @@ def skeleton(text: str) -> str:
 
 def title_like(line: str) -> bool:
     """Looks like a running head: at least two words, all but small ones capitalised, no sentence end."""
-    words = _alpha.findall(line)
-    if len(line) > 90 or line.lstrip()[:1] in "#|*`{}\"-+>" or len([w for w in words if len(w) > 1]) < 2 or line.rstrip()[-1:] in ",;:?!" + MARKS:
+    for w in line.split():  # most lines of text end here
+        if w[0].islower() and (first := _parts.match(w)) and first.group().lower() not in SMALL:
+            return False
+    if line.lstrip()[:1] in "#|*`{}\"-+>" or line.rstrip()[-1:] in ",;:?!" + MARKS or len([w for w in _alpha.findall(line) if len(w) > 1]) < 2:
         return False
     if line.rstrip().endswith(".") and not _et_al.search(line):
         return False
@@ -116,32 +140,10 @@ def _neighbours(lines: list[str], at: int) -> list[int]:
 
 def _number_lines(lines: list[str]) -> set[int]:
     """Lines that can be page numbers: not beside another bare number."""
-    bare = {i for i, line in enumerate(lines) if line.strip() and _page_line.fullmatch(line)}
+    bare = {i for i, line in enumerate(lines) if 0 < len(short := line.strip()) <= PAGE_WIDTH and _page_line.fullmatch(short)}
     return {i for i in bare if not any(j in bare for j in _neighbours(lines, i))}
 
 
-def head_candidates(content: str) -> list[tuple[str, bool, bool]]:
-    """(skeleton, title-like, beside a page number) of the short lines of a text."""
-    lines = content.split("\n")
-    numbers = _number_lines(lines)
-    found = []
-    for i, line in enumerate(lines):
-        if not line.strip() or i in numbers or len(line) > 110 or line.lstrip()[:1] in "#|`{}\"":
-            continue
-        text, set_off = core(line)
-        key = skeleton(text)
-        if len(key) >= 6:
-            found.append((key, title_like(text), set_off or any(j in numbers for j in _neighbours(lines, i))))
-    return found
-
-
-def _is_head(key: str, heads: set[str]) -> bool:
-    """Whether a skeleton is a known running head, but for two letters."""
-    if key in heads:
-        return True
-    return any(abs(len(h) - len(key)) <= 2 and len(h) >= 10 and (h[:4] == key[:4] or h[-4:] == key[-4:]) and swap_distance(key, h, 2) <= 2 for h in heads)
-
-
 @dataclass
 class Layout:
     """What a text's lines are: kind per line ('' for text) and which lines are code or tables."""
@@ -149,11 +151,14 @@ class Layout:
     lines: list[str]
     kinds: list[str]
     fixed: list[bool]
+    #: (skeleton, title-like, beside a page number) of the lines that can be running heads.
+    heads: list[tuple[str, bool, bool]] = field(default_factory=list)
 
 
 def layout(content: str, heads: set[str]) -> Layout:
     """Tell furniture from text; ``heads`` are the skeletons known as running heads of the source."""
     lines = content.split("\n")
+    candidates: list[tuple[str, bool, bool]] = []
     kinds = [""] * len(lines)
     fixed = [False] * len(lines)
     fenced = False
@@ -165,12 +170,15 @@ def layout(content: str, heads: set[str]) -> Layout:
             fixed[i] = fenced or line.lstrip().startswith("|")
     numbers = {i for i in _number_lines(lines) if not fixed[i]}
     for i, line in enumerate(lines):
-        if fixed[i] or not line.strip() or i in numbers or len(line) > 110:
+        if fixed[i] or not line.strip() or i in numbers or len(line) > HEAD_WIDTH or line.lstrip()[:1] in "#|`{}\"":
             continue
         text, set_off = core(line)
         key = skeleton(text)
-        if len(key) >= 6 and (_is_head(key, heads) or (set_off and title_like(text))):
-            kinds[i] = "header"
+        if len(key) >= 6:
+            title = title_like(text)
+            candidates.append((key, title, set_off or any(j in numbers for j in _neighbours(lines, i))))
+            if key in heads or (set_off and title):
+                kinds[i] = "header"
     for i in sorted(numbers):
         near = _neighbours(lines, i)
         if not any(kinds[j] == "header" for j in near):
@@ -180,7 +188,7 @@ def layout(content: str, heads: set[str]) -> Layout:
                 kinds[max(fresh, key=lambda j: (bool(_cue.search(lines[j])), -len(lines[j])))] = "header"
         if any(kinds[j] == "header" for j in near):
             kinds[i] = "page_number"
-    return Layout(lines, kinds, fixed)
+    return Layout(lines, kinds, fixed, candidates)
 
 
 @dataclass
@@ -217,67 +225,108 @@ def tokens(lay: Layout) -> Iterator[Token]:
                 yield Token(i, w)
 
 
-class Vocabulary:
-    """Words with counts, their trie, and the bigrams of names."""
+def budget(length: int) -> int:
+    """The cost up to which candidates of a word are looked for."""
+    return 2 if length < 5 else 3
 
-    def __init__(self, counts: dict[str, int], bigrams: dict[str, int]) -> None:
-        self.counts = counts
-        self.trie: dict = {}
-        for word in counts:
-            node = self.trie
+
+class Trie:
+    """A shard of the vocabulary, and the automaton's walk over it."""
+
+    def __init__(self, words: dict[str, int]) -> None:
+        self.counts = words
+        self.most = max(words.values(), default=0)
+        self.root: dict = {}
+        for word in words:
+            node = self.root
             for ch in word:
                 node = node.setdefault(ch, {})
             node[""] = word
+
+    def candidates(self, word: str, plain: bool = True) -> list[tuple[int, bool, str]]:
+        """(cost, by confusions only, word) of every other word of the shard within the budget.
+
+        The automaton's states at a node are a row {place in the word: twice the cost, odd once a plain edit was made};
+        a node whose row is empty ends the walk. ``plain`` false leaves insertions, deletions, substitutions and swaps out.
+        """
+        most = 2 * budget(len(word)) + 1
+        size = len(word)
+        found: list[tuple[int, bool, str]] = []
+        ends = [[m for m in _MISREAD if word.startswith(m, at)] for at in range(size)]
+        start = {0: 0}
+        if plain:
+            for at in range(1, most // 4 + 1):
+                start[at] = 4 * at | 1
+        stack: list[tuple[dict, dict[int, int], dict[int, int], str]] = [(self.root, start, {}, "")]
+        while stack:
+            node, row, above, before = stack.pop()
+            for c, below in node.items():
+                if not c:
+                    if size in row and below != word:
+                        found.append((row[size] >> 1, not row[size] & 1, below))
+                    continue
+                new: dict[int, int] = {}
+                for at, cost in row.items():
+                    if at < size:
+                        ch = word[at]
+                        if ch == c:
+                            if cost < new.get(at + 1, 99):
+                                new[at + 1] = cost
+                        elif cost + 4 <= most and c.isalpha():
+                            step = cost + 4 if not ch.isalpha() and ch not in "-'’" else (cost + 4) | 1 if plain else 99
+                            if step < new.get(at + 1, 99) and step <= most:
+                                new[at + 1] = step
+                        if cost + 2 <= most:
+                            for misread in ends[at]:
+                                if (c, misread) in _CONFUSED and cost + 2 < new.get(at + len(misread), 99):
+                                    new[at + len(misread)] = cost + 2
+                    if plain and cost + 4 <= most and (cost + 4) | 1 < new.get(at, 99):
+                        new[at] = (cost + 4) | 1
+                for at, cost in above.items():
+                    if at < size and cost + 2 <= most:
+                        for misread in ends[at]:
+                            if (before + c, misread) in _CONFUSED and cost + 2 < new.get(at + len(misread), 99):
+                                new[at + len(misread)] = cost + 2
+                    if plain and at + 1 < size and cost + 4 <= most and word[at] == c and word[at + 1] == before and (cost + 4) | 1 < new.get(at + 2, 99):
+                        new[at + 2] = (cost + 4) | 1
+                if plain:
+                    for at in sorted(new):
+                        place, cost = at, new[at]
+                        while place < size and cost + 4 <= most and (cost + 4) | 1 < new.get(place + 1, 99):
+                            place, cost = place + 1, (cost + 4) | 1
+                            new[place] = cost
+                if new or (row and c in _PAIR_STARTS):
+                    stack.append((below, new, row, c))
+        return sorted(found)
+
+
+_CONFUSED = set(CONFUSIONS)
+_PAIR_STARTS = {plain[0] for plain, _ in CONFUSIONS if len(plain) == 2}
+_MISREAD = sorted({m for _, m in CONFUSIONS})
+
+
+def explains(form: str, n: int, clean: int, word: str, uses: int, confused: bool) -> bool:
+    """Whether a candidate's frequency lets it explain a form with ``n`` uses, ``clean`` of them in clean text."""
+    if confused:
+        return uses >= max(LEAST, (KNOWN_RATIO if clean >= LEAST and form.isalpha() else RATIO) * n)
+    return len(form) >= 5 and form.isalpha() and uses >= KNOWN_RATIO * max(1, n) and not (form.startswith(word) or word.startswith(form) or form.endswith(word) or word.endswith(form))
+
+
+class Names:
+    """Letter bigrams of names, to judge words no vocabulary has; at most 5,000 pairs."""
+
+    def __init__(self, bigrams: dict[str, int]) -> None:
+        self.bigrams = bigrams
         self.firsts: dict[str, int] = {}
         for pair, n in bigrams.items():
             self.firsts[pair[0]] = self.firsts.get(pair[0], 0) + n
-        self.bigrams = bigrams
-        self.memo: dict[str, list[tuple[int, str]]] = {}
-        self.fine: set[str] = set()
-
-    def candidates(self, word: str) -> list[tuple[int, str]]:
-        """(edits, word) of every vocabulary word that ``word`` can be a misreading of."""
-        if word in self.memo:
-            return self.memo[word]
-        found: dict[str, int] = {}
-        stack = [(self.trie, 0, 0)]
-        seen = set()
-        while stack:
-            node, at, edits = stack.pop()
-            if (id(node), at, edits) in seen:
-                continue
-            seen.add((id(node), at, edits))
-            if at == len(word):
-                if "" in node and edits and found.get(node[""], 99) > edits:
-                    found[node[""]] = edits
-                continue
-            if word[at] in node:
-                stack.append((node[word[at]], at + 1, edits))
-            if edits < MAX_EDITS:
-                for plain, misread in CONFUSIONS:
-                    if word.startswith(misread, at):
-                        below = node
-                        for ch in plain:
-                            below = below.get(ch)
-                            if below is None:
-                                break
-                        else:
-                            stack.append((below, at + len(misread), edits + 1))
-                if not word[at].isalpha() and word[at] not in "-'’":
-                    for ch, below in node.items():
-                        if ch.isalpha():
-                            stack.append((below, at + 1, edits + 2))
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        self.memo[word] = sorted((e, w) for w, e in found.items())
-        return self.memo[word]
 
     def likelihood(self, word: str) -> float:
         """Mean-free log-likelihood of a name under the bigrams."""
         marked = f"^{word}$"
         return sum(math.log((self.bigrams.get(a + b, 0) + 0.05) / (self.firsts.get(a, 0) + 1.5)) for a, b in zip(marked, marked[1:]))
 
-    def name_reading(self, word: str) -> str | None:
+    def reading(self, word: str) -> str | None:
         """The likelier name of which ``word`` is a misreading, if there is one."""
         best, now = None, self.likelihood(word)
         symbols = any(not c.isalpha() for c in word)
@@ -290,7 +339,7 @@ class Vocabulary:
                     while at >= 0:
                         step.add(w[:at] + plain + w[at + len(misread) :])
                         at = w.find(misread, at + 1)
-            for w in step:
+            for w in sorted(step):
                 if w.isalpha() and (gain := self.likelihood(w) - now) > (0 if symbols else NAME_GAIN) and (best is None or gain > best[0]):
                     best = (gain, w)
             if best:
@@ -298,52 +347,116 @@ class Vocabulary:
             frontier = step
         return best[1] if best else None
 
-    def known(self, word: str) -> bool:
-        return word in self.counts or (("-" in word) and all(p in self.counts or p.isdigit() or not p for p in word.split("-")))
 
-    def _reads_well(self, raw: str) -> None:
-        """Remember a word that is none of a misreading wherever it stands."""
-        if len(self.fine) > REMEMBERED:
-            self.fine.clear()
-        self.fine.add(raw)
+def forms(raw: str) -> list[str]:
+    """The ways to take a written word: without the marks around it first, then with those that may be misread letters."""
+    bare = _edge.sub("", raw)
+    if not bare or not any(c.isalpha() for c in raw) or _numeral.fullmatch(bare):
+        return []
+    out = [bare.lower()]
+    for whole in (raw.strip(_soft_edge).lower(), raw.lstrip("([\"“").strip(_soft_edge).lower(), raw.strip(_soft_edge + "(").lower()):
+        if whole and whole not in out:
+            out.append(whole)
+    return out
 
-    def judge(self, raw: str, context: dict[str, int], scanned: bool) -> str | None:
-        """The word that ``raw`` was misread from, or null if it reads well or nothing explains it."""
-        if raw in self.fine:
-            return None
-        bare = _edge.sub("", raw)
-        low = bare.lower()
-        held = self.counts.get(low, 0)
-        if not bare or not any(c.isalpha() for c in raw) or _numeral.fullmatch(bare) or (not held and self.known(low)):
-            return self._reads_well(raw)
-        tries = [low]
-        for whole in (raw.strip(_soft_edge).lower(), raw.lstrip("([\"“").strip(_soft_edge).lower(), raw.strip(_soft_edge + "(").lower()):
-            if whole and whole not in tries:
-                tries.append(whole)
-        if held:
-            found = [(e, w) for e, w in self.candidates(low) if self.counts[w] >= KNOWN_RATIO * held]
-            tries = []
-        else:
-            found = []
-        for t in tries:
-            found += [(e, w) for e, w in self.candidates(t)]
-            if "-" in t and not found:
-                parts = t.split("-")
-                read = [p if (not p or p in self.counts) else next((w for _, w in self.candidates(p)), None) for p in parts]
-                if all(r is not None for r in read) and read != parts:
-                    found.append((1, "-".join(read)))
-        if found:
-            return min(found, key=lambda ew: (ew[0], -context.get(ew[1], 0), -self.counts.get(ew[1], 0), ew[1]))[1]
-        if held:
-            return self._reads_well(raw)
-        if not scanned or sum(c.isalpha() for c in low) < 3 or (bare[0].isalpha() and not bare[0].isupper()):
-            return None
-        for t in dict.fromkeys([low, *tries]):
-            if _name_like.fullmatch(t) and (name := self.name_reading(t)):
-                # a symbol at an end can be punctuation, unless more follows: the name has to be much likelier with it
-                if t == low or _odd_end.search(raw) or self.likelihood(name) - self.likelihood(low) > NAME_GAIN:
-                    return name
+
+def needs(raw: str) -> list[str]:
+    """All forms whose uses and candidates :func:`judge` asks for, parts of compounds included."""
+    tries = forms(raw)
+    return list(dict.fromkeys(p for t in tries for p in (t, *(t.split("-") if "-" in t else ())) if p))
+
+
+#: What is known of a form: uses, uses in clean text, candidates (cost, by confusions only, word, uses) that explain it.
+Known = dict[str, tuple[int, int, list[tuple[int, bool, str, int]]]]
+_nothing = (0, 0, [])
+
+
+def judge(raw: str, known: Known, names: Names) -> dict | None:
+    """What a written word is a misreading of: {"c": [(cost, by confusions only, word, uses)]} or {"name": word}; null if it reads well."""
+    tries = forms(raw)
+    if not tries:
+        return None
+    low = tries[0]
+    in_vocabulary = lambda w: known.get(w, _nothing)[0] >= LEAST
+    held = in_vocabulary(low)
+    if not held and "-" in low and all(in_vocabulary(p) or p.isdigit() or not p for p in low.split("-")):
+        return None
+    found: list[tuple[int, bool, str, int]] = []
+    for t in tries[:1] if held else tries:
+        found += known.get(t, _nothing)[2]
+        if "-" in t and not held and not any(c[1] for c in found):
+            parts = t.split("-")
+            read = [p if (not p or in_vocabulary(p)) else next((w for _, sure, w, _ in known.get(p, _nothing)[2] if sure), None) for p in parts]
+            if all(r is not None for r in read) and read != parts:
+                found.append((1, True, "-".join(read), 1))
+    sure = [c for c in found if c[1]]
+    if sure or found:
+        return {"c": sorted(set(sure or found))}
+    if held:
         return None
+    bare = _edge.sub("", raw)
+    if sum(c.isalpha() for c in low) < 3 or (bare[0].isalpha() and not bare[0].isupper()):
+        return None
+    for t in tries:
+        if _name_like.fullmatch(t) and (name := names.reading(t)):
+            # a symbol at an end can be punctuation, unless more follows: the name has to be much likelier with it
+            if t == low or _odd_end.search(raw) or names.likelihood(name) - names.likelihood(low) > NAME_GAIN:
+                return {"name": name}
+    return None
+
+
+def joined_forms(left: str, right: str) -> tuple[str, str]:
+    """(joined, hyphened) word of two parts, without the marks around them."""
+    a, b = _edge.sub("", left).lower(), _edge.sub("", right).lower()
+    return a + b, f"{a}-{b}"
+
+
+def divides(left: str, right: str, mark: str, known: Known) -> bool:
+    """Whether the mark at a line end vanishes when the word is joined."""
+    joined, hyphened = joined_forms(left, right)
+    n, m = known.get(joined, _nothing), known.get(hyphened, _nothing)
+    if n[0] >= LEAST:
+        return n[0] * 5 >= (m[0] if m[0] >= LEAST else 0)
+    if m[0] >= LEAST:
+        return False
+    if any(c[1] for c in n[2]):
+        return True
+    if any(c[1] for c in m[2]):
+        return False
+    a, b = hyphened.split("-")[:-1] or [""], joined_forms("", right)[0]
+    return not (b and known.get(a[-1], _nothing)[0] >= LEAST and known.get(b.split("-")[0], _nothing)[0] >= LEAST and mark in "-–‐‑")
+
+
+def pair_key(left: str, right: str, mark: str) -> str:
+    """The key of a divided word among the findings; no written word has a line end in it."""
+    return f"{left}\n{right}\n{mark}"
+
+
+def pair_parts(left: str, right: str) -> tuple[str, str]:
+    """The two parts as they are joined: without the marks around the whole."""
+    return left.lstrip(_soft_edge + "("), right.rstrip(_soft_edge)
+
+
+def finding(key: str, known: Known, names: Names) -> dict | None:
+    """What the second reading has to know of a word or a pair; null where there is nothing to tell."""
+    if "\n" not in key:
+        return judge(key, known, names)
+    left, right, mark = key.split("\n")
+    vanish = divides(left, right, mark, known)
+    a, b = pair_parts(left, right)
+    meant = judge(a + ("" if vanish else "-") + b, known, names)
+    return {"vanish": vanish, **(meant or {})}
+
+
+def key_needs(key: str) -> list[str]:
+    """:func:`needs` of a word or a pair."""
+    if "\n" not in key:
+        return needs(key)
+    left, right, _ = key.split("\n")
+    a, b = pair_parts(left, right)
+    joined, hyphened = joined_forms(left, right)
+    mine = [joined, hyphened, *hyphened.split("-"), *needs(a + b), *needs(f"{a}-{b}")]
+    return [f for f in dict.fromkeys(mine) if f]
 
 
 @dataclass
@@ -356,53 +469,45 @@ class Reading:
     joins: dict[int, tuple[str, bool]] = field(default_factory=dict)
 
 
-def _divides(vocabulary: Vocabulary, head: str, tail: str, mark: str) -> bool:
-    """Whether the mark at a line end vanishes when the word is joined."""
-    left, right = _edge.sub("", head).lower(), _edge.sub("", tail).lower()
-    joined, hyphened = left + right, f"{left}-{right}"
-    if joined in vocabulary.counts:
-        return vocabulary.counts[joined] * 5 >= vocabulary.counts.get(hyphened, 0)
-    if hyphened in vocabulary.counts:
-        return False
-    if vocabulary.candidates(joined):
-        return True
-    if vocabulary.candidates(hyphened):
-        return False
-    if right and left.split("-")[-1] in vocabulary.counts and right.split("-")[0] in vocabulary.counts and mark in "-–‐‑":
-        return False
-    return True
-
-
-def read(content: str, heads: set[str], vocabulary: Vocabulary) -> Reading:
+def read(content: str, heads: set[str], findings: dict[str, dict]) -> Reading:
     """Everything found in one text."""
     lay = layout(content, heads)
     out = Reading(lay)
     out.marks = [(i, k) for i, k in enumerate(lay.kinds) if k]
     words = list(tokens(lay))
+    told = [findings.get(pair_key(t.text, t.tail, lay.lines[t.line].rstrip()[-1]) if t.mark else t.text) for t in words]
+    if not any(t.mark for t in words) and not any(told):
+        return out
     context: dict[str, int] = {}
     for t in words:
         low = _edge.sub("", t.text).lower()
         context[low] = context.get(low, 0) + 1
     scanned = bool(out.marks) or any(t.mark for t in words) or len(lay.lines) > 3
+
+    def meaning(told: dict | None) -> str | None:
+        if not told:
+            return None
+        if "name" in told:
+            return told["name"] if scanned else None
+        fit = [c for c in told.get("c", ()) if c[1] or (scanned and context.get(c[2]))]
+        return min(fit, key=lambda c: (not c[1], c[0], -context.get(c[2], 0), -c[3], c[2]))[2] if fit else None
+
     found: list[tuple[int, str]] = []
-    for t in words:
+    for t, known in zip(words, told):
         if t.mark:
-            mark = lay.lines[t.line].rstrip()[-1]
-            vanish = _divides(vocabulary, t.text, t.tail, mark)
+            vanish = known["vanish"] if known else True
             if vanish:
                 found.append((t.line, "hyphen"))
-            left, right = t.text.lstrip(_soft_edge + "("), t.tail.rstrip(_soft_edge)
-            joined = left + ("" if vanish else "-") + right
-            out.joins[t.line] = (joined, vanish)
-            meant = vocabulary.judge(joined, context, scanned)
-            if meant:
+            left, right = pair_parts(t.text, t.tail)
+            out.joins[t.line] = (left + ("" if vanish else "-") + right, vanish)
+            if meant := meaning(known):
                 head = left.lower()
                 if not meant.startswith(head):
                     found.append((t.line, "misread"))
                 if t.tail_line >= 0 and not meant.endswith(right.lower()):
                     found.append((t.tail_line, "misread"))
                 out.fixes[(t.line, t.text)] = meant
-        elif meant := vocabulary.judge(t.text, context, scanned):
+        elif meant := meaning(known):
             found.append((t.line, "misread"))
             out.fixes[(t.line, t.text)] = meant
     out.marks = sorted(set(out.marks) | set(found))
@@ -419,9 +524,9 @@ def _as_written(raw: str, meant: str) -> str:
     return lead + meant + trail
 
 
-def mend(content: str, heads: set[str], vocabulary: Vocabulary) -> str:
+def mend(content: str, heads: set[str], findings: dict[str, dict]) -> str:
     """The text as its author wrote it: no furniture, whole words, one line per paragraph."""
-    reading = read(content, heads, vocabulary)
+    reading = read(content, heads, findings)
     lay = reading.lay
     paragraphs: list[str] = []
     current: list[str] = []
@@ -475,95 +580,247 @@ def mend(content: str, heads: set[str], vocabulary: Vocabulary) -> str:
     return "".join(text)
 
 
-def _head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(s, key, int(title), int(beside)) for s, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) if text for key, title, beside in head_candidates(text)]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["source", "key", "title", "beside"])
+def _pairs(lay: Layout) -> Iterator[tuple[str, str, str]]:
+    """(left, right, mark) of the split words of a text, whichever of the short lines that follow turn out to be furniture."""
+    text_lines = [i for i, line in enumerate(lay.lines) if not lay.kinds[i] and not lay.fixed[i] and line.strip()]
+    for n, i in enumerate(text_lines):
+        words = lay.lines[i].split()
+        last = words[-1]
+        if len(last) > 1 and last[-1] in MARKS and (last[-2].isalnum() or last[-2] in "@†!(") and _alpha.search(last):
+            if n + 1 == len(text_lines):
+                yield last[:-1], "", last[-1]
+            for j in text_lines[n + 1 : n + 5]:
+                yield last[:-1], lay.lines[j].split()[0], last[-1]
+                if len(lay.lines[j]) > HEAD_WIDTH:
+                    break
+
 
+_SURVEY = "part string, source string, key string, n bigint, more bigint, extra bigint"
 
-def running_heads(chunks: DataFrame) -> DataFrame:
-    """(source, heads): the skeletons of the running heads of each source.
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first reading. Rows (part, source, key, n, more, extra), summed up within the task:
+
+    head: skeleton of a line of a source, lines, beside a page number, title-like; word: as written,
+    uses, uses in clean text; pair: divided word, uses.
+    """
+    heads: dict[tuple[str, str], list[int]] = {}
+    uses, in_clean, pairs = Counter(), Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        rows = [("head", source, key, *held) for (source, key), held in heads.items()]
+        rows += [("word", None, w, n, in_clean[w], 0) for w, n in uses.items()]
+        rows += [("pair", None, p, n, 0, 0) for p, n in pairs.items()]
+        for held in (heads, uses, in_clean, pairs):
+            held.clear()
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "source", "key", "n", "more", "extra"])
+
+    for batch in batches:
+        for source, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            lay = layout(text, set())
+            for key, title, beside in lay.heads:
+                held = heads.setdefault((source, key), [0, 0, 0])
+                held[0] += 1
+                held[1] += beside
+                held[2] |= title
+            words = list(tokens(lay))
+            whole = [t.text for t in words if not t.mark]
+            uses.update(whole)
+            if len(whole) == len(words) and not any(lay.kinds):
+                in_clean.update(whole)
+            pairs.update(pair_key(*p) for p in _pairs(lay))
+            if len(heads) + len(uses) + len(pairs) > REMEMBERED:
+                yield flush()
+    yield flush()
+
+
+def running_heads(seen: DataFrame) -> DataFrame:
+    """(source, key): the skeletons of the running heads of each source, misread ones (two letters off) included.
 
     A title-like line is one if it recurs in its source and stood beside a page number there; any other line if it
     did so at least three times over all sources and in half of its occurrences.
     """
-    seen = materialize(
-        wide_enough(chunks).mapInArrow(_head_rows, "source string, key string, title int, beside int").groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"), F.max("title").alias("title"), F.sum("beside").alias("beside")),
-        "head-lines",
-    )
     by_title = seen.where("title = 1 and n > 1 and beside > 0 and beside * 4 >= n").select("source", "key")
-    everywhere = seen.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("beside").alias("all_beside")).where("all_beside >= 3 and all_beside * 2 >= all_n")
+    everywhere = seen.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("beside").alias("all_beside")).where("all_beside >= 3 and all_beside * 2 >= all_n").select("key")
     by_habit = seen.where("title = 0").join(everywhere, "key").select("source", "key")
-    return by_title.unionByName(by_habit).groupBy("source").agg(F.collect_set("key").alias("heads"))
+    heads = materialize(by_title.unionByName(by_habit).distinct(), "heads")
+    ends = lambda c: F.array_distinct(F.array(F.concat(F.lit("^"), F.left(c, F.lit(4))), F.concat(F.right(c, F.lit(4)), F.lit("$"))))
+    named = heads.where(F.length("key") >= 10).select("source", F.col("key").alias("head"), F.explode(ends(F.col("key"))).alias("end"))
+    misread = seen.select("source", "key", F.explode(ends(F.col("key"))).alias("end")).join(named, ["source", "end"]).where(F.levenshtein("key", "head", 2) >= 0).select("source", "key")
+    return heads.unionByName(misread).distinct()
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counted: dict[tuple[str, bool], int] = {}
-        for text, heads in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if text:
-                for t in tokens(layout(text, set(heads or ()))):
-                    bare = _edge.sub("", t.text)
-                    if not t.mark and _plain_word.fullmatch(bare):
-                        key = (bare.lower(), bare[0].isupper() and bare[1:].islower())
-                        counted[key] = counted.get(key, 0) + 1
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in counted], pa.string()), "named": pa.array([c for _, c in counted], pa.bool_()), "n": pa.array(list(counted.values()), pa.int64())})
-
-
-def learn(prepared: DataFrame) -> Vocabulary:
-    """The vocabulary and the name bigrams of a collection; both bounded whatever its size."""
-    words = materialize(
-        prepared.select("chunk_key", "content", "heads").mapInArrow(_word_rows, "word string, named boolean, n bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("named")),
-        "words",
-    )
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, math.ceil(total * VOCABULARY_SHARE))
-    counts = {r.word: r.n for r in words.where(F.col("n") >= least).select("word", "n").toLocalIterator()}
-    names = words.where("n = named and length(word) > 3").where(F.col("n") < 3 * least).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
-    pairs = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair")).where(F.col("pair").rlike(r"^[\^\p{L}][\p{L}$]$"))
-    bigrams = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(5_000).collect()}
-    return Vocabulary(counts, bigrams)
+def _derive(rows: DataFrame, schema: str, make) -> DataFrame:
+    """``make`` (key, *others) -> rows, over the batches of ``rows``."""
+    types = [{"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in make(*row)]
+            columns = list(zip(*made)) if made else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-def prepare(chunks: DataFrame) -> DataFrame:
-    """(chunk_key, source, content, heads) of the chunks that have text."""
-    rows = chunks.select(F.col("chunk_key").cast("bigint"), F.col("metadata.source").alias("source"), "content").where(F.length("content") > 0)
-    heads = materialize(running_heads(rows), "heads")
-    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("count"))
-    joined = salted_join(rows, heads, "source", hot_keys(counted, "source"), F.col("chunk_key"), how="left")
-    want = missing_partitions(rows)
-    return materialize(joined.repartition(want) if want else joined, "prepared").select("chunk_key", "source", "content", "heads")
+    return rows.mapInArrow(run, schema)
 
 
-def _broadcast(spark: SparkSession, vocabulary: Vocabulary):
-    return spark.sparkContext.broadcast((vocabulary.counts, vocabulary.bigrams))
+def _word_of(raw: str, n: int, clean: int) -> list[tuple]:
+    bare = _edge.sub("", raw)
+    if not _plain_word.fullmatch(bare) or raw.strip(_soft_edge + "()") != bare:  # a sign beside it can be a misread letter
+        return []
+    return [(bare.lower(), n, clean, n if bare[0].isupper() and bare[1:].islower() else 0)]
 
 
-def line_kinds(chunks: DataFrame) -> DataFrame:
-    """(chunk_key, line_no, kind): headers, page numbers, split words and misread words, by line from 1."""
-    prepared = prepare(chunks)
-    held = _broadcast(chunks.sparkSession, learn(prepared))
+def _found_in_shards(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(form, found): the candidates that explain each form (form, n, clean), as JSON.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*held.value)
+    Each shard of the vocabulary comes sorted before the forms that are looked up in it, so a task holds one trie and
+    streams the forms. Forms spread over ``lanes`` tasks a shard.
+    """
+    size = vocabulary.count()
+    shards = max(1, -(-size // SHARD))
+    lanes = max(1, queries.sparkSession.sparkContext.defaultParallelism // shards)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    words = vocabulary.select(F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), every(lanes).alias("lane"), F.lit(0).alias("kind"), F.col("word").alias("form"), "n", F.lit(0).cast("bigint").alias("clean"))
+    asked = queries.select(every(shards).alias("shard"), F.pmod(F.xxhash64("form"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("kind"), "form", "n", "clean")
+    rows = words.unionByName(asked).repartition(shards * lanes, "shard", "lane").sortWithinPartitions("shard", "lane", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, counts, trie = None, {}, None
         for batch in batches:
-            rows = [(key, i + 1, kind) for key, text, heads in zip(*(batch.column(c).to_pylist() for c in range(3))) for i, kind in read(text, set(heads or ()), vocabulary).marks]
-            columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()))], names=["chunk_key", "line_no", "kind"])
+            out = []
+            for shard, lane, kind, form, n, clean in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, lane) != here:
+                    here, counts, trie = (shard, lane), {}, None
+                if kind == 0:
+                    counts[form] = n
+                    continue
+                trie = trie or Trie(counts)
+                if trie.most < RATIO * n:  # nothing is frequent enough to explain it
+                    continue
+                plain = len(form) >= 5 and form.isalpha() and trie.most >= KNOWN_RATIO * n
+                found = [(cost, sure, w, counts[w]) for cost, sure, w in trie.candidates(form, plain) if explains(form, n, clean, w, counts[w], sure)]
+                if found:
+                    out.append((form, json.dumps(found, ensure_ascii=False)))
+            columns = list(zip(*out)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["form", "found"])
+
+    return rows.mapInArrow(run, "form string, found string")
+
+
+def word_findings(survey: DataFrame) -> DataFrame:
+    """(key, finding): the words and divided words of which there is something to tell, as JSON."""
+    spark = survey.sparkSession
+    keys = materialize(survey.where("part <> 'head'").groupBy("part", "key").agg(F.sum("n").alias("n"), F.sum("more").alias("clean")), "keys")
+    words = _derive(keys.where("part = 'word'").select("key", "n", "clean"), "word string, n bigint, clean bigint, named bigint", _word_of)
+    words = materialize(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"), F.sum("named").alias("named")), "words")
+    vocabulary = words.where(F.col("n") >= LEAST)
+    names = words.where("n = named and length(word) > 3").where(F.col("n") < 3 * LEAST).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
+    pairs = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair")).where(F.col("pair").rlike(r"^[\^\p{L}][\p{L}$]$"))
+    bigrams = spark.sparkContext.broadcast({r.pair: r.n for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pair").limit(5_000).collect()})
+
+    asked = materialize(_derive(keys.select("key"), "key string, form string", lambda key: [(key, f) for f in key_needs(key)]), "asked")
+    wanted = asked.select("form").distinct().join(words.select(F.col("word").alias("form"), "n", "clean"), "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("clean", F.lit(0)).alias("clean"))
+    wanted = materialize(wanted, "forms")
+    told = wanted.join(_found_in_shards(wanted, vocabulary), "form", "left").groupBy("form", "n", "clean").agg(F.collect_list("found").alias("found"))
+    # a form that reads well and has no uses tells nothing; parts of a word are few, so a group is small
+    told = told.where("n > 0 or size(found) > 0").select("form", F.to_json(F.struct("n", "clean", "found")).alias("told"))
+    by_key = asked.join(told, "form", "left").groupBy("key").agg(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("form", "told"))).alias("told"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Names(bigrams.value)
+        for batch in batches:
+            out = []
+            for key, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known: Known = {}
+                for t in told:
+                    v = json.loads(t["told"])
+                    known[t["form"]] = (v["n"], v["clean"], sorted(tuple(c) for part in v["found"] for c in json.loads(part)))
+                if (found := finding(key, known, model)) is not None:
+                    out.append((key, json.dumps(found, ensure_ascii=False)))
+            columns = list(zip(*out)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["key", "finding"])
+
+    return by_key.mapInArrow(decide, "key string, finding string")
+
+
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    rows = chunks.select(F.col("chunk_key").cast("bigint"), F.coalesce(F.col("metadata.source"), F.lit("")).alias("source"), "content").where(F.length("content") > 0)
+    return wide_enough(rows)
+
+
+def _mark(source: str, key: str) -> str:
+    """A head as a key beside those of the words; no word has a tabulator in it."""
+    return f"{source}\t{key}"
+
+
+def _bits(key: str) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return h % FILTER_BITS, (h >> 32) % FILTER_BITS
+
+
+def _second_reading(chunks: DataFrame, schema: str, rows_of) -> DataFrame:
+    """``rows_of`` (chunk_key, text, heads, findings) -> rows, over all texts."""
+    spark = chunks.sparkSession
+    rows = _chunk_rows(chunks)
+    survey = materialize(rows.mapInArrow(_survey, _SURVEY), "survey", ["part"]).select("part", "source", "key", "n", "more", "extra")
+    seen = materialize(survey.where("part = 'head'").groupBy("source", "key").agg(F.sum("n").alias("n"), F.max("extra").alias("title"), F.sum("more").alias("beside")), "head-lines")
+    heads = running_heads(seen).select(F.concat_ws("\t", "source", "key").alias("key"), F.lit(None).cast("string").alias("finding"))
+    findings = materialize(word_findings(survey).unionByName(heads), "findings")
+    types = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def out(made: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*made)) if made else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    held = findings.limit(FINDINGS + 1).collect()
+    if len(held) <= FINDINGS:
+        by_source: dict[str, set[str]] = {}
+        for r in held:
+            if r.finding is None:
+                source, key = r.key.rsplit("\t", 1)
+                by_source.setdefault(source, set()).add(key)
+        shared = spark.sparkContext.broadcast((by_source, {r.key: r.finding for r in held if r.finding is not None}))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            heads_of, told = shared.value
+            told = {k: json.loads(v) for k, v in told.items()}
+            for batch in batches:
+                yield out([r for key, source, text in zip(*(batch.column(c).to_pylist() for c in range(3))) for r in rows_of(key, text, heads_of.get(source, set()), told)])
+
+        return rows.mapInArrow(find, schema)
+
+    positions = _derive(findings.select("key"), "at bigint", lambda key: [(b,) for b in _bits(key)])
+    filtered = spark.sparkContext.broadcast(bitmap(positions, FILTER_BITS))
+
+    def asks(chunk_key: int, source: str, text: str) -> list[tuple]:
+        lay = layout(text, set())
+        mine = {_mark(source, key) for key, _, _ in lay.heads} | {w for line in lay.lines for w in line.split()} | {pair_key(*p) for p in _pairs(lay)}
+        return [(chunk_key, key) for key in mine if all(has(filtered.value, b) for b in _bits(key))]
+
+    asked = materialize(_derive(rows, "chunk_key bigint, key string", asks), "asked-findings")
+    hot = hot_keys(asked.groupBy("key").agg(F.count(F.lit(1)).alias("count")), "key")
+    mine = salted_join(asked, findings, "key", hot, F.col("chunk_key")).groupBy("chunk_key").agg(F.collect_list(F.struct("key", "finding")).alias("told"))  # at most the words of one text
+
+    def find_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for key, source, text, told in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                heads = {t["key"].rsplit("\t", 1)[1] for t in told or [] if t["finding"] is None}
+                made += rows_of(key, text, heads, {t["key"]: json.loads(t["finding"]) for t in told or [] if t["finding"] is not None})
+            yield out(made)
 
-    return prepared.select("chunk_key", "content", "heads").mapInArrow(find, "chunk_key bigint, line_no int, kind string")
+    return rows.join(mine, "chunk_key", "left").select("chunk_key", "source", "content", "told").mapInArrow(find_joined, schema)
 
 
-def mended(chunks: DataFrame) -> DataFrame:
-    """(chunk_key, text): every chunk with text as continuous paragraphs."""
-    prepared = prepare(chunks)
-    held = _broadcast(chunks.sparkSession, learn(prepared))
+def line_kinds(chunks: DataFrame) -> DataFrame:
+    """(chunk_key, line_no, kind): headers, page numbers, split words and misread words, by line from 1."""
+    return _second_reading(chunks, "chunk_key bigint, line_no int, kind string", lambda key, text, heads, told: [(key, i + 1, kind) for i, kind in read(text, heads, told).marks])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*held.value)
-        for batch in batches:
-            texts = [mend(text, set(heads or ()), vocabulary) for text, heads in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["chunk_key", "text"])
 
-    return prepared.select("chunk_key", "content", "heads").mapInArrow(find, "chunk_key bigint, text string")
+def mended(chunks: DataFrame) -> DataFrame:
+    """(chunk_key, text): every chunk with text as continuous paragraphs."""
+    return _second_reading(chunks, "chunk_key bigint, text string", lambda key, text, heads, told: [(key, mend(text, heads, told))])

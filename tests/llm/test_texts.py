@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 pytest.importorskip("graphloom.llm")
-from graphloom.llm import mixture, mojibake as moji, packing, scans, sizes  # noqa: E402
+from graphloom.llm import canonical, mixture, mojibake as moji, packing, scans, sizes  # noqa: E402
 
 CLEAN = [
     "Le réseau complète les données déjà calculées – très élevée, “naïve” s’accélère.", "Für die Lösung genügt ein Prüfkörper, Größe außerdem ähnlich.", "O código não altera a avaliação após a solução: ATENÇÃO!",
@@ -138,17 +138,50 @@ def test_lines_of_scanned_pages(spark):
 
 def test_automaton_finds_every_reading():
     words = {"unclear": 50, "clear": 40, "modern": 30, "corner": 30, "burns": 9, "window": 9}
-    v = scans.Vocabulary(words, {})
+    v = scans.Trie(words)
     for w in words:
         for plain, misread in scans.CONFUSIONS:
             at = w.find(plain)
             while at >= 0:
                 garbled = w[:at] + misread + w[at + len(plain) :]
                 if garbled not in words:
-                    assert (1, w) in v.candidates(garbled), (w, garbled)
+                    assert (1, True, w) in v.candidates(garbled) and (1, True, w) in v.candidates(garbled, False), (w, garbled)
                 at = w.find(plain, at + 1)
 
 
+def test_automaton_finds_every_word_within_the_edits():
+    rng = random.Random(7)
+    letters = "abcde"
+    words = {"".join(rng.choices(letters, k=rng.randint(3, 9))): 5 for _ in range(300)} | {"reader": 9, "memory": 9, "attention": 9}
+    v = scans.Trie(words)
+    for garbled in ["reoder", "memoty", "attenton", "rreader", *("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(60))]:
+        got = {w for _, _, w in v.candidates(garbled)}
+        for w in words:
+            edits = canonical.swap_distance(garbled, w, 2)
+            if w != garbled and edits * 2 <= scans.budget(len(garbled)):
+                assert w in got, (garbled, w)
+    assert all(any(w in words for _, _, w in v.candidates(g)) for g in ("reoder", "memoty", "attenton", "rreader"))
+
+
+def test_plain_edits_need_the_word_in_the_same_text(spark):
+    texts = [BODY * 3 + f"\nPage {i} of it wraps\nover four\nlines" for i in range(100)]
+    odd = (BODY + "The reoder sees it.").replace("only for", "only\nfor").replace("careful", "care-\nful") + "\nEnd"
+    far = "Some reoder in a text\nthat has not the other\nword and wraps over\nlines"
+    inflected = odd.replace("reoder", "readers")
+    got = {(r.chunk_key, r.kind) for r in scans.line_kinds(chunks(spark, [*texts, odd, far, inflected])).collect()}
+    assert {k for k, kind in got if kind == "misread"} == {100}
+
+
+def test_a_correct_rare_word_stays_whatever_the_size(spark):
+    body = [BODY * 3 for _ in range(300)] + ["A modem is no modern thing, and a bum can burn."] * 4
+    assert {r.kind for r in scans.line_kinds(chunks(spark, body)).collect()} <= {"header"}
+
+
+def test_findings_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(scans, "FINDINGS", 1)
+    test_lines_of_scanned_pages(spark)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_packs_everything_within_capacity(seed):
     rng = random.Random(seed)
