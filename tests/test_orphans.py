@@ -68,3 +68,11 @@ def test_runs_merge_touching_intervals(spark):
     b = spark.createDataFrame([("a", t(0), t(2), ""), ("a", t(2), t(4), ""), ("a", t(1), t(3), ""), ("a", t(6), None, "")], TARGET)
     rows = orphans.validity_runs(b).orderBy("run_start").collect()
     assert [r["rows"] for r in rows] == [3, 1]
+
+
+def test_a_hot_slice_spreads_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "ROWS_A_GROUP", 50)
+    monkeypatch.setattr(orphans, "LISTED", 40)
+    targets = [("hot", i / 60, i / 60 + 0.01) for i in range(0, 900, 3)] + [("cold", 2, 3)]
+    refs = [("hot", i / 90) for i in range(1300)] + [("cold", i) for i in range(12)] + [(f"k{i}", 1) for i in range(600)]
+    assert run(spark, refs, targets) == brute(refs, targets)
