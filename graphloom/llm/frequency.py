@@ -1,16 +1,21 @@
 """Frequencies of all n-grams by a distributed suffix array with common-prefix intervals.
 
-Suffixes (whole, unless ``max_n`` tokens are asked for) are sorted over the cluster by a range partition whose key ends in
-the record id, so the suffixes of one term, however hot, spread over many partitions. Within a
-partition neighbours' longest common prefixes delimit the intervals: an interval of prefix length n
-is one n-gram and its width the number of its occurrences. Intervals that cross a partition bound
-close as parts and are added up. Record counts start from the occurrences and lose one for every
-adjacent pair of suffixes of the same record, in suffix order, for each prefix length up to the
-pair's common prefix. Equal suffixes of one record combine map-side before the sort.
-
-Defined results: null texts are no texts; an empty text is one empty token when texts are taken
-whole, else it has no tokens; a null record id counts for occurrences but is no record; repeated
-rows count as occurrences; an empty table gives no rows. Record ids are compared as text.
+All suffixes of all texts are sorted over the cluster by a range partition whose key ends in the
+record id, so the suffixes of one term, however hot, spread over many partitions. Within a partition
+neighbours' longest common prefixes delimit the intervals: an interval of prefix length n is one
+n-gram and its width the number of its occurrences. Intervals that cross a partition bound close as
+parts and are added up. Record counts start from the occurrences and lose one for every adjacent pair
+of suffixes of the same record, in suffix order, for each prefix length up to the pair's common
+prefix. Equal suffixes of one record combine map-side before the sort.
+
+Terms taken whole (:func:`term_frequencies`) are texts between a start and an end mark, cut into words
+and single other characters so that nothing of the writing is lost: the term is the interval that
+begins with the start mark and is closed by the end mark. A prefix with an end mark is a whole suffix,
+and equal suffixes of a record are one row, so its record count needs no second order.
+
+Defined results: null texts are no texts; an empty text is a term but has no n-grams; a null record id
+counts for occurrences but is no record; repeated rows count as occurrences; an empty table gives no
+rows. Record ids are compared as text.
 """
 
 from __future__ import annotations
@@ -22,7 +27,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.storage import materialize
 
-_SEP = "\x1f"
+#: Between tokens; sorts before everything a token can have, so that the suffixes of one n-gram are neighbours.
+_SEP = "\x01"
+# Marks around a term that is counted whole, and before one that is written in hexadecimal; private characters.
+_START, _END, _HEX = "\ue000", "\ue001", "\ue002"
+_OWN = f"[\\x00\\x01{_START}{_END}{_HEX}]"
 _SCAN = "grp string, ngram string, n int, occurrences bigint, duplicates bigint, nulls bigint"
 _SCAN_ARROW = pa.schema([("grp", pa.string()), ("ngram", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("duplicates", pa.int64()), ("nulls", pa.int64())])
 
@@ -46,8 +55,8 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCAN_ARROW.types)], schema=_SCAN_ARROW)
 
 
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Common-prefix intervals of sorted (grp, suffix, rec, c): one row per closed interval."""
+def _intervals(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Common-prefix intervals of sorted (grp, suffix, rec, c): one row per closed interval; ``whole``: only those from a start to an end mark."""
     out = _Out()
     grp, suffix, open_ = None, [], []  # open_[n-1] = [occurrences, duplicates, nulls] of the interval of prefix length n
 
@@ -55,7 +64,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(open_) > down_to:
             n = len(open_)
             occurrences, duplicates, nulls = open_.pop()
-            out.rows.append((grp, _SEP.join(suffix[:n]), n, occurrences, duplicates, nulls))
+            if not whole or (suffix[0] == _START and suffix[n - 1] == _END):
+                out.rows.append((grp, _SEP.join(suffix[:n]), n, occurrences, duplicates, nulls))
             if open_:
                 open_[-1][0] += occurrences
                 open_[-1][1] += duplicates
@@ -78,24 +88,51 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.batch()
 
 
+def _suffixes(df: DataFrame, group: Column, record: Column, tokens: Column, max_n: int | None = None) -> DataFrame:
+    """(grp, suffix, rec, c): every suffix of every text, equal ones of a record combined."""
+    rows = df.select(group.alias("grp"), record.cast("string").alias("rec"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    length = F.size("tokens") if max_n is None else F.lit(max_n)
+    each = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.array_join(F.slice(F.col("tokens"), i, length), _SEP))
+    return rows.select("grp", "rec", F.explode(each).alias("suffix")).groupBy("grp", "suffix", "rec").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _sorted(combined: DataFrame) -> DataFrame:
+    """The suffix array: sorted over all partitions and within each."""
+    return combined.select("grp", "suffix", "rec", "c").repartitionByRange("grp", "suffix", "rec").sortWithinPartitions("grp", "suffix", "rec")
+
+
+def _summed(scans: DataFrame) -> DataFrame:
+    return scans.groupBy("grp", "ngram", "n").agg(F.sum("occurrences").alias("occurrences"), (F.sum("occurrences") - F.sum("duplicates") - F.sum("nulls")).alias("records"))
+
+
+def term_frequencies(df: DataFrame, group: Column, text: Column, record: Column) -> DataFrame:
+    """(grp, ngram, n, occurrences, records) of every text as one term, exactly as written; ``n`` is 1."""
+    safe = F.when(text.rlike(_OWN), F.concat(F.lit(_HEX), F.hex(F.encode(text, "utf-8")))).otherwise(text)
+    tokens = F.concat(F.array(F.lit(_START)), F.regexp_extract_all(safe, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"), F.lit(0)), F.array(F.lit(_END)))
+    combined = _suffixes(df.where(text.isNotNull()), group, record, tokens)
+    scans = _sorted(combined).mapInArrow(_whole_intervals, _SCAN)
+    term = F.regexp_replace("ngram", f"[{_SEP}{_START}{_END}]", "")
+    raw = F.when(term.startswith(_HEX), F.decode(F.unhex(F.regexp_replace(term, _HEX, "")), "utf-8")).otherwise(term)
+    return _summed(scans).select("grp", raw.alias("ngram"), F.lit(1).alias("n"), "occurrences", "records")
+
+
+def _whole_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _intervals(batches, True)
+
+
 def ngram_frequencies(df: DataFrame, group: Column, text: Column, record: Column, max_n: int | None = None, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """(grp, ngram, n, occurrences, records) of every n-gram, or of those up to ``max_n`` tokens.
 
     ``tokenize`` makes an array of tokens from a text; by default a text is one token. Tokens of an
     n-gram are joined by a space.
     """
-    if tokenize is None:  # one token: no separator is ever joined
-        max_n = 1
-        suffixes = df.where(text.isNotNull()).select(group.alias("grp"), record.cast("string").alias("rec"), text.alias("suffix"))
-    else:
-        clean = F.transform(tokenize(text), lambda t: F.translate(t, _SEP, ""))
-        rows = df.where(text.isNotNull()).select(group.alias("grp"), record.cast("string").alias("rec"), clean.alias("tokens")).where(F.size("tokens") > 0)
-        suffixes = rows.select("grp", "rec", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.array_join(F.slice(F.col("tokens"), i, F.size("tokens") if max_n is None else F.lit(max_n)), _SEP))).alias("suffix"))
-    combined = suffixes.groupBy("grp", "suffix", "rec").agg(F.count(F.lit(1)).alias("c"))
+    if tokenize is None:
+        return term_frequencies(df, group, text, record)
+    clean = F.transform(tokenize(text), lambda t: F.regexp_replace(t, "[\\x00\\x01]", ""))
+    combined = _suffixes(df.where(text.isNotNull()), group, record, clean, max_n)
     if max_n != 1:
         combined = materialize(combined, "suffixes")  # read twice
-    split = _whole_intervals if tokenize is None else _intervals
-    scans = combined.select("grp", "suffix", "rec", "c").repartitionByRange("grp", "suffix", "rec").sortWithinPartitions("grp", "suffix", "rec").mapInArrow(split, _SCAN)
+    scans = _sorted(combined).mapInArrow(_intervals, _SCAN)
     if max_n != 1:
         ordered = combined.where("rec is not null").select("grp", "rec", "suffix").repartitionByRange("grp", "rec", "suffix").sortWithinPartitions("grp", "rec", "suffix")
         ordered = materialize(ordered.withColumn("pid", F.spark_partition_id()), "record-order", ["pid"]).select("grp", "rec", "suffix", F.col("pid").cast("int").alias("pid"))
@@ -104,31 +141,7 @@ def ngram_frequencies(df: DataFrame, group: Column, text: Column, record: Column
         scans = scans.unionByName(again.mapInArrow(_duplicates_by_pid, _SCAN))
         edges = again.groupBy("pid").agg(F.min(F.struct("grp", "rec", "suffix")).alias("first"), F.max(F.struct("grp", "rec", "suffix")).alias("last"))
         scans = scans.unionByName(_bridged(edges))
-    return (
-        scans.groupBy("grp", "ngram", "n")
-        .agg(F.sum("occurrences").alias("occurrences"), (F.sum("occurrences") - F.sum("duplicates") - F.sum("nulls")).alias("records"))
-        .withColumn("ngram", F.col("ngram") if tokenize is None else F.translate("ngram", _SEP, " "))
-    )
-
-
-def _whole_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The case of whole texts: every interval has prefix length one."""
-    out = _Out()
-    key, held = None, [0, 0, 0]
-    for batch in batches:
-        for g, s, r, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if (g, s) != key:
-                if key is not None:
-                    out.rows.append((*key, 1, *held))
-                key, held = (g, s), [0, 0, 0]
-            held[0] += c
-            held[1] += c - 1 if r is not None else 0
-            held[2] += c if r is None else 0
-        if len(out.rows) >= 20_000:
-            yield out.batch()
-    if key is not None:
-        out.rows.append((*key, 1, *held))
-    yield out.batch()
+    return _summed(scans).withColumn("ngram", F.translate("ngram", _SEP, " "))
 
 
 def _duplicates_by_pid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ def _type_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every type with its rows, its graph documents and its mark."""
-    counted = frequency.ngram_frequencies(_type_rows(spark, d), F.col("field"), F.col("term"), F.col("graph_doc_id"))
+    counted = frequency.term_frequencies(_type_rows(spark, d), F.col("field"), F.col("term"), F.col("graph_doc_id"))
     marked = frequency.mark(counted, table(spark, d, "graph_sources"))
     return marked.select(F.col("grp").alias("field"), F.col("ngram").alias("term"), F.col("occurrences").alias("n_rows"), F.col("records").alias("n_docs"), "mark")
 
@@ -26,20 +26,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_terms(spark, d).where("mark is not null").select("field", "term", "mark")
 
 
-def _ngrams(spark: SparkSession, d: str, max_n: int | None = None) -> DataFrame:
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    counted = frequency.ngram_frequencies(_type_rows(spark, d), F.col("field"), F.col("term"), F.col("graph_doc_id"), max_n, words)
-    return counted.select(F.col("grp").alias("field"), "ngram", "n", "occurrences", "records")
-
-
 def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences and graph documents of the word n-grams of up to three words, as its SQL twin has them."""
-    return _ngrams(spark, d, 3)
-
-
-def p3_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and graph documents of all word n-grams of the types, however long."""
-    return _ngrams(spark, d)
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    counted = frequency.ngram_frequencies(_type_rows(spark, d), F.col("field"), F.col("term"), F.col("graph_doc_id"), tokenize=words)
+    return counted.select(F.col("grp").alias("field"), "ngram", "n", "occurrences", "records")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +112,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p3_all_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored)}
 _TYPES = """with t as (
   select 'nodes.type' as field, type as term, graph_doc_id from graph_nodes where type is not null
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),
@@ -137,7 +128,7 @@ ORACLES: dict[str, str] = {
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),
 w as (select field, doc, regexp_extract_all(lower(term), '[\\p{L}\\p{N}]+') as ws from t),
 p as (select field, doc, ws, unnest(range(1, len(ws) + 1)) as i from w),
-q as (select field, doc, ws, i, unnest([1, 2, 3]) as n from p)
+q as (select field, doc, ws, i, unnest(range(1, len(ws) - i + 2)) as n from p)
 select field, array_to_string(ws[i:i + n - 1], ' ') as ngram, n::int as n, count(*) as occurrences, count(distinct doc) as records
 from q where i + n - 1 <= len(ws) group by all""",
 }

@@ -40,6 +40,13 @@ def test_whole_values(spark):
     assert got == brute(data, 1, lambda t: [t])
 
 
+def test_terms_are_counted_as_written(spark):
+    terms = ["AUTHORED_BY", "authored - by", "a\x01b", "ab", "\ue000x", "\ue002616263", " ", "a  b", "a b", "\ta\n", "é", "e\u0301", "😀"]
+    data = [("a", t, i % 3) for i in range(9) for t in terms]
+    got = {tuple(r) for r in freq.term_frequencies(rows(spark, data), F.col("field"), F.col("term"), F.col("doc")).collect()}
+    assert got == brute(data, 1, lambda t: [t])
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_ngrams_across_partitions(spark, seed):
     rng = random.Random(seed)
