@@ -62,3 +62,34 @@ def test_hot_value_and_empty_table(spark):
 @pytest.mark.parametrize("a,b,d", [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abcd", "badc", 2), ("a", "xyz", 3), ("", "ab", 2)])
 def test_distance(a, b, d):
     assert can.swap_distance(a, b, 3) == d and can.swap_distance(b, a, 3) == d
+
+
+def test_repairs_are_all_words_within_the_bound(spark):
+    import random
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcd", k=rng.randint(2, 10))) for _ in range(150)} | {"factored", "anchored"})
+    tokens = sorted({"".join(rng.choices("abcd", k=rng.randint(2, 11))) for _ in range(80)} | {"factored", "anchroed"})
+    made = can.repair_tokens(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    got = {(r.token, x.word, x.edits) for r in made.collect() for x in r.repairs}
+    want = {(t, w, d) for t in tokens for w in words if (d := can.swap_distance(t, w, can.edit_bound(len(t)))) <= can.edit_bound(len(t)) and (t not in words or t == w)}
+    assert got == want
+
+
+def test_the_better_entry_wins_though_a_nearer_word_leads_elsewhere():
+    entries = can.Entries([(1, "Linear Reader", None), (2, "Linked Leader", None)])
+    found = {"linear": [("linear", 0)], "leaderr": [("leader", 1), ("reader", 2)]}
+    assert entries.match(["linear", "leaderr"], found)[0] == 1
+
+
+def test_long_values_may_have_a_short_form_too():
+    entries = can.Entries([(1, "One Two Three Four Five Six Seven Eight", "OTT"), (2, "One Two", None)])
+    tokens = can.tokens_of("OTT (one two three four five six seven eight)")
+    assert entries.match(tokens, {t: [(t, 0)] for t in tokens if t in entries.idf})[0] == 1
+
+
+def test_reference_lists_in_blocks_give_the_same(spark, monkeypatch):
+    values = ["SNC", "Elastic  Memorys", "spectral memory", "Spectral Elastic Memory", "Caus. Residual Compression", "Other"]
+    whole = mapped(spark, values)
+    monkeypatch.setattr(can, "BLOCK", 2)
+    assert mapped(spark, values) == whole
