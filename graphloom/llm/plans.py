@@ -73,8 +73,8 @@ def p7_mended(spark: SparkSession, d: str) -> DataFrame:
     return scans.mended(table(spark, d, "chunks"))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_all(sizes.token_sizes(table(spark, d, "documents")), "doc_id", table(spark, d, "containers"))
+def _packed(spark: SparkSession, d: str, solutions: dict | None = None) -> DataFrame:
+    return packing.pack_all(sizes.token_sizes(table(spark, d, "documents")), "doc_id", table(spark, d, "containers"), solutions)
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +83,9 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers of each capacity are."""
-    return packing.fill_report(_packed(spark, d), table(spark, d, "containers"))
+    """How full the containers of each capacity are, and how many the linear program proves to be needed."""
+    solutions: dict = {}
+    return packing.fill_report(_packed(spark, d, solutions), table(spark, d, "containers"), solutions)
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
