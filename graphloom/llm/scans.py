@@ -51,7 +51,7 @@ RATIO = 5
 #: The same for a word that clean text uses, and for candidates more than confusions away.
 KNOWN_RATIO = 100
 #: Words of the vocabulary whose trie one task holds.
-SHARD = 200_000
+SHARD = 50_000
 #: Findings (running heads and words) that are broadcast.
 FINDINGS = 500_000
 FILTER_BITS = 1 << 25
@@ -79,6 +79,7 @@ _page_line = regex.compile(PAGE)
 PAGE_WIDTH = 40
 _page_after = regex.compile(rf"(\S.*?)(?:\s{{2,}}|\s+\|\s+)({PAGE})\s*")
 _page_before = regex.compile(rf"\s*({PAGE})(?:\s{{2,}}|\s+\|\s+)(\S.*?)\s*")
+_set_apart = regex.compile(r"\s\s|\|")
 _cue = regex.compile(r"[:·—]|\bet\s+al\b|\d")
 _alpha = regex.compile(r"[\p{L}]+")
 _edge = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
@@ -88,6 +89,7 @@ _name_like = regex.compile(r"[\p{L}@†!(0-9$|+]+")
 _odd_end = regex.compile(r"[!(|][,.;:]")
 _et_al = regex.compile(r"\bet\s+\S{1,2}\.\s*$")
 _parts = regex.compile(r"[^\s·:,.—–|/()]+")
+_divided = regex.compile(rf"\S[{regex.escape(MARKS)}]\s*(?:\n|$)")
 _soft_edge = ".,;:?\"“”‘’'*_`#|[]{}<>=…/\\)"
 
 
@@ -115,7 +117,7 @@ def title_like(line: str) -> bool:
 
 def core(line: str) -> tuple[str, bool]:
     """(line without a page number set off at either end, whether there was one)."""
-    if line.lstrip().startswith("|"):
+    if not _set_apart.search(line) or line.lstrip().startswith("|"):
         return line.strip(), False
     m = _page_after.fullmatch(line)
     if m and _alpha.search(m[1]) and len(_alpha.findall(m[1])) > 1:
@@ -155,8 +157,8 @@ class Layout:
     heads: list[tuple[str, bool, bool]] = field(default_factory=list)
 
 
-def layout(content: str, heads: set[str]) -> Layout:
-    """Tell furniture from text; ``heads`` are the skeletons known as running heads of the source."""
+def layout(content: str, heads: set[str], survey: bool = True) -> Layout:
+    """Tell furniture from text; ``heads`` are the skeletons known as running heads of the source. ``survey``: list the lines that can be heads."""
     lines = content.split("\n")
     candidates: list[tuple[str, bool, bool]] = []
     kinds = [""] * len(lines)
@@ -173,8 +175,13 @@ def layout(content: str, heads: set[str]) -> Layout:
         if fixed[i] or not line.strip() or i in numbers or len(line) > HEAD_WIDTH or line.lstrip()[:1] in "#|`{}\"":
             continue
         text, set_off = core(line)
+        if not survey and not heads and not set_off:
+            continue
         key = skeleton(text)
-        if len(key) >= 6:
+        if len(key) >= 6 and not survey:
+            if key in heads or (set_off and title_like(text)):
+                kinds[i] = "header"
+        elif len(key) >= 6:
             title = title_like(text)
             candidates.append((key, title, set_off or any(j in numbers for j in _neighbours(lines, i))))
             if key in heads or (set_off and title):
@@ -230,76 +237,136 @@ def budget(length: int) -> int:
     return 2 if length < 5 else 3
 
 
+class _Node:
+    """A node of the trie: what is below it, the greatest uses of a word below, and (as bits) how many letters may follow."""
+
+    __slots__ = ("below", "word", "most", "lengths")
+
+    def __init__(self) -> None:
+        self.below: dict[str, _Node] = {}
+        self.word: str | None = None
+        self.most = 0
+        self.lengths = 0
+
+
 class Trie:
     """A shard of the vocabulary, and the automaton's walk over it."""
 
     def __init__(self, words: dict[str, int]) -> None:
         self.counts = words
-        self.most = max(words.values(), default=0)
-        self.root: dict = {}
-        for word in words:
+        self.root = _Node()
+        for word, uses in words.items():
             node = self.root
-            for ch in word:
-                node = node.setdefault(ch, {})
-            node[""] = word
+            for at in range(len(word) + 1):
+                node.most = max(node.most, uses)
+                node.lengths |= 1 << (len(word) - at)
+                if at < len(word):
+                    node = node.below.get(word[at]) or node.below.setdefault(word[at], _Node())
+            node.word = word
+        self.most = self.root.most
+        #: What a deletion leaves of the words that are frequent enough to be found by a plain edit, with the greatest uses.
+        self.nearby: dict[str, int] = {}
+        for word, uses in words.items():
+            if uses >= KNOWN_RATIO:
+                for key in _one_less(word):
+                    if uses > self.nearby.get(key, 0):
+                        self.nearby[key] = uses
+
+    def may_edit(self, word: str, least: int) -> bool:
+        """Whether a word with that many uses can be one plain edit, and one confusion at most, away: a cheap test that never misses one."""
+        for variant in (word, *_unconfused(word)):
+            if any(self.nearby.get(key, 0) >= least for key in _one_less(variant)):
+                return True
+        return False
 
-    def candidates(self, word: str, plain: bool = True) -> list[tuple[int, bool, str]]:
+    def candidates(self, word: str, plain: bool = True, least: int = 0, least_plain: int = 0) -> list[tuple[int, bool, str]]:
         """(cost, by confusions only, word) of every other word of the shard within the budget.
 
-        The automaton's states at a node are a row {place in the word: twice the cost, odd once a plain edit was made};
-        a node whose row is empty ends the walk. ``plain`` false leaves insertions, deletions, substitutions and swaps out.
+        The automaton's states at a node are a row {place in the word: twice the cost, odd once a plain edit was made}.
+        A state from which no word of the node can be reached within the budget is dropped, and a node without states
+        ends the walk. Words with fewer uses than ``least`` (``least_plain`` after a plain edit) are not looked for;
+        ``plain`` false leaves insertions, deletions, substitutions and swaps out.
         """
         most = 2 * budget(len(word)) + 1
         size = len(word)
         found: list[tuple[int, bool, str]] = []
         ends = [[m for m in _MISREAD if word.startswith(m, at)] for at in range(size)]
+        plain = plain and self.most >= least_plain
         start = {0: 0}
         if plain:
             for at in range(1, most // 4 + 1):
                 start[at] = 4 * at | 1
-        stack: list[tuple[dict, dict[int, int], dict[int, int], str]] = [(self.root, start, {}, "")]
+        stack: list[tuple[_Node, dict[int, int], dict[int, int], str]] = [(self.root, start, {}, "")]
         while stack:
             node, row, above, before = stack.pop()
-            for c, below in node.items():
-                if not c:
-                    if size in row and below != word:
-                        found.append((row[size] >> 1, not row[size] & 1, below))
+            if size in row and node.word is not None and node.word != word:
+                uses = self.counts[node.word]
+                if uses >= (least_plain if row[size] & 1 else least):
+                    found.append((row[size] >> 1, not row[size] & 1, node.word))
+            for c, below in node.below.items():
+                if below.most < least:
                     continue
+                edits = plain and below.most >= least_plain
                 new: dict[int, int] = {}
+                letter = c.isalpha()
                 for at, cost in row.items():
+                    if cost & 1 and not edits:
+                        continue
                     if at < size:
                         ch = word[at]
                         if ch == c:
                             if cost < new.get(at + 1, 99):
                                 new[at + 1] = cost
-                        elif cost + 4 <= most and c.isalpha():
-                            step = cost + 4 if not ch.isalpha() and ch not in "-'’" else (cost + 4) | 1 if plain else 99
-                            if step < new.get(at + 1, 99) and step <= most:
+                        elif cost + 4 <= most and letter:
+                            step = cost + 4 if not ch.isalpha() and ch not in "-'’" else (cost + 4) | 1 if edits else 99
+                            if step <= most and step < new.get(at + 1, 99):
                                 new[at + 1] = step
                         if cost + 2 <= most:
                             for misread in ends[at]:
                                 if (c, misread) in _CONFUSED and cost + 2 < new.get(at + len(misread), 99):
                                     new[at + len(misread)] = cost + 2
-                    if plain and cost + 4 <= most and (cost + 4) | 1 < new.get(at, 99):
+                    if edits and cost + 4 <= most and (cost + 4) | 1 < new.get(at, 99):
                         new[at] = (cost + 4) | 1
                 for at, cost in above.items():
-                    if at < size and cost + 2 <= most:
+                    if at < size and cost + 2 <= most and (edits or not cost & 1):
                         for misread in ends[at]:
                             if (before + c, misread) in _CONFUSED and cost + 2 < new.get(at + len(misread), 99):
                                 new[at + len(misread)] = cost + 2
-                    if plain and at + 1 < size and cost + 4 <= most and word[at] == c and word[at + 1] == before and (cost + 4) | 1 < new.get(at + 2, 99):
+                    if edits and at + 1 < size and cost + 4 <= most and word[at] == c and word[at + 1] == before and (cost + 4) | 1 < new.get(at + 2, 99):
                         new[at + 2] = (cost + 4) | 1
-                if plain:
+                if edits:
                     for at in sorted(new):
                         place, cost = at, new[at]
                         while place < size and cost + 4 <= most and (cost + 4) | 1 < new.get(place + 1, 99):
                             place, cost = place + 1, (cost + 4) | 1
                             new[place] = cost
+                for at in [*new]:
+                    slack = (most - new[at]) >> 1  # letters by which the rest may be longer or shorter
+                    low = size - at - slack
+                    window = (1 << (2 * slack + 1)) - 1
+                    if not below.lengths & (window << low if low >= 0 else window >> -low):
+                        del new[at]
                 if new or (row and c in _PAIR_STARTS):
                     stack.append((below, new, row, c))
         return sorted(found)
 
 
+def _one_less(word: str) -> set[str]:
+    """The word and what one deletion leaves of it."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _unconfused(word: str) -> list[str]:
+    """The word with one confusion undone, in every way."""
+    out = []
+    for plain, misread in CONFUSIONS:
+        at = word.find(misread)
+        while at >= 0:
+            out.append(word[:at] + plain + word[at + len(misread) :])
+            at = word.find(misread, at + 1)
+    return out
+
+
 _CONFUSED = set(CONFUSIONS)
 _PAIR_STARTS = {plain[0] for plain, _ in CONFUSIONS if len(plain) == 2}
 _MISREAD = sorted({m for _, m in CONFUSIONS})
@@ -471,9 +538,11 @@ class Reading:
 
 def read(content: str, heads: set[str], findings: dict[str, dict]) -> Reading:
     """Everything found in one text."""
-    lay = layout(content, heads)
+    lay = layout(content, heads, survey=False)
     out = Reading(lay)
     out.marks = [(i, k) for i, k in enumerate(lay.kinds) if k]
+    if not _divided.search(content) and findings.keys().isdisjoint(content.split()):
+        return out
     words = list(tokens(lay))
     told = [findings.get(pair_key(t.text, t.tail, lay.lines[t.line].rstrip()[-1]) if t.mark else t.text) for t in words]
     if not any(t.mark for t in words) and not any(told):
@@ -698,10 +767,9 @@ def _found_in_shards(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
                     counts[form] = n
                     continue
                 trie = trie or Trie(counts)
-                if trie.most < RATIO * n:  # nothing is frequent enough to explain it
-                    continue
-                plain = len(form) >= 5 and form.isalpha() and trie.most >= KNOWN_RATIO * n
-                found = [(cost, sure, w, counts[w]) for cost, sure, w in trie.candidates(form, plain) if explains(form, n, clean, w, counts[w], sure)]
+                least, least_plain = max(LEAST, RATIO * n), KNOWN_RATIO * max(1, n)  # what :func:`explains` asks for at least
+                plain = len(form) >= 5 and form.isalpha() and trie.may_edit(form, least_plain)
+                found = [(cost, sure, w, counts[w]) for cost, sure, w in trie.candidates(form, plain, least, least_plain) if explains(form, n, clean, w, counts[w], sure)]
                 if found:
                     out.append((form, json.dumps(found, ensure_ascii=False)))
             columns = list(zip(*out)) if out else [[], []]

@@ -156,6 +156,9 @@ def test_automaton_finds_every_word_within_the_edits():
     v = scans.Trie(words)
     for garbled in ["reoder", "memoty", "attenton", "rreader", *("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(60))]:
         got = {w for _, _, w in v.candidates(garbled)}
+        edited = {w for _, sure, w in v.candidates(garbled) if not sure}
+        frequent = scans.Trie({w: 1000 for w in words})
+        assert frequent.may_edit(garbled, 1000) or not edited, (garbled, edited)
         for w in words:
             edits = canonical.swap_distance(garbled, w, 2)
             if w != garbled and edits * 2 <= scans.budget(len(garbled)):
