@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.functions import text as fn
+from graphloom.operators.skew import hub_join
 
 
 def pointer_keys(pointers: DataFrame, doc: str = "doc") -> DataFrame:
@@ -53,7 +54,8 @@ def shared_pointers(edge_table: DataFrame, inside: DataFrame) -> DataFrame:
     """
     count = inside.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     e = edge_table.select("src", "rel", "dst").distinct()
-    e = e.join(count.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src").join(count.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst")
+    e = hub_join(e, count.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src", ["rel", "dst"])
+    e = hub_join(e, count.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst", ["src", "rel"])
     by_source = F.col("ns") <= F.col("nd")
     asked = e.select("src", "rel", "dst", F.when(by_source, F.col("src")).otherwise(F.col("dst")).alias("few"), F.when(by_source, F.col("dst")).otherwise(F.col("src")).alias("many"))
     looked = asked.join(inside.withColumnRenamed("id", "few"), "few")
@@ -102,13 +104,26 @@ def relation_source(edge_table: DataFrame, mention_table: DataFrame) -> DataFram
 
 
 def chunk_by_pointer(pointers: DataFrame, chunks: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc, file, chunk_id, status, content): the chunk that ``<file>.jsonl::<id>`` names; the first of several."""
+    """(doc, file, chunk_id, status, content): the chunk that ``<file>.jsonl::<id>`` names; the first of several.
+
+    A chunk is looked up by file and id. The file a chunk lies in is its ``chunk_file`` column, where the table has one,
+    else the one its id names (``<file>_chunks_<size>_<number>``), else the stem of its Markdown file; a pointer whose file none of the chunks lies in is resolved by id alone only
+    where all chunks of that id lie in one file.
+    """
     from graphloom.operators.graph_match import split_pointer
 
     file, chunk = split_pointer(F.col(doc))
     asked = pointers.select(F.col(doc).alias("doc"), file.alias("file"), chunk.alias("chunk_id")).where("chunk_id is not null")
-    first = chunks.groupBy(F.col("id").alias("chunk_id")).agg(F.min_by("content", F.struct("chunk_index", "chunk_key")).alias("content"), F.lit(True).alias("found"))
-    return asked.join(first, "chunk_id", "left").select("doc", "file", "chunk_id", F.when(F.col("found"), "OK").otherwise("NOT_FOUND_IN_FILE").alias("status"), "content")
+    stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*[/\\\\]", ""), r"\.(jsonl|md)$", "")
+    named = F.regexp_extract("id", r"^(.+_chunks_[^_]+)_\d+$", 1)
+    place = F.col("chunk_file") if "chunk_file" in chunks.columns else F.when(named != "", named).otherwise(F.col("metadata.source"))
+    rows = chunks.select(F.col("id").alias("chunk_id"), stem(place).alias("stem"), "content", F.struct("chunk_index", "chunk_key").alias("rank"))
+    here = rows.groupBy("chunk_id", "stem").agg(F.min_by("content", "rank").alias("here"), F.lit(True).alias("in_file"))
+    alone = rows.groupBy("chunk_id").agg(F.min_by("content", "rank").alias("alone"), (F.count_distinct("stem") <= 1).alias("one_file"))
+    both = asked.withColumn("stem", stem(F.col("file"))).join(here, ["chunk_id", "stem"], "left").join(alone, "chunk_id", "left")
+    found = F.coalesce("in_file", F.lit(False)) | F.coalesce("one_file", F.lit(False))
+    content = F.when(F.col("in_file"), F.col("here")).when(F.col("one_file"), F.col("alone"))
+    return both.select("doc", "file", "chunk_id", F.when(found, "OK").otherwise("NOT_FOUND_IN_FILE").alias("status"), content.alias("content"))
 
 
 def chunk_by_terms(chunks: DataFrame, words: list[str], per_file: int = 3) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.operators.skew import hub_join
+
 
 def given(column: Column) -> Column:
     """True where a text is neither null nor blank (spaces)."""
@@ -39,7 +41,9 @@ def edges(raw: DataFrame) -> DataFrame:
 def edges_with_endpoints(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
     """Edges both of whose endpoints are nodes by id."""
     ids = node_table.select("id").distinct()
-    return edge_table.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    columns = edge_table.columns
+    from_nodes = hub_join(edge_table, ids.withColumnRenamed("id", "src"), "src", columns, "left_semi")
+    return hub_join(from_nodes, ids.withColumnRenamed("id", "dst"), "dst", columns, "left_semi").select(*columns)
 
 
 def mentions(sources: DataFrame, raw_nodes: DataFrame) -> DataFrame:

@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.operators.graph_metrics import undirected
+from graphloom.operators.skew import hot_keys, hub_join, salted_join
 from graphloom.storage import materialize
 
 
 def with_endpoints(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
     """Edges joined to both endpoint nodes by (type, id): an inner match of (s)-[r]->(t)."""
-    s = node_table.select(F.col("type").alias("src_type"), F.col("id").alias("src"))
-    t = node_table.select(F.col("type").alias("dst_type"), F.col("id").alias("dst"))
-    return edge_table.join(s, ["src_type", "src"]).join(t, ["dst_type", "dst"])
+    out = edge_table
+    columns = [c for c in edge_table.columns if c not in ("src_type", "src", "dst_type", "dst")]
+    for end in ("src", "dst"):
+        side = node_table.select(F.struct(F.col("type"), F.col("id")).alias("_end")).where("_end.type is not null and _end.id is not null")
+        keyed = out.withColumn("_end", F.when(F.col(f"{end}_type").isNotNull() & F.col(end).isNotNull(), F.struct(F.col(f"{end}_type").alias("type"), F.col(end).alias("id"))))
+        out = hub_join(keyed, side, "_end", ["src", "dst", *columns]).drop("_end")
+    return out.select("dst_type", "dst", "src_type", "src", *columns)
 
 
 def match(edge_table: DataFrame, src_type: str | None = None, rels: list[str] | None = None, dst_type: str | None = None, directed: bool = True) -> DataFrame:
@@ -119,10 +124,11 @@ def hops_from(edge_table: DataFrame, start: DataFrame, most: int = 4) -> DataFra
     so that the plan stays flat and survives lost executors.
     """
     links = materialize(undirected(edge_table).select("a", "b").where("a <> b").distinct(), "links")
+    hubs = hot_keys(links.groupBy("a").agg(F.count(F.lit(1)).alias("count")), "a")
     seen = start.select("id", F.lit(0).alias("hops"))
     frontier = start.select("id")
     for hop in range(1, most + 1):
-        reached = links.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        reached = salted_join(links, frontier.select(F.col("id").alias("a")), "a", hubs, F.col("b")).select(F.col("b").alias("id")).distinct()
         frontier = materialize(reached.join(seen.select("id"), "id", "left_anti"), f"hop-{hop}")
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
     return seen
@@ -148,30 +154,35 @@ def shortest_path(edge_table: DataFrame, start: str, end: str, most: int = 4) ->
     length = target.hops
     back = hops_from(edge_table, one(end), length)
     layer = ahead.withColumnRenamed("hops", "h").join(back, "id").where(F.col("h") + F.col("hops") == length).select("id", "h")
-    links = undirected(edge_table).select("a", "b").where("a <> b").distinct()
+    links = materialize(undirected(edge_table).select("a", "b").where("a <> b").distinct(), "links")
+    hubs = hot_keys(links.groupBy("a").agg(F.count(F.lit(1)).alias("count")), "a")
     paths = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     for h in range(1, length + 1):
-        step = links.join(paths, F.col("a") == F.col("id")).drop("id").join(layer.where(F.col("h") == h), F.col("b") == F.col("id"))
+        step = salted_join(links, paths.withColumnRenamed("id", "a"), "a", hubs, F.col("b")).join(layer.where(F.col("h") == h), F.col("b") == F.col("id")).drop("id")
         paths = materialize(step.groupBy(F.col("b").alias("id")).agg(F.min(F.concat("path", F.array("b"))).alias("path")), f"path-{h}")
     return paths.where(F.col("id") == end).select(F.lit(length).alias("hops"), "path")
 
 
-def connected_components(node_ids: DataFrame, edge_table: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(node_ids: DataFrame, edge_table: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each node's connected component.
 
     Alternating large-star and small-star steps: each step links a node's neighbours to the least
-    one, rounds grow with the logarithm of the diameter, and groups are reduced by ``min`` only.
+    one, rounds grow with the logarithm of the diameter, and groups are reduced by ``min`` only; the
+    neighbours of a hub spread over tasks. Rounds go on until nothing changes.
     """
     links = edge_table.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     links = materialize(links, "cc-0")
-    before = None
-    for round_ in range(1, max_rounds + 1):
+    before, round_ = None, 0
+    while True:
+        round_ += 1
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("count")), f"cc-least-{round_}")
+        hubs = hot_keys(least, "u")
+        large = salted_join(both.where("v > u"), least.select("u", F.least("u", "m").alias("m")), "u", hubs, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), f"cc-large-{round_}")
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
+        small_least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("count")), f"cc-small-{round_}")
+        small = salted_join(large, small_least.select("u", "m"), "u", hot_keys(small_least, "u"), F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = small.unionByName(small_least.select("u", F.col("m").alias("v")))
         links = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"cc-{round_}")
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -86,37 +86,51 @@ def first_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, buckets: int = 16, tables: int = 12, seed: int = 7) -> DataFrame:
+def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, rows_a_bucket: int = 128, tables: int = 12, probes: int | None = None, seed: int = 7) -> DataFrame:
     """Approximate neighbours by random hyperplanes: rows share a table's bucket if their signs agree.
 
-    Every row is indexed in every table; a query also looks into the bucket across the plane it lies
-    nearest to. Candidates are scored exactly. Bucket and query sets meet on (table, bucket) keys; a query's candidates are reduced to k before the last shuffle.
+    The number of planes grows with the logarithm of the number of vectors, so that a bucket holds about
+    ``rows_a_bucket``; the buckets a query looks into grow with it: its own and those across the planes it
+    lies nearest to, one or two at a time. Every row is indexed in every table, by id and bucket alone. Candidates are distinct
+    (query, vector) pairs; their vectors are joined once and scored exactly.
     """
-    bits = max(1, int(np.log2(buckets)))
+    total = vectors.count()
+    bits = max(4, round(np.log2(max(1, total) / rows_a_bucket)))
+    probes = probes or max(2, bits * (bits - 3) // 2)
     rng = np.random.default_rng(seed)
     some = vectors.select("embedding").where("embedding is not null").first()
     width = len(some[0]) if some else 1
     planes = rng.normal(size=(tables, bits, width))
+    flips = [(1 << i,) for i in range(bits)] + [(1 << i, 1 << j) for i in range(bits) for j in range(i)]
 
-    def index(df: DataFrame, name: str, probe: bool = False) -> DataFrame:
+    def index(df: DataFrame, name: str, looks: int) -> DataFrame:
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 m = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                codes = np.zeros((batch.num_rows, tables * (2 if probe else 1)), dtype=np.int64)
+                codes = np.zeros((batch.num_rows, tables * looks), dtype=np.int64)
                 if batch.num_rows:
                     for t in range(tables):
                         side = m @ planes[t].T
                         codes[:, t] = (side > 0) @ (1 << np.arange(bits))
-                        if probe:
-                            codes[:, tables + t] = codes[:, t] ^ (1 << np.abs(side).argmin(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(codes), pa.list_(pa.int64()))], names=["id", "embedding", "codes"])
+                        if looks > 1:
+                            near = np.stack([sum(side[:, f.bit_length() - 1] ** 2 for f in flip) for flip in flips], axis=1)
+                            order = np.argsort(near, axis=1, kind="stable")[:, : looks - 1]
+                            masks = np.array([sum(flip) for flip in flips])[order]
+                            for p in range(masks.shape[1]):
+                                codes[:, (p + 1) * tables + t] = codes[:, t] ^ masks[:, p]
+                            for p in range(masks.shape[1], looks - 1):
+                                codes[:, (p + 1) * tables + t] = codes[:, t]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(codes), pa.list_(pa.int64()))], names=["id", "codes"])
 
         rows = df.where("embedding is not null").select(F.col(name).cast("bigint").alias("id"), F.col("embedding").cast("array<double>"))
-        signed = rows.mapInArrow(sign, "id bigint, embedding array<double>, codes array<bigint>").select("id", "embedding", F.posexplode("codes").alias("tab", "code"))
-        return signed.withColumn("tab", F.col("tab") % tables)
-
-    a = index(vectors, "vec_id").select(F.col("id").alias("vec_id"), F.col("embedding").alias("ve"), "tab", "code")
-    b = index(queries, "query_id", probe=True).select(F.col("id").alias("query_id"), F.col("embedding").alias("qe"), "tab", "code")
-    scored = a.join(b, ["tab", "code"]).select("query_id", "vec_id", F.round(vx.cosine(F.col("qe"), F.col("ve")), 6).alias("score")).distinct()
+        signed = rows.mapInArrow(sign, "id bigint, codes array<bigint>").select("id", F.posexplode("codes").alias("tab", "code"))
+        return signed.select("id", (F.col("tab") % tables).alias("tab"), "code")
+
+    a = index(vectors, "vec_id", 1).withColumnRenamed("id", "vec_id")
+    b = index(queries, "query_id", probes).withColumnRenamed("id", "query_id")
+    pairs = a.join(b, ["tab", "code"]).select("query_id", "vec_id").distinct()
+    ve = vectors.where("embedding is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("ve"))
+    qe = queries.where("embedding is not null").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("qe"))
+    scored = pairs.join(ve, "vec_id").join(qe, "query_id").select("query_id", "vec_id", F.round(vx.cosine(F.col("qe"), F.col("ve")), 6).alias("score")).distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

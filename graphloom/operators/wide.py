@@ -1,6 +1,8 @@
 """Attribute-value rows into wide, typed tables.
 
-The declared attributes (a small fixed table) name the columns and their types. Each item row is
+The attribute list is discovered first, in one aggregate over all items: which declared attributes
+occur, how often, and which kinds their values read as. It drives the pivot; the declared attributes
+(a small fixed table) name the columns, and their types where they state one. Each item row is
 resolved to a declared attribute by a codegen expression, never by a join, so no key can be hot;
 then duplicates of a cell are resolved and one conditional aggregate per attribute makes the wide row.
 All aggregates combine map-side, so an owner that holds any share of the rows costs one partial
@@ -104,10 +106,10 @@ def typed_value(value: Column, kind: str) -> Column:
 def declared_attributes(keys: DataFrame) -> dict[str, dict[str, str]]:
     """Owner kind -> attribute -> kind, from the declaration table (fixed, one row per column).
 
-    Rows with a null or an unknown kind declare nothing.
+    A null or an unknown kind declares the attribute with the kind ``""``: its values decide.
     """
     out: dict[str, dict[str, str]] = {}
-    rows = keys.select("owner_kind", "meta_key", "value_type").na.drop().where(F.col("value_type").isin(list(SQL_TYPE))).distinct()
+    rows = keys.select("owner_kind", "meta_key", F.when(F.col("value_type").isin(list(SQL_TYPE)), F.col("value_type")).otherwise("").alias("value_type")).where("owner_kind is not null and meta_key is not null").distinct()
     for row in sorted(rows.collect()):
         out.setdefault(row.owner_kind, {})[row.meta_key] = row.value_type
     return out
@@ -120,11 +122,38 @@ def _resolved(items: DataFrame, declared: dict[str, dict[str, str]]) -> Column:
     return col
 
 
+#: Share of the values of an attribute that have to read as a kind for the kind to be inferred.
+READS = 0.9
+#: Kinds from the narrowest to the widest.
+NARROWEST = ["boolean", "int", "double", "date", "string"]
+
+
+def _inferred() -> Column:
+    """The narrowest kind that (nearly) all values read as."""
+    return F.coalesce(*[F.when((F.col("reads_string") > 0) & (F.col(f"reads_{kind}") >= READS * F.col("reads_string")), F.lit(kind)) for kind in NARROWEST])
+
+
 def discover(items: DataFrame, declared: dict[str, dict[str, str]]) -> DataFrame:
-    """Every key as written: the attribute it means (null if undeclared), items, and for how many each kind reads."""
+    """Every key as written: the attribute it means (null if undeclared), items, for how many each kind reads, and the kind they suggest."""
     reads = [F.count(typed_value(F.col("meta_value"), kind)).alias(f"reads_{kind}") for kind in SQL_TYPE]
     counted = items.groupBy("owner_kind", "meta_key").agg(F.count(F.lit(1)).alias("items"), *reads)
-    return counted.withColumn("attribute", _resolved(counted, declared))
+    return counted.withColumn("attribute", _resolved(counted, declared)).withColumn("inferred_type", _inferred())
+
+
+def attributes(items: DataFrame, declared: dict[str, dict[str, str]]) -> dict[str, dict[str, str]]:
+    """The attribute list that drives the pivot: owner kind -> attribute that the items have -> its kind.
+
+    Discovered by one aggregate over all items. The declared kind counts where there is one; an attribute declared
+    without a kind (null or unknown) gets the kind that its values suggest. At most one row per declared attribute
+    comes to the driver.
+    """
+    found = discover(items, declared).where("attribute is not null").groupBy("owner_kind", "attribute")
+    found = found.agg(F.sum("items").alias("items"), *[F.sum(f"reads_{kind}").alias(f"reads_{kind}") for kind in SQL_TYPE])
+    out: dict[str, dict[str, str]] = {}
+    for r in sorted(found.select("owner_kind", "attribute", F.coalesce(_inferred(), F.lit("string")).alias("kind")).collect()):
+        kind = declared[r.owner_kind][r.attribute]
+        out.setdefault(r.owner_kind, {})[r.attribute] = kind if kind in SQL_TYPE else r.kind
+    return out
 
 
 def widen(items: DataFrame, declared: dict[str, dict[str, str]], owners: DataFrame | None = None) -> DataFrame:
@@ -164,10 +193,14 @@ def widen(items: DataFrame, declared: dict[str, dict[str, str]], owners: DataFra
 
 
 def wide_table(items: DataFrame, declared: dict[str, dict[str, str]], owner_kind: str, owners: DataFrame | None = None) -> DataFrame:
-    """The wide table of one owner kind with plain column names."""
-    mine = {owner_kind: declared.get(owner_kind, {})}
-    wide = widen(items.where(F.col("owner_kind") == owner_kind), mine, owners)
-    return wide.select("owner_id", "listed", *[F.col(f"`{owner_kind}.{a}`").alias(a) for a in mine[owner_kind]], *[F.col(f"`{owner_kind}.{a}__items`").alias(f"{a}__items") for a in mine[owner_kind]])
+    """The wide table of one owner kind with plain column names: every declared attribute, null where no item has it."""
+    here = items.where(F.col("owner_kind") == owner_kind)
+    names = declared.get(owner_kind, {})
+    found = attributes(here, {owner_kind: names}).get(owner_kind, {})
+    wide = widen(here, {owner_kind: found}, owners)
+    values = [F.col(f"`{owner_kind}.{a}`").alias(a) if a in found else F.lit(None).cast(SQL_TYPE.get(kind, "string")).alias(a) for a, kind in names.items()]
+    counts = [F.col(f"`{owner_kind}.{a}__items`").alias(f"{a}__items") if a in found else F.lit(0).cast("bigint").alias(f"{a}__items") for a in names]
+    return wide.select("owner_id", "listed", *values, *counts)
 
 
 def cell_states(wide: DataFrame, declared: dict[str, dict[str, str]]) -> DataFrame:

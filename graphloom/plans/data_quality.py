@@ -15,8 +15,9 @@ def _owners(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """State of every declared cell that has items."""
-    declared = wide.declared_attributes(table(spark, d, "metadata_keys"))
-    return wide.cell_states(wide.widen(table(spark, d, "metadata_items"), declared), declared)
+    items = table(spark, d, "metadata_items")
+    found = wide.attributes(items, wide.declared_attributes(table(spark, d, "metadata_keys")))
+    return wide.cell_states(wide.widen(items, found), found)
 
 
 def p1_attributes(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +75,11 @@ def p2_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.object_use(*_shredded(spark, d))
 
 
+def p2_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of every object and array of a line with its parent: nothing of a line is left out."""
+    return nested.occurrences(*_shredded(spark, d))
+
+
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rel = table(spark, d, "graph_relationships")
     ends = rel.select(
@@ -108,7 +114,7 @@ def p6_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_nodes_wide, p1_sources_wide, p2_found, p2_metadata, p2_nodes, p2_relationships, p2_documents, p2_objects, p6_found, p6_orphans_by_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_nodes_wide, p1_sources_wide, p2_found, p2_metadata, p2_nodes, p2_relationships, p2_documents, p2_objects, p2_occurrences, p6_found, p6_orphans_by_month)}
 
 _ITEMS = r"""with k as (select owner_kind, meta_key, value_type, lower(regexp_replace(meta_key, '[^\p{L}\p{N}]', '', 'g')) as n from metadata_keys),
 raw as (select owner_kind, owner_id, item_id, recorded_at, meta_value, lower(regexp_replace(meta_key, '[^\p{L}\p{N}]', '', 'g')) as n from metadata_items where meta_key is not null and owner_id is not null),

@@ -82,8 +82,12 @@ def relation_source_cascade(spark: SparkSession, d: str) -> DataFrame:
 @query(
     CTE
     + """, a as (select doc, split_part(doc, '::', 1) as file, substr(doc, instr(doc, '::') + 2) as chunk_id from (select distinct doc from docs) where split_part(doc, '::', 1) like '%.jsonl' and doc like '%::_%'),
-f as (select id as chunk_id, arg_min(coalesce(content, chr(0)), (chunk_index, chunk_key)) as content from chunks group by 1)
-select doc, file, chunk_id, case when f.chunk_id is not null then 'OK' else 'NOT_FOUND_IN_FILE' end as status, f.content from a left join f using (chunk_id)"""
+p as (select id as chunk_id, coalesce(content, chr(0)) as content, (chunk_index, chunk_key) as rank,
+  case when regexp_matches(id, '^.+_chunks_[^_]+_\\d+$') then regexp_replace(id, '_\\d+$', '') else regexp_replace(regexp_replace(metadata.source, '^.*/', ''), '\\.(jsonl|md)$', '') end as stem from chunks),
+f as (select chunk_id, stem, arg_min(content, rank) as content from p group by 1, 2),
+o as (select chunk_id, arg_min(content, rank) as content, count(distinct stem) as files from p group by 1)
+select doc, file, a.chunk_id, case when f.chunk_id is not null or o.files <= 1 then 'OK' else 'NOT_FOUND_IN_FILE' end as status, case when f.chunk_id is not null then f.content when o.files <= 1 then o.content end as content
+from a left join f on a.chunk_id = f.chunk_id and regexp_replace(a.file, '\\.jsonl$', '') = f.stem left join o on a.chunk_id = o.chunk_id"""
 )
 def chunk_by_source_id(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "graph_sources").select(F.coalesce("source_id", F.lit("unknown")).alias("doc")).distinct()

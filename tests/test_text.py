@@ -135,11 +135,12 @@ def test_evaluation_edges(spark):
     assert {r.category for r in evaluation.category_rollup(j, ["m", "n"]).collect()} == {"a", None}
 
 
-def test_salted_join_and_ranks_equal_the_plain_ones(spark):
+def test_salted_join_and_ranks_equal_the_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 50)
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", 2.0) for i in range(600)] + [(999, None, 1.0)], "id bigint, key string, w double")
     right = left.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
-    hot = skew.hot_keys(right, "key", share=0.1)
-    assert hot == ["hot"]
+    hot = skew.hot_keys(right, "key")
+    assert hot == [("hot", 3)]
     assert skew.salted_join(left, right, "key", hot, F.col("id")).count() == 600
     ranked = skew.bucketed_rank(left, ["key"], "id", rows_a_bucket=50).collect()
     by_key = {}
@@ -237,3 +238,31 @@ def test_evidence_and_nested_extraction(spark):
     key, value = fn.snippet_field(F.col("v"))
     rows = spark.createDataFrame([('  "path": "a b.png",',), ('  "page": 12',), ("}",)], "v string").select(key.alias("k"), value.alias("x")).collect()
     assert [(r.k, r.x) for r in rows] == [("path", "a b.png"), ("page", "12"), (None, None)]
+
+
+def test_a_hub_does_not_fill_one_task(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 50)
+    edges = spark.range(8000).select(F.concat(F.lit("n"), (F.col("id") % 700).cast("string")).alias("src"), F.when(F.col("id") % 10 == 0, F.lit("hub")).otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("dst"))
+    ids = edges.select(F.col("dst")).distinct()
+    before, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.hub_join(edges, ids, "dst", ["src"])
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 8000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_chunks_of_the_same_id_in_two_files(spark):
+    from graphloom.operators import cascades
+
+    c = spark.createDataFrame([("1", "one", ("a.md",), 0, 1), ("1", "two", ("b.md",), 0, 2)], "id string, content string, metadata struct<source:string>, chunk_index int, chunk_key bigint")
+    p = spark.createDataFrame([("a.jsonl::1",), ("b.jsonl::1",), ("c.jsonl::1",)], "doc string")
+    got = {(r.doc, r.status, r.content) for r in cascades.chunk_by_pointer(p, c).collect()}
+    assert got == {("a.jsonl::1", "OK", "one"), ("b.jsonl::1", "OK", "two"), ("c.jsonl::1", "NOT_FOUND_IN_FILE", None)}
