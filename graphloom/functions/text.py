@@ -123,16 +123,29 @@ def fill_prompt(template: Column, chunk: Column, known_ids: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{chunk}"), chunk), F.lit("{entities}"), listed)
 
 
+def json_strings(json_text: Column, depth: int = 8) -> Column:
+    """The string values anywhere in a JSON text (escapes resolved, field names left out), down to ``depth`` levels; null for broken JSON."""
+    level = F.array(F.try_parse_json(json_text))
+    found = F.array().cast("array<string>")
+    for _ in range(depth):
+        kind = lambda v: F.schema_of_variant(v)
+        found = F.concat(found, F.filter(F.transform(level, lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda x: x.isNotNull()))
+        items = F.flatten(F.transform(level, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<variant>"))))
+        level = F.filter(items, lambda v: v.isNotNull())
+    return found
+
+
 def nested_strings(value: Column, mark: str) -> Column:
-    """Distinct strings anywhere in a nested value that hold ``mark``, in the order written."""
-    text = F.to_json(value)
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.contains(s, F.lit(mark))))
+    """Distinct strings anywhere in a nested value that hold ``mark``."""
+    return F.array_distinct(F.filter(json_strings(F.to_json(value)), lambda s: F.contains(s, F.lit(mark))))
 
 
 def nested_int(json_text: Column, key: str) -> Column:
-    """The last integer under ``key`` anywhere in a JSON text; null where there is none."""
-    found = F.regexp_extract_all(json_text, F.lit(rf'"{key}"\s*:\s*(-?[0-9]+)'), F.lit(1))
-    return F.try_element_at(found, F.lit(-1)).try_cast("bigint")
+    """The integer under ``key`` of a JSON object: at its top, else the last that its objects below have; null where there is none."""
+    value = F.try_parse_json(json_text)
+    top = F.try_variant_get(value, f"$.{key}", "bigint")
+    below = F.transform(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), lambda v: F.try_variant_get(v, f"$.{key}", "bigint"))
+    return F.coalesce(top, F.try_element_at(F.filter(below, lambda v: v.isNotNull()), F.lit(-1)))
 
 
 def evidence_ids(block: Column) -> Column:

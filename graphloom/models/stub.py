@@ -64,3 +64,16 @@ def embedding(text: Column, width: int = 64) -> Column:
     hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
     total = lambda i: F.aggregate(F.filter(hashed, lambda h: h["i"] == i), F.lit(0.0), lambda a, h: a + h["s"])
     return unit(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), total))
+
+
+def relations(text: Column) -> Column:
+    """Relations of a text: each entity mentions the next one after it."""
+    found = entities(text)
+    pairs = F.arrays_zip(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))).alias("source"), F.slice(found, 2, F.size(found)).alias("target"))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["source"] != p["target"]), lambda p: F.struct(p["source"].alias("source"), F.lit("MENTIONS").alias("type"), p["target"].alias("target"))))
+
+
+def graph(text: Column) -> Column:
+    """Nodes and relationships of a text; null where it names nothing."""
+    nodes = F.transform(F.array_distinct(entities(text)), lambda e: F.struct(e.alias("id"), F.lit("Concept").alias("type")))
+    return F.when(F.size(nodes) > 0, F.struct(nodes.alias("nodes"), relations(text).alias("relationships")))

@@ -157,5 +157,5 @@ def relation_key(src: F.Column, rel: F.Column, dst: F.Column) -> F.Column:
 
 
 def hashed_sample(rows: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
-    """A repeatable random sample of ``n`` rows: those of the least hash. This is the operator's purpose."""
-    return rows.withColumn("_h", F.xxhash64(F.lit(seed), *columns)).orderBy("_h", *columns).limit(n).drop("_h")
+    """A repeatable random sample of ``n`` rows: those of the least MD5 of seed and columns. This is the operator's purpose."""
+    return rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))).orderBy("_h", *columns).limit(n).drop("_h")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions import text as fn
+from graphloom.functions.tokens import count_tokens
 from graphloom.tables import wide_enough
 
 # Fixed values: (chunk size, overlap, suffix) of the two granularities, in tokens.
@@ -17,7 +18,7 @@ SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
 def words_length(text: str) -> int:
-    """Length in words, the default measure."""
+    """Length in words."""
     return len(text.split())
 
 
@@ -60,10 +61,11 @@ def recursive_split(text: str, size: int, overlap: int, length: Callable[[str],
     return out
 
 
-def token_chunks(documents: DataFrame, key: str, text: str, stem: str, length: Callable[[str], int] = words_length, granularities: list[tuple[int, int, str]] | None = None) -> DataFrame:
+def token_chunks(documents: DataFrame, key: str, text: str, stem: str, length: Callable[[str], int] = count_tokens, granularities: list[tuple[int, int, str]] | None = None) -> DataFrame:
     """(key, id, content, source, chunk_index, token_size_config) at every granularity.
 
-    A text is split whole by an Arrow pass over its row; null and blank texts have no chunks.
+    Sizes are tokens of the public tokenizer unless another ``length`` is given. A text is split whole by an Arrow pass
+    over its row; null and blank texts have no chunks.
     """
     sizes = granularities or GRANULARITIES
     rows = documents.where(F.length(F.trim(text)) > 0).select(F.col(key).cast("bigint").alias("key"), F.col(stem).cast("string").alias("stem"), F.col(text).alias("text"))
@@ -91,22 +93,28 @@ def semantic_chunks(islands: DataFrame, key: str, order: str, sentence: str) ->
 def adaptive_batches(chunks: DataFrame, group: str, order: str, content: str, limit: int = 5500, unique: str | None = None) -> DataFrame:
     """Adds ``batch``: chunks of a file in order, cut where the estimate would pass ``limit`` tokens.
 
-    The cut depends on everything before it in the file, so a file is folded in order; only ids and
-    estimates are folded, never texts. Empty and null contents are skipped. A chunk above the limit
+    The cut depends on everything before it in the file, so a file's rows pass one task in order, streamed; only ids and
+    estimates do, never texts. Empty and null contents are skipped. A chunk above the limit
     is a batch of its own.
     """
-    rows = chunks.where(F.length(content) > 0).select(group, F.col(order).alias("_o"), F.col(unique or order).alias("_u"), fn.token_estimate(F.col(content)).alias("est"))
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_o", "_u", "est"))).alias("xs"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def step(acc, x):
-        full = (acc["sum"] > 0) & (acc["sum"] + x["est"] > limit)
-        b = F.when(full, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(b.alias("b"), F.when(full, x["est"]).otherwise(acc["sum"] + x["est"]).alias("sum"), F.concat(acc["out"], F.array(b)).alias("out"))
-
-    folded = listed.select(group, "xs", F.aggregate("xs", zero, step)["out"].alias("bs"))
-    zipped = folded.select(group, F.explode(F.arrays_zip("xs", "bs")).alias("z"))
-    return zipped.select(group, F.col("z.xs._o").alias(order), F.col("z.xs._u").alias("chunk_ref"), F.col("z.xs.est").alias("tokens"), F.col("z.bs").alias("batch"))
+    rows = chunks.where(F.length(content) > 0).select(group, F.col(order), F.col(unique or order).alias("chunk_ref"), fn.token_estimate(F.col(content)).alias("tokens"))
+    kinds = dict(rows.dtypes)
+    schema = f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, chunk_ref {kinds['chunk_ref']}, tokens {kinds['tokens']}, batch int"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, number, held = object(), 0, 0
+        for rows in batches:
+            numbers = []
+            for name, size in zip(rows.column(0).to_pylist(), rows.column(3).to_pylist()):
+                if name != file:
+                    file, number, held = name, 0, 0
+                if held > 0 and held + size > limit:
+                    number, held = number + 1, 0
+                held += size
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int32())], names=[*rows.schema.names, "batch"])
+
+    return rows.repartition(group).sortWithinPartitions(group, order, "chunk_ref").mapInArrow(cut, schema)
 
 
 def batch_sources(batches: DataFrame, group: str, chunk_ids: str) -> DataFrame:

@@ -84,7 +84,7 @@ def validation_report(g: Graph) -> DataFrame:
 
 
 def _metric(name: str, columns: list[str], sql: str) -> None:
-    QUERIES[name] = lambda spark, d: (lambda g: metrics.report(g.nodes, g.edges, g.mentions, g.raw_nodes, g.raw_edges).select(*columns))(Graph(spark, d))
+    QUERIES[name] = lambda spark, d: (lambda g: metrics.report(g.nodes, g.edges, g.mentions, g.raw_nodes, g.raw_edges, columns))(Graph(spark, d))
     ORACLES[name] = CTE + sql
 
 
@@ -298,14 +298,30 @@ def hops_from_hub(g: Graph) -> DataFrame:
     return match.hops_from(g.edges, metrics.degrees(g.edges).orderBy(F.desc("degree"), "id").limit(1).select("id"))
 
 
-@query()
+@query(
+    """, l as (select distinct a, b from undirected where a <> b), s as (select least(a, b) as x from pair),
+t as (select max(m.b) as y from l f join l m on f.b = m.a where f.a = (select x from s) and m.b <> (select x from s) and m.b not in (select b from l where a = (select x from s)))
+select 2 as hops, '[' || x || ', ' || (select min(f.b) from l f join l m on f.b = m.a where f.a = x and m.b = y) || ', ' || y || ']' as path from s, t where y is not null"""
+)
 def shortest_path_le4(g: Graph) -> DataFrame:
-    """The shortest path between the two ids that bound the alphabet of edge ends."""
-    ends = g.edges.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    return match.shortest_path(g.edges, ends.a, ends.b)
+    """The shortest path from the first node of the strongest pair to the last, by name, of the nodes two hops away from it."""
+    pair = match.strongest_pair(g.edges).first()
+    if pair is None:
+        return g.edges.sparkSession.createDataFrame([], "hops int, path string")
+    near = match.hops_from(g.edges, g.edges.sparkSession.createDataFrame([(pair.a,)], "id string"), 2)
+    far = near.where("hops = 2").agg(F.max("id")).first()[0]
+    return match.shortest_path(g.edges, pair.a, far).select("hops", F.concat(F.lit("["), F.array_join("path", ", "), F.lit("]")).alias("path"))
 
 
-@query()
+@query(
+    """, recursive_links as (select distinct a, b from undirected where a <> b)
+select id, component from (
+  with recursive cc(id, component) using key (id) as (
+    select id, id from (select id from ids union select a from recursive_links)
+    union
+    select l.a, min(p.component) from recursive_links l join recurring.cc p on p.id = l.b join recurring.cc q on q.id = l.a where p.component < q.component group by l.a)
+  select * from cc) where id in (select id from ids)"""
+)
 def connected_components(g: Graph) -> DataFrame:
     return match.connected_components(g.nodes, g.edges)
 
@@ -315,7 +331,16 @@ def ping(g: Graph) -> DataFrame:
     return g.nodes.sparkSession.sql("select 1 as ok")
 
 
-@query("select * from (select 'orphan_ratio' as metric, (select count(*) from ids where id not in (select src from edges union all select dst from edges)) / (select count(*) from ids)::double > 0.1 as raised) where raised")
+@query(
+    """, o as (select count(*) as n, count(*) filter (where id not in (select src from edges union all select dst from edges)) as k from ids),
+v as (select ((select count(*) from graph_nodes where id is null or id = '') + count(*) filter (where source.id is null or source.id = '' or target.id is null or target.id = '')) / greatest(count(*), 1)::double as rate from graph_relationships)
+select metric, round(value, 6) as value, threshold::double as threshold, value > threshold as raised from (
+  select 'orphan_ratio' as metric, k / n::double as value, 0.1 as threshold from o
+  union all select 'component_ratio', (case when k = 0 then 1 else greatest(1, k) + (n - k > 0)::int end) / n::double, 0.5 from o
+  union all select 'type_violation_rate', rate, 0.05 from v)"""
+)
 def report_flags(g: Graph) -> DataFrame:
-    r = metrics.report(g.nodes, g.edges, g.mentions, g.raw_nodes, g.raw_edges)
-    return r.select(F.lit("orphan_ratio").alias("metric"), (F.col("orphan_ratio") > 0.1).alias("raised")).where("raised")
+    """The three metrics that a report remarks on, against their thresholds."""
+    r = metrics.report(g.nodes, g.edges, g.mentions, g.raw_nodes, g.raw_edges, [m for m, _, _ in metrics.REMARKS])
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(limit).alias("threshold")) for m, limit, _ in metrics.REMARKS])
+    return r.select(F.explode(rows).alias("x")).select("x.metric", "x.value", "x.threshold", (F.col("x.value") > F.col("x.threshold")).alias("raised"))

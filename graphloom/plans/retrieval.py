@@ -258,11 +258,13 @@ def hybrid_evidence(spark: SparkSession, d: str) -> DataFrame:
     return direct.unionByName(shared).unionByName(near)
 
 
-@query()
+@query(
+    """select line_id, (select count(distinct t.atom->>'$') from json_tree(case when json_valid(line) then line else 'null' end) t where t.type = 'VARCHAR' and contains(t.atom->>'$', '.jsonl::')) as pointers from graph_jsonl"""
+)
 def nested_pointers(spark: SparkSession, d: str) -> DataFrame:
-    """Provenance pointers anywhere in the raw lines, without parsing their shape."""
-    pointers = F.array_distinct(F.filter(F.regexp_extract_all("line", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.contains(s, F.lit(".jsonl::"))))
-    return table(spark, d, "graph_jsonl").select("line_id", F.size(pointers).alias("pointers"))
+    """Provenance pointers among the string values of the raw lines, whatever their shape."""
+    pointers = F.array_distinct(F.filter(fn.json_strings(F.regexp_replace("line", "^[\\s﻿]+", "")), lambda s: F.contains(s, F.lit(".jsonl::"))))
+    return table(spark, d, "graph_jsonl").select("line_id", F.coalesce(F.size(pointers), F.lit(0)).cast("bigint").alias("pointers"))
 
 
 @query("select event_id, try_cast(nullif(regexp_extract(props, '\"k\"\\s*:\\s*(-?[0-9]+)', 1), '') as bigint) as k from events")
@@ -271,24 +273,6 @@ def nested_int(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", fn.nested_int(F.col("props"), "k").alias("k"))
 
 
-@query(
-    _LINK
-    + """, i as (select distinct doc, chunk_id, m.id from mentions m join link using (doc)),
-cov as (select distinct s.chunk_id, lower(trim(e.src)) || chr(31) || upper(trim(e.rel)) || chr(31) || lower(trim(e.dst)) as item from (select distinct src, rel, dst from edges) e join i s on s.id = e.src join i t on t.id = e.dst and t.doc = s.doc and t.chunk_id = s.chunk_id where e.rel is not null),
-ment as (select distinct c.chunk_id, c.item from cov c join chunks k on k.id = c.chunk_id where contains(lower(k.content), split_part(c.item, chr(31), 1))),
-s as (select ment.chunk_id, count(cov.item) / count(*)::double as share from ment left join cov on ment.chunk_id = cov.chunk_id and ment.item = cov.item group by 1)
-select count(*) as chunks, coalesce(round(avg(share), 6), 0)::double as coverage from s"""
-)
-def relation_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Relation coverage of chunks: relations whose source the text names against those the graph links to the chunk."""
-    g = Graph(spark, d)
-    rel = cascades.relations_for_chunks(g.chunks, g.mentions, g.edges).where("rel is not null")
-    covered = rel.select("chunk_id", cascades.relation_key(F.col("src"), F.col("rel"), F.col("dst")).alias("item")).distinct()
-    texts = g.chunks.where(F.length("content") > 0).select(F.col("id").alias("chunk_id"), "content")
-    named = F.contains(F.lower("content"), F.substring_index("item", "\x1f", 1))
-    return cascades.coverage(covered.join(texts, "chunk_id").where(named).select("chunk_id", "item"), covered)
-
-
 @query(
     CTE
     + """, e as (select distinct src, rel, dst from edges), m as (select distinct doc, id from mentions), lm as (select id, min(doc) as doc from m group by id),
@@ -306,9 +290,3 @@ def relation_faithfulness(spark: SparkSession, d: str) -> DataFrame:
     checked = told.select(stub.relation_grounded(F.col("src"), F.col("dst"), F.col("content")).alias("ok"))
     n = F.count(F.lit(1))
     return checked.agg(n.alias("checked"), F.count_if("ok").alias("grounded"), F.round(F.count_if("ok") / F.greatest(n, F.lit(1)), 6).alias("relation_faithfulness"))
-
-
-@query()
-def sampled_relations(spark: SparkSession, d: str) -> DataFrame:
-    """A repeatable sample of fifty relations; sampling is what the operator is for."""
-    return cascades.hashed_sample(Graph(spark, d).edges, ["src", "rel", "dst"], 50, seed=1)

@@ -208,10 +208,14 @@ def adaptive_batches(spark: SparkSession, d: str) -> DataFrame:
     return chunking.adaptive_batches(chunks, "file", "chunk_index", "content", 600, "chunk_key")
 
 
-@query()
+@query(
+    ORACLES["adaptive_batches"].replace("select file, chunk_index, chunk_ref, tokens, batch from r", "")
+    + """, g as (select file, batch, list(chunk_ref order by chunk_index, chunk_ref) as ids from r group by 1, 2)
+select file, batch, case when len(ids) = 1 then file || '.jsonl::' || ids[1] else file || '::batch::' || ids[1] end as source_id, case when len(ids) = 1 then 'chunk' else 'chunk_batch' end as source_type, array_to_string(ids, ',') as ids from g"""
+)
 def batch_provenance(spark: SparkSession, d: str) -> DataFrame:
     """The provenance pointer of every extraction batch."""
-    return chunking.batch_sources(adaptive_batches(spark, d), "file", "chunk_ref")
+    return chunking.batch_sources(adaptive_batches(spark, d), "file", "chunk_ref").withColumn("ids", F.array_join("ids", ","))
 
 
 @query()

@@ -8,6 +8,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def session() -> SparkSession:
+    """The session a command runs in: the one that is there, or the one spark-submit configured; a local one only where neither is."""
+    from pyspark import SparkConf
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    return SparkSession.builder.getOrCreate() if SparkConf().contains("spark.master") or "MASTER" in os.environ else local_session()
+
+
 def local_session(cores: int | str = 8, memory: str = "12g", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench share."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")

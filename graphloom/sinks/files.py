@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom import schema
@@ -32,8 +35,27 @@ def write_graph_documents(documents: DataFrame, path: str) -> None:
 
 
 def write_registry(ids: DataFrame, path: str) -> None:
-    """The registry as one sorted JSON array. A registry that must stay parallel is kept as a table instead."""
-    ids.agg(F.to_json(F.array_sort(F.collect_set("id"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The registry as a JSON array of distinct ids in order, one id a line.
+
+    The ids are sorted over the cluster; only the lines pass one task, streamed, so that the file is one array.
+    """
+    given = ids.where(F.col("id").isNotNull()).select("id")
+    if given.isEmpty():
+        ids.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    ordered = given.distinct().orderBy("id")
+    lines = ordered.select(F.to_json(F.array("id")).alias("a")).select(F.expr("substring(a, 2, length(a) - 2)").alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        for batch in batches:
+            values = [v for v in [held, *batch.column(0).to_pylist()] if v is not None]
+            held = values.pop() if values else None
+            yield pa.RecordBatch.from_pydict({"value": pa.array([v + "," for v in values], pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": [held or "", "]"]})
+
+    lines.coalesce(1).mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def write_graph_tables(node_table: DataFrame, edge_table: DataFrame, mention_table: DataFrame, path: str, buckets: int | None = None) -> None:
@@ -78,3 +100,19 @@ def evaluation_sheets(rows: DataFrame, metrics: list[str], path: str | None = No
 def breakpoint_plot_data(islands: DataFrame, key: str, order: str) -> DataFrame:
     """What a breakpoint plot shows: distance by position, threshold and breaks."""
     return islands.select(key, order, "distance", "threshold", "is_break")
+
+
+def write_evaluation(rows: DataFrame, path: str, at: str) -> None:
+    """An evaluation as JSON: the summary per metric, every test with its metrics, and the time, given as text."""
+    done = rows.withColumn("result", F.struct("score", "success", "threshold", F.col("secs").alias("evaluation_time_seconds"), "error", "skipped"))
+    tests = done.groupBy(F.col("test_idx").alias("test_case_index"), "category").agg(F.map_from_entries(F.collect_list(F.struct("metric", "result"))).alias("metrics"))
+    tests = tests.join(evaluation.overall(rows).withColumnRenamed("test_idx", "test_case_index"), "test_case_index").withColumn("evaluation_timestamp", F.lit(at))
+    tests.write.mode("overwrite").json(f"{path}/detailed_results")
+    evaluation.metric_summary(rows).withColumn("evaluation_timestamp", F.lit(at)).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def show(table: DataFrame, rows: int = 20) -> list[str]:
+    """Print the first rows, each as a JSON line, and return them; a look, not an export."""
+    lines = [r.value for r in table.limit(rows).select(F.to_json(F.struct(*table.columns)).alias("value")).collect()]
+    print("\n".join(lines))
+    return lines

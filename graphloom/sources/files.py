@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from graphloom import schema
 from graphloom.functions import text as fn
@@ -56,11 +56,15 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 def chunk_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Chunks of JSONL files, tolerant: blank lines, bad JSON and empty contents are left out.
 
-    Adds ``source_file`` and ``chunk_id``: the id, or ``<stem>_<line>`` where there is none; the line
-    is numbered within its file by the byte order of a whole-file read.
+    Adds ``source_file`` and ``chunk_id``: the id, or ``<stem>_<line>`` where there is none. Files are read by blocks in
+    parallel; a line's number within its file comes from the lines of the blocks before, counted per block.
     """
-    rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    lines = rows.select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
+    block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.option("pathGlobFilter", pattern).text(path).select(block.alias("block"), F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    counted = rows.groupBy("block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("block.path").orderBy("block.start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    lines = rows.join(starts, "block").select("source_file", (F.col("at") - F.col("first") + F.col("skip")).cast("int").alias("pos"), F.regexp_replace("line", "\r$", "").alias("line")).where(F.trim("line") != "")
     parsed = lines.select("source_file", (F.col("pos") + 1).alias("line_no"), F.from_json("line", schema.CHUNK).alias("c")).where("c is not null and length(c.content) > 0")
     return parsed.select("c.*", "source_file", "line_no", F.coalesce("c.id", F.concat(_stem(F.col("source_file")), F.lit("_"), F.col("line_no").cast("string"))).alias("chunk_id"))
 

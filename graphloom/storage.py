@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +41,30 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table written by :func:`materialize`; results that read them must be done."""
-    while _written:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted when the block ends: for jobs whose result is written or collected by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _delete(before)
+
+
+def _delete(keep: int) -> None:
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone; its folder is the cluster's to clean
-            return
+        except Exception:  # the session is gone, and so is its shared folder's use
+            continue
+
+
+def release() -> None:
+    """Delete every table written by :func:`materialize`; results that read them must be done."""
+    _delete(0)
 
 
 atexit.register(release)

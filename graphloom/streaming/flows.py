@@ -15,6 +15,12 @@ def read_graph_lines(spark: SparkSession, path: str, files_per_trigger: int = 10
     return spark.readStream.schema(shape).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; any other trouble rises."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def keep_registry(documents: DataFrame, registry_path: str, checkpoint: str) -> StreamingQuery:
     """Add the new ids of each micro-batch to the registry table; a batch replayed after a failure adds nothing twice.
 
@@ -24,11 +30,9 @@ def keep_registry(documents: DataFrame, registry_path: str, checkpoint: str) ->
 
     def add(batch: DataFrame, batch_id: int) -> None:
         ids = build.registry(batch.select(F.explode("nodes.id").alias("id")))
-        try:
-            known = spark.read.parquet(registry_path).where(F.col("batch") != batch_id).select("id")
+        if _exists(spark, registry_path):
+            known = spark.read.schema("id string, batch bigint").option("basePath", registry_path).parquet(registry_path).where(F.col("batch") != batch_id).select("id")
             ids = ids.join(known, "id", "left_anti")
-        except Exception:  # no table yet
-            pass
         ids.write.mode("overwrite").parquet(f"{registry_path}/batch={batch_id}")
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -44,11 +48,29 @@ def trace_latency(traces: DataFrame, width: str = "10 minutes", late: str = "1 h
     )
 
 
-def latest_properties(items: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
-    """Keyed upsert without repeats: exact repeats within the watermark are dropped."""
-    if items.isStreaming:
-        return items.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
-    return items.dropDuplicates(keys)
+def latest_properties(items: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Keyed upsert on a table: the latest row of each key, ties by the whole row."""
+    others = [c for c in items.columns if c not in keys]
+    best = items.groupBy(*keys).agg(F.max(F.struct(F.col(at).alias("_at"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])).alias("_row"))
+    return best.select(*keys, *[F.col(f"_row._{i}").alias(c) for i, c in enumerate(others)]).select(*items.columns)
+
+
+def keep_latest(items: DataFrame, keys: list[str], at: str, table_path: str, checkpoint: str) -> StreamingQuery:
+    """The same for a stream: each micro-batch is merged into the table by key, the later row stays.
+
+    The table is written as one folder per batch; the newest is the whole table, and a batch replayed after a failure
+    starts from the one before it.
+    """
+    spark = items.sparkSession
+    shape = items.schema
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if batch_id > 0 and _exists(spark, f"{table_path}/batch={batch_id - 1}"):
+            rows = rows.unionByName(spark.read.schema(shape).parquet(f"{table_path}/batch={batch_id - 1}"))
+        latest_properties(rows, keys, at).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+
+    return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
