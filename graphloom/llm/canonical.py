@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
+from xxhash import xxh64_intdigest as hash_of
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.operators.skew import hot_keys, salted_join
@@ -92,7 +93,8 @@ def deletions(word: str, most: int) -> set[str]:
 
 
 def _key_rows(token: str, reach: int) -> list[tuple]:
-    return [(token, k) for k in deletions(token, edit_bound(len(token) + reach))]
+    """The keys as hashes: what meets by chance is sorted out by the distance."""
+    return [(token, hash_of(k.encode("utf-8", "surrogatepass")) - (1 << 63)) for k in deletions(token, edit_bound(len(token) + reach))]
 
 
 def _checked(token: str, word: str) -> list[tuple]:
@@ -119,19 +121,22 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     ``vocabulary``: word, distinct.
     """
-    bare = tokens.where(~F.col("token").endswith(".")).select("token")
-    mine = _derive(bare, "token string, key string", lambda t: _key_rows(t, 0))
+    plain = tokens.where(~F.col("token").endswith(".")).select("token")
+    exact = plain.join(vocabulary.select(F.col("word").alias("token")), "token", "left_semi")
+    bare = plain.join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
+    mine = _derive(bare, "token string, key bigint", lambda t: _key_rows(t, 0))
     # a word is reached from tokens up to three letters longer, which may have a wider bound
-    theirs = _derive(vocabulary.select("word"), "word string, key string", lambda w: _key_rows(w, 3))
-    pairs = mine.join(theirs, "key").select("token", "word").distinct()
+    theirs = _derive(vocabulary.select("word"), "word string, key bigint", lambda w: _key_rows(w, 3))
+    length = F.length("token")
+    bound = F.when(length < 3, 0).when(length < 5, 1).when(length < 8, 2).otherwise(3)
+    pairs = mine.join(theirs, "key").where(F.abs(length - F.length("word")) <= bound).select("token", "word").distinct()
+    pairs = pairs.where(F.levenshtein("token", "word") <= 2 * bound)  # a swap is two plain edits
     near = _derive(pairs, "token string, word string, edits int", _checked)
     short = tokens.where(F.col("token").endswith(".")).select("token", F.expr("substring(token, 1, length(token) - 1)").alias("stem")).where(F.length("stem") >= 3)
     prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem")).distinct()
     cut = short.join(prefixes, "stem").select("token", "word", F.lit(0).alias("edits"))
-    found = near.unionByName(cut).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("edits", "word"))).alias("found"))
-    exact = (F.col("found")[0].edits == 0) & ~F.col("token").endswith(".")
-    kept = F.when(exact, F.slice("found", 1, 1)).otherwise(F.col("found"))
-    return found.select("token", F.transform(kept, lambda f: F.struct(f.word.alias("word"), f.edits.alias("edits"))).alias("repairs"))
+    found = near.unionByName(cut).unionByName(exact.select("token", F.col("token").alias("word"), F.lit(0).alias("edits"))).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("edits", "word"))).alias("found"))
+    return found.select("token", F.transform("found", lambda f: F.struct(f.word.alias("word"), f.edits.alias("edits"))).alias("repairs"))
 
 
 class Entries:

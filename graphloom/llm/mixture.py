@@ -229,8 +229,8 @@ def mix(sized: DataFrame, targets: DataFrame, id_column: str = "doc_id", total:
     drawn = weighed.withColumn("part", F.col("weight") - whole)
     # systematic sampling: one more use where the running sum of the expected extra uses passes a whole number
     banded = drawn.withColumn("band", F.floor(F.log2(F.col("tokens"))))
-    run = bucketed_rank(banded, ["source", "band"], id_column, F.col("part"), "before")
-    offset = F.pmod(F.xxhash64("source", "band"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    run = bucketed_rank(banded, ["source", "lang", "band"], id_column, F.col("part"), "before")
+    offset = F.pmod(F.xxhash64("source", "lang", "band"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     extra = F.floor(F.col("before") + F.col("part") + offset) - F.floor(F.col("before") + offset)
     repeats = {r.source: r.repeats for r in goals}
     cap = F.col("source").cast("string")
@@ -283,3 +283,18 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.where("source is not null").select("source", "target_share", "max_repeats").join(used, "source", "left").select(
         "source", "target_share", "max_repeats", zero("documents"), zero("uses"), zero("tokens"), F.coalesce(F.col("tokens") / F.lit(float(total or 1)), F.lit(0.0)).alias("share"), zero("most_uses")
     )
+
+
+def fit_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(dimension, value, corpus_share, reached_share, relative_miss): how the mixture meets the language and topic marginals.
+
+    The goal of a language or topic is its share of the tokens of the usable corpus (sources with a target); null is a
+    value of its own. ``sized``: id_column, source, lang, topic, tokens.
+    """
+    usable = sized.where("tokens > 0").join(F.broadcast(targets.where("source is not null").select("source").distinct()), "source", "left_semi")
+    uses = mixed.groupBy(F.col(id_column).alias("_id")).agg(F.max("copies").alias("_copies"))
+    told = usable.join(uses, F.col(id_column) == F.col("_id"), "left").select("tokens", (F.col("tokens") * F.coalesce("_copies", F.lit(0))).alias("used"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value")) for d, c in (("language", "lang"), ("topic", "topic"))])).alias("x"))
+    sums = told.groupBy("x.dimension", "x.value").agg(F.sum("tokens").alias("tokens"), F.sum("used").alias("used"))
+    totals = sums.groupBy("dimension").agg(F.sum("tokens").alias("all_tokens"), F.sum("used").alias("all_used"))  # two rows
+    corpus, reached = F.col("tokens") / F.col("all_tokens"), F.when(F.col("all_used") > 0, F.col("used") / F.col("all_used")).otherwise(0.0)
+    return sums.join(F.broadcast(totals), "dimension").select("dimension", "value", corpus.alias("corpus_share"), reached.alias("reached_share"), (F.abs(reached - corpus) / corpus).alias("relative_miss"))

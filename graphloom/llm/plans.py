@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.llm import canonical, format_duplicates, frequency, mixture, mojibake, packing, scans, sizes
+from graphloom.storage import materialize
 from graphloom.tables import table
 
 
@@ -93,6 +94,14 @@ def _mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(sized, table(spark, d, "mixture_targets"))
 
 
+def p9_fit(spark: SparkSession, d: str) -> DataFrame:
+    """How near the mixture comes to the corpus's shares of every language and topic."""
+    documents = table(spark, d, "documents")
+    sized = materialize(sizes.token_sizes(documents, keep=["source", "lang", "paper"]).withColumnRenamed("paper", "topic"), "sized")
+    targets = table(spark, d, "mixture_targets")
+    return mixture.fit_report(mixture.mix(sized, targets), sized, targets)
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture with their number of uses."""
     return _mixed(spark, d)
@@ -113,7 +122,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p3_ngrams, p4_found, p4_records, p5_found, p5_mapped, p7_found, p7_mended, p8_packed, p8_fill, p9_mixture, p9_shares, p9_fit, p10_found, p10_restored)}
 _TYPES = """with t as (
   select 'nodes.type' as field, type as term, graph_doc_id from graph_nodes where type is not null
   union all select 'relationships.type', type, graph_doc_id from graph_relationships where type is not null),

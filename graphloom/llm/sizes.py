@@ -3,40 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.functions.tokens import DEFAULT_TOKENIZER, count_tokens
 from graphloom.tables import wide_enough
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: how byte-level BPE cuts a text before merging.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@cache
-def _encoder(path: str):
-    if path.endswith(".tiktoken"):
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def count_tokens(text: str | None, path: str = DEFAULT_TOKENIZER) -> int:
-    """Tokens of a whole text; 0 for null."""
-    return len(_encoder(path)(text.encode("utf-8", "replace").decode("utf-8"))) if text else 0
-
-
 def token_sizes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = DEFAULT_TOKENIZER, keep: list[str] | None = None) -> DataFrame:
     """(id, kept columns, tokens) of every document; null and empty texts have 0 tokens."""
     keep = keep or []
