@@ -312,7 +312,7 @@ def metadata_entries(objects: DataFrame, bridge: DataFrame) -> DataFrame:
 
 def nodes(objects: DataFrame, bridge: DataFrame) -> DataFrame:
     """Every node of every document."""
-    held = objects.where("kind = 'node'").select("hash", F.col("id").alias("node_id"), F.col("type").alias("node_type"), F.size("children").alias("entries"))
+    held = objects.where("kind = 'node'").select("hash", F.col("id").alias("node_id"), F.col("type").alias("node_type"), F.size(F.filter("children", lambda c: ~F.contains(c, F.lit(":")))).alias("entries"))  # entries stand without a field
     return _attached(bridge.where("role = 'node'"), held).select("line_id", "doc_pos", F.col("owner_pos").alias("node_pos"), "node_id", "node_type", "entries", "hash")
 
 

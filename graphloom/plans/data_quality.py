@@ -57,7 +57,7 @@ def p2_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Flat table of nodes."""
-    return nested.nodes(*_shredded(spark, d))
+    return nested.nodes(*_shredded(spark, d)).drop("hash")
 
 
 def p2_relationships(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,31 @@ j as (select table_name, row_id, field, r.t, count(g.key) as rows, coalesce(bool
 s as (select table_name, row_id, field, t, case when rows = 0 then 'missing' when later then 'late' else 'deleted' end as state from j where not valid)
 """
 
+_DOCS = r"""with raw as (select line_id, ltrim(line, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) as line from graph_jsonl),
+one as (select line_id, case when json_valid(line) then line::json end as v from raw),
+two as (select line_id, case when json_type(v) = 'VARCHAR' then case when json_valid(ltrim(v->>'$', chr(65279) || ' ' || chr(9) || chr(10) || chr(13))) then (v->>'$')::json end else v end as v from one where v is not null),
+many as (select line_id, case when json_type(v) = 'OBJECT' and json_type(v->'documents') = 'ARRAY' and not json_exists(v, '$.nodes') then v->'documents' when json_type(v) = 'ARRAY' then v else json_array(v) end as docs from two where v is not null),
+each as (select line_id, unnest(range(json_array_length(docs)::bigint))::int as doc_pos, docs from many),
+doc as (select line_id, doc_pos, docs->doc_pos as d from each where json_type(docs->doc_pos) = 'OBJECT'),
+body as (select line_id, doc_pos, case when json_type(d->'graph') = 'OBJECT' then d->'graph' else d end as b from doc)
+"""
+
 ORACLES = {
+    "p2_nodes": _DOCS
+    + r""", held as (select line_id, doc_pos, case json_type(b->'nodes') when 'ARRAY' then b->'nodes' when 'OBJECT' then json_array(b->'nodes') end as ns from body),
+node as (select line_id, doc_pos, unnest(range(json_array_length(ns)::bigint))::int as node_pos, ns from held where ns is not null),
+n as (select line_id, doc_pos, node_pos, ns->node_pos as n from node where json_type(ns->node_pos) = 'OBJECT'),
+m as (select *, n->'metadata' as m from n)
+select line_id, doc_pos, node_pos, n->>'id' as node_id, n->>'type' as node_type,
+  (case json_type(m) when 'ARRAY' then len(list_filter(m::json[], lambda x: json_type(x) = 'OBJECT' and coalesce(json_type(x->'key'), 'NULL') <> 'NULL'))
+   when 'OBJECT' then case when json_type(m->'key') = 'VARCHAR' and len(list_filter(json_keys(m), lambda k: k not in ('key', 'value'))) = 0 then 1 else len(json_keys(m)) end else 0 end)::int as entries from m""",
+    "p2_relationships": _DOCS
+    + r""", held as (select line_id, doc_pos, case json_type(b->'relationships') when 'ARRAY' then b->'relationships' when 'OBJECT' then json_array(b->'relationships') end as rs from body),
+rel as (select line_id, doc_pos, unnest(range(json_array_length(rs)::bigint))::int as rel_pos, rs from held where rs is not null),
+r as (select line_id, doc_pos, rel_pos, rs->rel_pos as r from rel where json_type(rs->rel_pos) = 'OBJECT')
+select line_id, doc_pos, rel_pos, r->>'type' as rel_type,
+  case json_type(r->'source') when 'OBJECT' then r->'source'->>'id' when 'VARCHAR' then r->>'source' end as source_id, case json_type(r->'source') when 'OBJECT' then r->'source'->>'type' end as source_type,
+  case json_type(r->'target') when 'OBJECT' then r->'target'->>'id' when 'VARCHAR' then r->>'target' end as target_id, case json_type(r->'target') when 'OBJECT' then r->'target'->>'type' end as target_type from r""",
     "p1_found": _ITEMS + "select owner_kind, owner_id, attribute as meta_key, case when bool_or(ok) then 'filled' else 'unreadable' end as state from r group by 1, 2, 3",
     "p6_found": _REFS + "select table_name, row_id, field, state from s",
     "p6_orphans_by_month": _REFS + "select table_name, field, strftime(t, '%Y-%m') as month, state, count(*) as orphans from s group by all",
