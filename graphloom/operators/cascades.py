@@ -8,9 +8,12 @@ with their rule and the least is kept per item by a window over that item's own
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from graphloom.functions import text as fn
+from graphloom.functions import records, text as fn
 from graphloom.operators.skew import hub_join
 
 
@@ -62,17 +65,69 @@ def shared_pointers(edge_table: DataFrame, inside: DataFrame) -> DataFrame:
     return looked.join(inside.withColumnRenamed("id", "many"), ["doc", "many"]).select("src", "rel", "dst", "doc")
 
 
-def entities_for_chunks(chunks: DataFrame, mention_table: DataFrame) -> DataFrame:
-    """(chunk_id, id, type, rule): entities of each chunk through the pointers that name it."""
+def contained_pointers(ids: DataFrame, pointers: DataFrame, id_column: str = "chunk_id", doc: str = "doc", block: int = 100_000) -> DataFrame:
+    """(chunk_id, doc): every pointer that holds an id anywhere in it, ``_1`` in ``_10`` included.
+
+    The ids are the patterns of an automaton, ``block`` of them at a time, whatever their number; every pointer passes
+    each automaton once. Nothing is compared in pairs. Empty ids are left out.
+    """
+    spark = ids.sparkSession
+    given = ids.where(F.length(id_column) > 0).select(F.col(id_column).alias("chunk_id")).distinct()
+    blocks = max(1, -(-given.count() // block))
+    texts = pointers.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc")).distinct()
+    out = None
+    for n in range(blocks):
+        held = spark.sparkContext.broadcast([r[0] for r in given.where(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)) == n).collect()])
+
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for word in held.value:
+                machine.add_word(word, word)
+            if held.value:
+                machine.make_automaton()
+            for batch in batches:
+                rows = [(word, text) for text in batch.column(0).to_pylist() for word in ({w for _, w in machine.iter(text)} if held.value else ())]
+                yield pa.RecordBatch.from_pydict({"chunk_id": pa.array([w for w, _ in rows], pa.string()), "doc": pa.array([t for _, t in rows], pa.string())})
+
+        one = texts.mapInArrow(find, "chunk_id string, doc string")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _by_own_source(chunks: DataFrame, found: DataFrame, node_sources: DataFrame) -> DataFrame:
+    """(chunk_id, id): for chunks without anything ``found``, the nodes whose own source id names the chunk."""
+    ids = chunks.where(F.length("id") > 0).select(F.col("id").alias("chunk_id")).distinct().join(found.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    keyed = pointer_keys(node_sources.select("source_id").distinct(), "source_id").where("rule = 1").select("source_id", F.col("key").alias("chunk_id"))
+    return ids.join(keyed, "chunk_id").join(node_sources.select("source_id", "id"), "source_id").select("chunk_id", "id").distinct()
+
+
+def entities_for_chunks(chunks: DataFrame, mention_table: DataFrame, node_sources: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, id, type, rule): entities of each chunk through the pointers that name it.
+
+    ``node_sources`` (id, type, source_id): where a node carries its own source id; rule 3, for chunks that have nothing else.
+    """
     linked = chunk_pointers(chunks, mention_table.select("doc"))
-    return mention_table.join(linked, "doc").select("chunk_id", "id", "type", "rule").distinct()
+    found = mention_table.join(linked, "doc").select("chunk_id", "id", "type", "rule").distinct()
+    if node_sources is None:
+        return found
+    types = node_sources.select("id", "type").distinct()
+    return found.unionByName(_by_own_source(chunks, found, node_sources).join(types, "id").select("chunk_id", "id", "type", F.lit(3).alias("rule")))
 
 
-def relations_for_chunks(chunks: DataFrame, mention_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """(chunk_id, src, rel, dst, rule): relations both of whose ends a chunk's pointer mentions."""
+def relations_for_chunks(chunks: DataFrame, mention_table: DataFrame, edge_table: DataFrame, node_sources: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, src, rel, dst, rule): relations both of whose ends a chunk's pointer mentions; with ``node_sources``, for
+    chunks that have none, those one of whose ends names the chunk as its own source (rule 3)."""
     linked = chunk_pointers(chunks, mention_table.select("doc"))
     inside = mention_table.select("doc", "id").distinct().join(linked.select("doc").distinct(), "doc", "left_semi")
-    return shared_pointers(edge_table, inside).join(linked, "doc").select("chunk_id", "src", "rel", "dst", "rule").distinct()
+    found = shared_pointers(edge_table, inside).join(linked, "doc").select("chunk_id", "src", "rel", "dst", "rule").distinct()
+    if node_sources is None:
+        return found
+    own = _by_own_source(chunks, found, node_sources)
+    e = edge_table.select("src", "rel", "dst").distinct()
+    ends = [hub_join(e, own.withColumnRenamed("id", end), end, ["src", "rel", "dst"]).select("chunk_id", "src", "rel", "dst") for end in ("src", "dst")]
+    return found.unionByName(ends[0].unionByName(ends[1]).distinct().withColumn("rule", F.lit(3)))
 
 
 def node_source_chunk(node_table: DataFrame, mention_table: DataFrame, chunks: DataFrame, chunk_id: str = "id", content: str = "content", order: list[str] | None = None) -> DataFrame:
@@ -85,11 +140,12 @@ def node_source_chunk(node_table: DataFrame, mention_table: DataFrame, chunks: D
     return node_table.alias("n").join(best.alias("b"), (F.col("n.type").eqNullSafe(F.col("b.type"))) & (F.col("n.id") == F.col("b.id")), "left").select("n.type", "n.id", "b.chunk_id")
 
 
-def relation_source(edge_table: DataFrame, mention_table: DataFrame) -> DataFrame:
+def relation_source(edge_table: DataFrame, mention_table: DataFrame, redirect_images: bool = False) -> DataFrame:
     """(src, rel, dst, doc, rule): the pointer of each relation: one that mentions both ends, else the source, else the target.
 
     The smallest pointer of the first rule that finds one; null where none does. Each rule keeps one
-    row per relation before the rules meet.
+    row per relation before the rules meet. ``redirect_images``: a pointer to the images of a file gives way to the
+    smallest pointer of the target that is none, where there is one.
     """
     e = edge_table.select("src", "rel", "dst").distinct()
     m = mention_table.select("doc", "id").distinct()
@@ -100,7 +156,11 @@ def relation_source(edge_table: DataFrame, mention_table: DataFrame) -> DataFram
     same = F.col("e.src").eqNullSafe(F.col("b.src")) & F.col("e.rel").eqNullSafe(F.col("b.rel")) & F.col("e.dst").eqNullSafe(F.col("b.dst"))
     out = e.alias("e").join(both.alias("b"), same, "left").select("e.src", "e.rel", "e.dst", "b.doc1").join(s, "src", "left").join(t, "dst", "left")
     rule = F.when(F.col("doc1").isNotNull(), 1).when(F.col("doc2").isNotNull(), 2).when(F.col("doc3").isNotNull(), 3)
-    return out.select("src", "rel", "dst", F.coalesce("doc1", "doc2", "doc3").alias("doc"), rule.alias("rule"))
+    told = out.select("src", "rel", "dst", F.coalesce("doc1", "doc2", "doc3").alias("doc"), rule.alias("rule"))
+    if not redirect_images:
+        return told
+    real = m.where(~records.is_image_source(F.col("doc"))).groupBy(F.col("id").alias("dst")).agg(F.min("doc").alias("real"))
+    return told.join(real, "dst", "left").select("src", "rel", "dst", F.when(records.is_image_source(F.col("doc")), F.coalesce("real", "doc")).otherwise(F.col("doc")).alias("doc"), "rule")
 
 
 def chunk_by_pointer(pointers: DataFrame, chunks: DataFrame, doc: str = "doc") -> DataFrame:

@@ -242,3 +242,39 @@ def clock_columns(spark: SparkSession, d: str) -> DataFrame:
     """Times as text and latencies in milliseconds."""
     e = table(spark, d, "events")
     return e.select("event_id", records.latency_ms(F.col("value")).alias("latency_ms"), records.stamp(F.col("ts")).alias("stamp"), records.stamp(F.col("ts"), compact=True).alias("compact"))
+
+
+@query(
+    CTE
+    + """, w as (select id, regexp_extract_all(lower(id), '[\\p{L}\\p{N}]+') as w from ids),
+c as (select id, len(w) as n, len(list_filter(w, lambda x: x = 'attention')) as a, len(list_filter(w, lambda x: x = 'sparse')) as b from w),
+s as (select count(*) as docs, avg(n) as mean, count(*) filter (where a > 0) as da, count(*) filter (where b > 0) as db from c)
+select id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) as score
+from c, s where a > 0 or b > 0 order by score desc, id limit 5"""
+)
+def entity_fulltext(spark: SparkSession, d: str) -> DataFrame:
+    """The five entities that a question names best, by full text over node ids."""
+    from graphloom import pipeline
+
+    return pipeline.resolve(Graph(spark, d).nodes, "Sparse attention?")
+
+
+@query(
+    CTE
+    + """, m as (select distinct doc, id from mentions), e as (select distinct src, rel, dst from edges), lm as (select id, min(doc) as doc from m group by id),
+b as (select src, rel, dst, min(m1.doc) as doc from e join m m1 on m1.id = src join m m2 on m2.id = dst and m2.doc = m1.doc group by 1, 2, 3),
+r as (select e.src, e.rel, e.dst, coalesce(b.doc, s.doc, t.doc) as doc from e left join b on e.src = b.src and e.rel is not distinct from b.rel and e.dst = b.dst left join lm s on s.id = e.src left join lm t on t.id = e.dst),
+real as (select id, min(doc) as doc from m where not (suffix(doc, '::images') or contains(doc, '.md')) group by 1)
+select r.src, r.rel, r.dst, case when suffix(r.doc, '::images') or contains(r.doc, '.md') then coalesce(real.doc, r.doc) else r.doc end as doc from r left join real on real.id = r.dst"""
+)
+def relation_source_redirected(spark: SparkSession, d: str) -> DataFrame:
+    """The pointer of each relation, image sources redirected to the target's chunk."""
+    g = Graph(spark, d)
+    return cascades.relation_source(g.edges, g.mentions, redirect_images=True).select("src", "rel", "dst", "doc")
+
+
+@query(CTE + "select distinct c.id as chunk_id, m.doc from (select distinct id from chunks where length(id) > 0) c join (select distinct doc from mentions) m on contains(m.doc, c.id)")
+def chunks_contained_in_pointers(spark: SparkSession, d: str) -> DataFrame:
+    """Pointers that hold a chunk's id anywhere."""
+    g = Graph(spark, d)
+    return cascades.contained_pointers(g.chunks.select(F.col("id").alias("chunk_id")), g.mentions)

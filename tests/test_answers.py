@@ -136,3 +136,17 @@ def test_scratch_tables_are_deleted(spark):
         assert storage.materialize(spark.range(3), "x").count() == 3
         path = storage._written[-1][1]
     assert len(storage._written) == before - 0 and not flows._exists(spark, path)
+
+
+def test_nodes_with_their_own_source(spark, edges):
+    from graphloom.operators import cascades
+
+    chunks = spark.createDataFrame([("c_1",), ("c_2",), ("",)], "id string")
+    mentions = spark.createDataFrame([("f.jsonl::c_1", "chunk", "P", "Ann")], "doc string, source_type string, type string, id string")
+    own = spark.createDataFrame([("Ann", "P", "f.jsonl::c_2"), ("Bob", "P", "c_2"), ("Bob", "P", "c_1")], "id string, type string, source_id string")
+    got = {tuple(r) for r in cascades.entities_for_chunks(chunks, mentions, own).collect()}
+    assert got == {("c_1", "Ann", "P", 1), ("c_2", "Ann", "P", 3), ("c_2", "Bob", "P", 3)}
+    rels = {tuple(r) for r in cascades.relations_for_chunks(chunks, mentions, edges, own).collect()}
+    assert ("c_2", "Bob", "WROTE", "Book", 3) in rels and ("c_1", "Bob", "WROTE", "Book", 3) in rels
+    held = cascades.contained_pointers(spark.createDataFrame([("_1",), ("x",), (None,)], "chunk_id string"), spark.createDataFrame([("a_10",), ("a_2",), (None,)], "doc string"), block=1)
+    assert {tuple(r) for r in held.collect()} == {("_1", "a_10")}
