@@ -134,7 +134,7 @@ def faithfulness_ratio(spark: SparkSession, d: str) -> DataFrame:
     texts = g.chunks.where(F.length("content") > 0).groupBy(F.col("id").alias("chunk_id")).agg(F.min_by("content", F.struct("chunk_index", "chunk_key")).alias("content"))
     told = cascades.node_source_chunk(g.nodes, g.mentions, g.chunks).where("chunk_id is not null").join(texts, "chunk_id")
     checked = told.select(stub.grounded(F.col("id"), F.col("content")).alias("ok"))
-    return checked.agg(F.count(F.lit(1)).alias("checked"), F.count_if("ok").alias("grounded"), F.round(F.count_if("ok") / F.count(F.lit(1)), 6).alias("node_faithfulness"))
+    return checked.agg(F.count(F.lit(1)).alias("checked"), F.count_if("ok").alias("grounded"), F.round(F.when(F.count(F.lit(1)) > 0, F.count_if("ok") / F.greatest(F.count(F.lit(1)), F.lit(1))), 6).alias("node_faithfulness"))
 
 
 @query(

@@ -6,7 +6,7 @@ from graphloom.plans import REGISTRY
 
 DATA_OPERATORS = sorted(q for q in REGISTRY if q[0] == "p" and q[1].isdigit())
 # one value per scalar aggregate stays on empty tables; everything else has no rows
-ONE_ROW = {"ping", "validation_report", "graph_node_counts", "graph_rel_counts", "rel_type_catalog", "direct_edge_count", "coverage_scores", "relation_coverage", "faithfulness_ratio", "relation_faithfulness", "plausibility_score", "eval_overall_rate"}
+ONE_ROW = {"ping", "validation_report", "graph_node_counts", "graph_rel_counts", "rel_type_catalog", "direct_edge_count", "coverage_scores", "relation_coverage", "faithfulness_ratio", "relation_faithfulness", "plausibility_score", "eval_overall_rate", "full_report", "report_flags"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - {"rel_type_allow_deny"}))
