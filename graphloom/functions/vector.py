@@ -27,6 +27,9 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length one; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """The vector at length one; a zero vector stays.
+
+    The lists of one keep the vector and its length, so that neither is worked out again for every element.
+    """
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.transform(F.array(a), lambda v: F.transform(F.array(norm(v)), lambda n: scaled(v, n))[0])[0]

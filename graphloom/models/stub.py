@@ -57,13 +57,21 @@ def judge_score(question: Column, answer_text: Column) -> Column:
 
 
 def embedding(text: Column, width: int = 64) -> Column:
-    """A unit vector by signed feature hashing of words; zeros for no words, null for null."""
+    """A unit vector by signed feature hashing of words; zeros for no words, null for null.
+
+    Every word becomes the letter of its place and sign, once; what a place holds is how often its two letters occur. The
+    words are read in one pass, whatever the width (10,000 at most).
+    """
     from graphloom.functions.vector import unit
 
+    letters = [chr(33 + i) for i in range(2 * width)]  # of the places with a plus, then of those with a minus
+    alphabet = F.array(*[F.lit(c) for c in letters])
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    total = lambda i: F.aggregate(F.filter(hashed, lambda h: h["i"] == i), F.lit(0.0), lambda a, h: a + h["s"])
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), total))
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(width)) + F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 0).otherwise(width)
+    written = F.array_join(F.transform(words, lambda w: F.element_at(alphabet, (place(w) + 1).cast("int"))), "")
+    uses = lambda s, c: (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))) / F.lit(len(c.encode()))
+    totals = F.transform(F.array(written), lambda s: F.array(*[uses(s, letters[i]) - uses(s, letters[width + i]) for i in range(width)]))  # the list of one holds the text, which is read many times
+    return F.when(text.isNotNull(), unit(totals[0]))
 
 
 def relations(text: Column) -> Column:

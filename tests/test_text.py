@@ -266,3 +266,17 @@ def test_chunks_of_the_same_id_in_two_files(spark):
     p = spark.createDataFrame([("a.jsonl::1",), ("b.jsonl::1",), ("c.jsonl::1",)], "doc string")
     got = {(r.doc, r.status, r.content) for r in cascades.chunk_by_pointer(p, c).collect()}
     assert got == {("a.jsonl::1", "OK", "one"), ("b.jsonl::1", "OK", "two"), ("c.jsonl::1", "NOT_FOUND_IN_FILE", None)}
+
+
+def test_embeddings_read_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "b a a"), (2, ""), (3, None), (4, "!?"), (5, "Graph nodes link words " * 2000)], "k int, t string").select("k", stub.embedding(F.col("t")).alias("e"), stub.embedding(F.col("t"), 3).alias("narrow"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    got = {r.k: r for r in rows.collect()}
+    assert got[3].e is None and got[2].e == got[4].e == [0.0] * 64 and len(got[5].narrow) == 3
+    hashed = spark.createDataFrame([("a",), ("b",)], "w string").select(F.pmod(F.xxhash64("w"), F.lit(64)).alias("i"), (F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0).alias("plus")).collect()
+    want = [0.0] * 64
+    for r, n in zip(hashed, (2, 1)):
+        want[r.i] += n if r.plus else -n
+    length = sum(x * x for x in want) ** 0.5
+    assert got[1].e == [x / length for x in want]
