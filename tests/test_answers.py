@@ -1,6 +1,7 @@
 """Patterns, extraction, answers, judges, records and streams of upserts."""
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -150,3 +151,11 @@ def test_nodes_with_their_own_source(spark, edges):
     assert ("c_2", "Bob", "WROTE", "Book", 3) in rels and ("c_1", "Bob", "WROTE", "Book", 3) in rels
     held = cascades.contained_pointers(spark.createDataFrame([("_1",), ("x",), (None,)], "chunk_id string"), spark.createDataFrame([("a_10",), ("a_2",), (None,)], "doc string"), block=1)
     assert {tuple(r) for r in held.collect()} == {("_1", "a_10")}
+
+
+def test_long_texts_are_retrieved_in_time(spark):
+    began = time.monotonic()
+    texts = spark.range(200).select((F.col("id") + 1).alias("vec_id"), F.concat(F.lit("node "), F.repeat(F.lit("some words of a long text "), 1000), F.when(F.col("id") == 7, F.repeat(F.lit("zebra "), 5000)).otherwise("")).alias("content"))
+    asked = spark.createDataFrame([(1, "zebra")], "question_id bigint, question string")
+    hits = pipeline.retrieve(texts.withColumn("embedding", stub.embedding(F.col("content"))), asked, 1).collect()
+    assert [h.vec_id for h in hits] == [8] and time.monotonic() - began < 90
