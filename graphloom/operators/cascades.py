@@ -8,13 +8,14 @@ with their rule and the least is kept per item by a window over that item's own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions import records, text as fn
 from graphloom.operators.skew import hub_join
+from graphloom.storage import materialize
 
 
 def pointer_keys(pointers: DataFrame, doc: str = "doc") -> DataFrame:
@@ -65,6 +66,62 @@ def shared_pointers(edge_table: DataFrame, inside: DataFrame) -> DataFrame:
     return looked.join(inside.withColumnRenamed("id", "many"), ["doc", "many"]).select("src", "rel", "dst", "doc")
 
 
+#: Pairs are listed for groups of at most so many ids; larger ones are met edge by edge (:func:`shared_pointers`).
+LARGEST = 500
+
+
+def _numbers(column: Column, seed: int) -> Column:
+    """(k, o): the number that stands for an id while pairs are looked for, and another that tells ids of one number apart."""
+    return F.struct(F.xxhash64(F.lit(seed), column).alias("k"), F.hash(F.lit(-1 - seed), column).alias("o"))
+
+
+def _indexed(edge_table: DataFrame, groups: Callable[[Callable[[Column], Column]], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(named, pairs, groups) with ids as numbers: named (lo, hi, lo_name, hi_name, rels), pairs (a, b), groups with ``ids``.
+
+    ``groups`` makes the table, with a ``no`` of its own for each row, from the function that turns an id into its numbers.
+    The two tables without names are written; where two ids have one number, they are made anew with the next seed, so that
+    numbers are as good as ids. A pair's relations, of either direction, are one row.
+    """
+    seed = 0
+    while True:
+        number = lambda c, seed=seed: _numbers(c, seed)
+        pairs = materialize(edge_table.select(number(F.col("src")).alias("s"), number(F.col("dst")).alias("d")).distinct(), "pairs")
+        held = materialize(groups(number), "groups")
+        every = pairs.select("s.*").unionByName(pairs.select("d.*")).unionByName(held.select(F.explode("ids").alias("i")).select("i.*"))
+        if every.groupBy("k").agg(F.min("o").alias("x"), F.max("o").alias("y")).where("x <> y").isEmpty():
+            break
+        seed += 1
+    keyed = edge_table.select("src", "rel", "dst", _numbers(F.col("src"), seed)["k"].alias("a"), _numbers(F.col("dst"), seed)["k"].alias("b"))
+    forward = F.col("a") <= F.col("b")
+    names = [F.first(F.when(forward, F.col(x)).otherwise(F.col(y))).alias(n) for x, y, n in (("src", "dst", "lo_name"), ("dst", "src", "hi_name"))]
+    named = keyed.groupBy(*_ends()).agg(*names, F.collect_set(F.struct(forward.alias("forward"), "rel")).alias("rels"))
+    return named, pairs.select(F.col("s.k").alias("a"), F.col("d.k").alias("b")), held.withColumn("ids", F.col("ids.k"))
+
+
+def _ends() -> list[Column]:
+    """A pair (a, b) whatever its direction."""
+    return [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
+
+
+def _pairs_inside(pairs: DataFrame, groups: DataFrame, carried: list[str]) -> DataFrame:
+    """(lo, hi, carried...): pairs of ids that lie in a group: all of a small group, those of ``pairs`` of a large one."""
+    small = groups.where(F.size("ids") <= LARGEST)
+    listed = small.select(*carried, "ids", F.explode("ids").alias("lo")).select(*carried, "lo", F.explode("ids").alias("hi")).where("lo <= hi").select("lo", "hi", *carried)
+    large = groups.where(F.size("ids") > LARGEST)
+    if large.isEmpty():
+        return listed
+    asked = pairs.select(*_ends()).distinct().select(F.col("lo").alias("src"), F.lit(0).alias("rel"), F.col("hi").alias("dst"))
+    found = shared_pointers(asked, large.select(F.col("no").alias("doc"), F.explode("ids").alias("id"))).select(F.col("src").alias("lo"), F.col("dst").alias("hi"), F.col("doc").alias("no"))
+    return listed.unionByName(found.join(large.select(*{"no", *carried}), "no").select("lo", "hi", *carried))
+
+
+def _with_names(joined: DataFrame, carried: list[str]) -> DataFrame:
+    """(src, rel, dst, carried...): the relations of named pairs."""
+    rows = joined.select("lo_name", "hi_name", *carried, F.explode("rels").alias("r"))
+    ends = [F.when(F.col("r.forward"), F.col(x)).otherwise(F.col(y)) for x, y in (("lo_name", "hi_name"), ("hi_name", "lo_name"))]
+    return rows.select(ends[0].alias("src"), "r.rel", ends[1].alias("dst"), *carried)
+
+
 def contained_pointers(ids: DataFrame, pointers: DataFrame, id_column: str = "chunk_id", doc: str = "doc", block: int = 100_000) -> DataFrame:
     """(chunk_id, doc): every pointer that holds an id anywhere in it, ``_1`` in ``_10`` included.
 
@@ -119,9 +176,15 @@ def entities_for_chunks(chunks: DataFrame, mention_table: DataFrame, node_source
 def relations_for_chunks(chunks: DataFrame, mention_table: DataFrame, edge_table: DataFrame, node_sources: DataFrame | None = None) -> DataFrame:
     """(chunk_id, src, rel, dst, rule): relations both of whose ends a chunk's pointer mentions; with ``node_sources``, for
     chunks that have none, those one of whose ends names the chunk as its own source (rule 3)."""
+    m = mention_table.where("doc is not null and id is not null")
     linked = chunk_pointers(chunks, mention_table.select("doc"))
-    inside = mention_table.select("doc", "id").distinct().join(linked.select("doc").distinct(), "doc", "left_semi")
-    found = shared_pointers(edge_table, inside).join(linked, "doc").select("chunk_id", "src", "rel", "dst", "rule").distinct()
+
+    def groups(number: Callable[[Column], Column]) -> DataFrame:
+        return m.groupBy("doc").agg(F.collect_set(number(F.col("id"))).alias("ids")).join(linked, "doc").select("chunk_id", "rule", "ids", F.monotonically_increasing_id().alias("no"))
+
+    named, pairs, held = _indexed(edge_table, groups)
+    inside = _pairs_inside(pairs, held, ["chunk_id", "rule"]).repartition("lo", "hi").distinct()  # a chunk's pointers share pairs
+    found = _with_names(inside.join(named.hint("shuffle_hash"), ["lo", "hi"]), ["chunk_id", "rule"]).select("chunk_id", "src", "rel", "dst", "rule")
     if node_sources is None:
         return found
     own = _by_own_source(chunks, found, node_sources)
@@ -143,24 +206,31 @@ def node_source_chunk(node_table: DataFrame, mention_table: DataFrame, chunks: D
 def relation_source(edge_table: DataFrame, mention_table: DataFrame, redirect_images: bool = False) -> DataFrame:
     """(src, rel, dst, doc, rule): the pointer of each relation: one that mentions both ends, else the source, else the target.
 
-    The smallest pointer of the first rule that finds one; null where none does. Each rule keeps one
-    row per relation before the rules meet. ``redirect_images``: a pointer to the images of a file gives way to the
-    smallest pointer of the target that is none, where there is one.
+    The smallest pointer of the first rule that finds one; null where none does. ``redirect_images``: a pointer to the
+    images of a file gives way to the smallest pointer of the target that is none, where there is one.
+
+    Pointers are numbered in their order, and each lists the pairs of ids it holds: what is shuffled follows the pointers,
+    not how often the ends of an edge are mentioned elsewhere. Names come back at the end, once per pair.
     """
-    e = edge_table.select("src", "rel", "dst").distinct()
-    m = mention_table.select("doc", "id").distinct()
-    least = m.groupBy("id").agg(F.min("doc").alias("doc"))
-    both = shared_pointers(edge_table, m).groupBy("src", "rel", "dst").agg(F.min("doc").alias("doc1"))
-    s = least.select(F.col("id").alias("src"), F.col("doc").alias("doc2"))
-    t = least.select(F.col("id").alias("dst"), F.col("doc").alias("doc3"))
-    same = F.col("e.src").eqNullSafe(F.col("b.src")) & F.col("e.rel").eqNullSafe(F.col("b.rel")) & F.col("e.dst").eqNullSafe(F.col("b.dst"))
-    out = e.alias("e").join(both.alias("b"), same, "left").select("e.src", "e.rel", "e.dst", "b.doc1").join(s, "src", "left").join(t, "dst", "left")
-    rule = F.when(F.col("doc1").isNotNull(), 1).when(F.col("doc2").isNotNull(), 2).when(F.col("doc3").isNotNull(), 3)
-    told = out.select("src", "rel", "dst", F.coalesce("doc1", "doc2", "doc3").alias("doc"), rule.alias("rule"))
-    if not redirect_images:
-        return told
-    real = m.where(~records.is_image_source(F.col("doc"))).groupBy(F.col("id").alias("dst")).agg(F.min("doc").alias("real"))
-    return told.join(real, "dst", "left").select("src", "rel", "dst", F.when(records.is_image_source(F.col("doc")), F.coalesce("real", "doc")).otherwise(F.col("doc")).alias("doc"), "rule")
+    m = mention_table.where("doc is not null and id is not null")
+    docs = lambda number: m.groupBy("doc").agg(F.collect_set(number(F.col("id"))).alias("ids")).orderBy("doc").withColumn("no", F.monotonically_increasing_id())
+    named, pairs, docs = _indexed(edge_table, docs)
+    both = _pairs_inside(pairs, docs, ["no"]).groupBy("lo", "hi").agg(F.min("no").alias("no"))
+    first = materialize(pairs.select("a", "b", *_ends()).join(both, ["lo", "hi"], "left").select("a", "b", "no"), "first")
+    of_id = docs.select("no", F.explode("ids").alias("id"))
+    least = of_id.groupBy("id").agg(F.min("no").alias("no"))
+    rest = first.where("no is null").select("a", "b").join(least.select(F.col("id").alias("a"), F.col("no").alias("s")), "a", "left").join(least.select(F.col("id").alias("b"), F.col("no").alias("t")), "b", "left")
+    rule = F.when(F.col("s").isNotNull(), 2).when(F.col("t").isNotNull(), 3)
+    told = first.where("no is not null").select("a", "b", "no", F.lit(1).alias("rule")).unionByName(rest.select("a", "b", F.coalesce("s", "t").alias("no"), rule.alias("rule")))
+    if redirect_images:
+        shown = docs.select("no", records.is_image_source(F.col("doc")).alias("image"))
+        real = of_id.join(shown.where("not image"), "no").groupBy(F.col("id").alias("b")).agg(F.min("no").alias("real"))
+        given = told.join(shown.where("image"), "no", "left")
+        moved = given.where("image").join(real, "b", "left").select("a", "b", F.coalesce("real", "no").alias("no"), "rule")
+        told = given.where("image is null").select("a", "b", "no", "rule").unionByName(moved)
+    written = told.join(docs.select("no", "doc"), "no", "left").select(*_ends(), (F.col("a") <= F.col("b")).alias("forward"), "doc", "rule")
+    told_here = named.join(written, ["lo", "hi"]).withColumn("rels", F.filter("rels", lambda r: r["forward"] == F.col("forward")))
+    return _with_names(told_here, ["doc", "rule"])
 
 
 def chunk_by_pointer(pointers: DataFrame, chunks: DataFrame, doc: str = "doc") -> DataFrame:
@@ -195,6 +265,20 @@ def chunk_by_terms(chunks: DataFrame, words: list[str], per_file: int = 3) -> Da
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_file).drop("_n")
 
 
+def linked_pairs(asked: DataFrame, chunks: DataFrame, mention_table: DataFrame, edge_table: DataFrame, key: Callable[[Column, Column], Column]) -> DataFrame:
+    """(chunk_id, item): those of the ``asked`` items (chunk_id, item) that the graph links in the chunk: ``key`` of an edge both of whose ends one pointer of the chunk mentions.
+
+    It starts at what is asked: only edges of an asked item are looked up in the chunk's pointers.
+    """
+    wanted = asked.where("item is not null").select("chunk_id", "item").distinct()
+    pairs = edge_table.select("src", "dst").distinct().select("src", "dst", key(F.col("src"), F.col("dst")).alias("item"))
+    linked = chunk_pointers(chunks, mention_table.select("doc"), suffix_rule=False).select("chunk_id", "doc")
+    held = mention_table.where("doc is not null and id is not null").groupBy("doc").agg(F.collect_set("id").alias("ids"))
+    inside = linked.join(held, "doc").select("chunk_id", "ids")
+    both = F.array_contains("ids", F.col("src")) & F.array_contains("ids", F.col("dst"))
+    return wanted.join(pairs, "item").join(inside, "chunk_id").where(both).select("chunk_id", "item").distinct()
+
+
 def coverage(mentioned: DataFrame, covered: DataFrame) -> DataFrame:
     """(chunks, coverage): mean share of each chunk's mentioned items that are covered; 0 where nothing is mentioned.
 

@@ -52,7 +52,7 @@ def mentions(sources: DataFrame, raw_nodes: DataFrame) -> DataFrame:
     The pointer side carries defaults: source id ``unknown``, source type ``chunk``.
     """
     docs = sources.select("graph_doc_id", F.coalesce("source_id", F.lit("unknown")).alias("doc"), F.coalesce("source_type", F.lit("chunk")).alias("source_type"))
-    return raw_nodes.where(given(F.col("id"))).select("graph_doc_id", "type", "id").distinct().join(docs, "graph_doc_id").select("doc", "source_type", "type", "id").distinct()
+    return raw_nodes.where(given(F.col("id"))).select("graph_doc_id", "type", "id").join(docs, "graph_doc_id").select("doc", "source_type", "type", "id").distinct()
 
 
 def explode_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

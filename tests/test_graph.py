@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import cascades, graph_build as build, graph_match as match, graph_metrics as metrics
 
@@ -125,3 +126,64 @@ def test_upsert_is_idempotent(spark):
     once = build.upsert(old, new, ["key"])
     assert {tuple(r) for r in once.collect()} == {("k", "9"), ("m", "2"), ("n", "3")}
     assert {tuple(r) for r in build.upsert(once, new, ["key"]).collect()} == {tuple(r) for r in once.collect()}
+
+
+MENTIONS = "doc string, source_type string, type string, id string"
+
+
+def written_rows(spark) -> int:
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """Pointers of eight ids each, ids of many pointers, edges among all of them: few pointers hold a given edge."""
+    docs = {f"f_{i}.jsonl::f_{i}_{i % 7}": {f"x{(i * 37 + j * j * (i % 11 + 1)) % 100}" for j in range(8)} for i in range(400)}
+    docs["unknown"] = {f"x{j}" for j in range(90)}
+    m = spark.createDataFrame([(d, "chunk", "C", x) for d, xs in docs.items() for x in xs] + [("z.md::images", "chunk", "C", "x99")], MENTIONS)
+    docs["z.md::images"] = {"x99"}
+    rows = [(f"x{a}", r, f"x{b}") for a in range(100) for b in range(100) for r in (["R", None] if (a + b) % 9 == 0 else ["R"])] + [("x1", "R", "gone"), ("gone", None, "lost")]
+    return docs, m, rows, edges(spark, rows)
+
+
+def first_pointers(docs, rows):
+    holds = {}
+    for d in sorted(docs):
+        for x in docs[d]:
+            holds.setdefault(x, []).append(d)
+    out = set()
+    for s, r, t in rows:
+        both = [d for d in holds.get(s, []) if t in docs[d]]
+        found = next(((x[0], n) for n, x in enumerate((both, holds.get(s, []), holds.get(t, [])), 1) if x), (None, None))
+        out.add((s, r, t, *found))
+    return out
+
+
+def test_relation_source_shuffles_what_pointers_hold(spark, dense):
+    docs, m, rows, e = dense
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written_rows(spark)
+        got = [tuple(r) for r in cascades.relation_source(e, m).collect()]
+        assert written_rows(spark) - before < 150_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(rows) and set(got) == first_pointers(docs, rows)
+
+
+def test_relation_source_of_large_pointers_and_equal_numbers(spark, dense, monkeypatch):
+    docs, m, rows, e = dense
+    plain, seeds = cascades._numbers, []
+
+    def numbers(column, seed):
+        seeds.append(seed)
+        other = plain(column, seed)
+        return F.struct(F.pmod(other["k"], F.lit(50)).alias("k"), other["o"].alias("o")) if seed == 0 else other
+
+    monkeypatch.setattr(cascades, "LARGEST", 7)
+    monkeypatch.setattr(cascades, "_numbers", numbers)
+    assert {tuple(r) for r in cascades.relation_source(e, m).collect()} == first_pointers(docs, rows) and max(seeds) == 1
