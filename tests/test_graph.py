@@ -187,3 +187,43 @@ def test_relation_source_of_large_pointers_and_equal_numbers(spark, dense, monke
     monkeypatch.setattr(cascades, "LARGEST", 7)
     monkeypatch.setattr(cascades, "_numbers", numbers)
     assert {tuple(r) for r in cascades.relation_source(e, m).collect()} == first_pointers(docs, rows) and max(seeds) == 1
+
+
+def chunk_relations(docs, rows, chunks):
+    return {(c, s, r, t) for c in chunks for d in docs if c in (d, d.rpartition("::")[2]) for s, r, t in rows if s in docs[d] and t in docs[d]}
+
+
+def test_relations_of_chunks_shuffle_what_pointers_hold(spark, dense, monkeypatch):
+    docs, m, rows, e = dense
+    more = m.unionByName(m.where("doc like 'f_1_.jsonl%'").select(F.regexp_replace("doc", r"\.jsonl::", "::batch::").alias("doc"), "source_type", "type", "id"))  # second pointers of the same chunks
+    held = {**docs, **{d.replace(".jsonl::", "::batch::"): x for d, x in docs.items() if d.startswith("f_1") and d[4:10] == ".jsonl"}}
+    ids = [f"f_{i}_{i % 7}" for i in range(400)]
+    chunks = spark.createDataFrame([(i, c, "t", ("f",), 0) for i, c in enumerate([*ids, "unknown", None, ""])], CHUNK)
+    want = chunk_relations(held, rows, [*ids, "unknown"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written_rows(spark)
+        got = [(r.chunk_id, r.src, r.rel, r.dst) for r in cascades.relations_for_chunks(chunks, more, e).collect()]
+        shuffled = written_rows(spark) - before
+        monkeypatch.setattr(cascades, "LARGEST", 7)
+        again = [(r.chunk_id, r.src, r.rel, r.dst) for r in cascades.relations_for_chunks(chunks, more, e).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled < 120_000 and len(got) == len(again) == len(want) and set(got) == set(again) == want
+
+
+def test_linked_pairs_start_at_what_is_asked(spark, dense):
+    docs, m, rows, e = dense
+    key = lambda a, b: F.concat_ws("|", F.lower(F.trim(a)), F.lower(F.trim(b)))
+    ids = [f"f_{i}_{i % 7}" for i in range(400)]
+    chunks = spark.createDataFrame([(i, c, "t", ("f",), 0) for i, c in enumerate(ids)], CHUNK)
+    asked = spark.createDataFrame([(c, f"x{a}|x{(a * 3 + i) % 100}") for i, c in enumerate(ids) for a in range(0, 100, 7)] + [(ids[0], None)], "chunk_id string, item string")
+    there = {(c, f"{s}|{t}") for c, s, _, t in chunk_relations(docs, rows, ids)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written_rows(spark)
+        got = {tuple(r) for r in cascades.linked_pairs(asked, chunks, m, e, key).collect()}
+        assert written_rows(spark) - before < 100_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == there & {tuple(r) for r in asked.collect()} and got
