@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphloom import storage
 from graphloom.functions import records
 from graphloom.models import judges, stub
 from graphloom.operators import cascades, evaluation, extraction, patterns
@@ -73,10 +74,7 @@ def relation_coverage(spark: SparkSession, d: str) -> DataFrame:
     key = lambda a, b: F.concat_ws("\x1f", F.lower(F.trim(a)), F.lower(F.trim(b)))
     found = g.chunks.where((F.length("content") > 0) & (F.length("id") > 0)).select(F.col("id").alias("chunk_id"), F.explode(stub.relations(F.col("content"))).alias("r"))
     mentioned = found.select("chunk_id", key(F.col("r.source"), F.col("r.target")).alias("item"))
-    linked = cascades.chunk_pointers(g.chunks, g.mentions.select("doc"), suffix_rule=False)
-    inside = g.mentions.select("doc", "id").distinct().join(linked.select("doc").distinct(), "doc", "left_semi")
-    covered = cascades.shared_pointers(g.edges, inside).join(linked, "doc").select("chunk_id", key(F.col("src"), F.col("dst")).alias("item"))
-    return cascades.coverage(mentioned, covered)
+    return cascades.coverage(mentioned, cascades.linked_pairs(mentioned, g.chunks, g.mentions, g.edges, key))
 
 
 @query(
@@ -122,18 +120,18 @@ def sampled_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("select a.chunks as coverage_chunks, a.coverage as entity_coverage, b.coverage as relation_coverage, c.node_faithfulness, e.relation_faithfulness, f.plausibility, v.* from "
        f"({retrieval.ORACLES['coverage_scores']}) a, ({ORACLES['relation_coverage']}) b, ({retrieval.ORACLES['faithfulness_ratio']}) c, ({retrieval.ORACLES['relation_faithfulness']}) e, ({retrieval.ORACLES['plausibility_score']}) f, ({GRAPH_ORACLES['validation_report']}) v")
 def full_report(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage, faithfulness, plausibility and structure of the graph in one row."""
+    """Coverage, faithfulness, plausibility and structure of the graph in one row, each worked out by itself."""
     from graphloom import pipeline
 
     parts = [
-        retrieval.QUERIES["coverage_scores"](spark, d).select(F.col("chunks").alias("coverage_chunks"), F.col("coverage").alias("entity_coverage")),
-        relation_coverage(spark, d).select(F.col("coverage").alias("relation_coverage")),
-        retrieval.QUERIES["faithfulness_ratio"](spark, d).select("node_faithfulness"),
-        retrieval.QUERIES["relation_faithfulness"](spark, d).select("relation_faithfulness"),
-        retrieval.QUERIES["plausibility_score"](spark, d).select("plausibility"),
-        GRAPH_QUERIES["validation_report"](spark, d),
+        lambda: retrieval.QUERIES["coverage_scores"](spark, d).select(F.col("chunks").alias("coverage_chunks"), F.col("coverage").alias("entity_coverage")),
+        lambda: relation_coverage(spark, d).select(F.col("coverage").alias("relation_coverage")),
+        lambda: retrieval.QUERIES["faithfulness_ratio"](spark, d).select("node_faithfulness"),
+        lambda: retrieval.QUERIES["relation_faithfulness"](spark, d).select("relation_faithfulness"),
+        lambda: retrieval.QUERIES["plausibility_score"](spark, d).select("plausibility"),
+        lambda: GRAPH_QUERIES["validation_report"](spark, d),
     ]
-    return pipeline.merged_report(parts)
+    return pipeline.merged_report([storage.one_row(spark, part) for part in parts])
 
 
 @query(

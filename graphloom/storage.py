@@ -8,10 +8,11 @@ checkpoint), and lets later stages prune columns. The folder is the one the sess
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,20 @@ def scratch() -> Iterator[None]:
         _delete(before)
 
 
+def one_row(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """A report of one row, worked out here and now; what its working wrote and shuffled is given back before the next one's.
+
+    Spark keeps shuffle files until the driver has collected the plans that made them, so the driver's garbage is collected.
+    """
+    with scratch():
+        report = make()
+        row = spark.createDataFrame(report.collect(), report.schema)
+    del report
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return row
+
+
 def _delete(keep: int) -> None:
     while len(_written) > keep:
         spark, path = _written.pop()

@@ -159,3 +159,9 @@ def test_long_texts_are_retrieved_in_time(spark):
     asked = spark.createDataFrame([(1, "zebra")], "question_id bigint, question string")
     hits = pipeline.retrieve(texts.withColumn("embedding", stub.embedding(F.col("content"))), asked, 1).collect()
     assert [h.vec_id for h in hits] == [8] and time.monotonic() - began < 90
+
+
+def test_a_report_gives_back_what_it_wrote(spark):
+    before = len(storage._written)
+    row = storage.one_row(spark, lambda: storage.materialize(spark.range(1).selectExpr("id", "cast(null as double) as x"), "x"))
+    assert len(storage._written) == before and [tuple(r) for r in row.collect()] == [(0, None)]
