@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.operators.graph_metrics import undirected
 from graphloom.operators.skew import hot_keys, hub_join, salted_join
 from graphloom.storage import materialize
 
@@ -117,14 +116,16 @@ def top_concepts(ranked: DataFrame, n: int = 2) -> DataFrame:
     return marked.orderBy("rank").limit(n).select("id", "type", "rank")
 
 
-def hops_from(edge_table: DataFrame, start: DataFrame, most: int = 4) -> DataFrame:
-    """(id, hops) of every node within ``most`` undirected hops of ``start`` (one row: id).
+def _links(edge_table: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """((a, b) both ways of every two nodes that an edge links, written once; its hot keys)."""
+    pairs = edge_table.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*")
+    links = materialize(both, "links")
+    return links, hot_keys(links.groupBy("a").agg(F.count(F.lit(1)).alias("count")), "a")
 
-    Breadth-first: each round joins the frontier only and drops what was seen; each round is written
-    so that the plan stays flat and survives lost executors.
-    """
-    links = materialize(undirected(edge_table).select("a", "b").where("a <> b").distinct(), "links")
-    hubs = hot_keys(links.groupBy("a").agg(F.count(F.lit(1)).alias("count")), "a")
+
+def _hops(links: DataFrame, hubs: list[tuple], start: DataFrame, most: int) -> DataFrame:
+    """(id, hops) along :func:`_links`."""
     seen = start.select("id", F.lit(0).alias("hops"))
     frontier = start.select("id")
     for hop in range(1, most + 1):
@@ -134,6 +135,15 @@ def hops_from(edge_table: DataFrame, start: DataFrame, most: int = 4) -> DataFra
     return seen
 
 
+def hops_from(edge_table: DataFrame, start: DataFrame, most: int = 4) -> DataFrame:
+    """(id, hops) of every node within ``most`` undirected hops of ``start`` (one row: id).
+
+    Breadth-first: each round joins the frontier only and drops what was seen; each round is written
+    so that the plan stays flat and survives lost executors.
+    """
+    return _hops(*_links(edge_table), start, most)
+
+
 def shortest_path(edge_table: DataFrame, start: str, end: str, most: int = 4) -> DataFrame:
     """(hops, path): the lexicographically smallest shortest path between two nodes, as an array of ids.
 
@@ -147,15 +157,14 @@ def shortest_path(edge_table: DataFrame, start: str, end: str, most: int = 4) ->
     if start == end:
         return spark.createDataFrame([(0, [start])], out_schema)
     one = lambda x: spark.createDataFrame([(x,)], "id string")
-    ahead = hops_from(edge_table, one(start), most)
+    links, hubs = _links(edge_table)
+    ahead = _hops(links, hubs, one(start), most)
     target = ahead.where(F.col("id") == end).select("hops").first()
     if target is None:
         return spark.createDataFrame([], out_schema)
     length = target.hops
-    back = hops_from(edge_table, one(end), length)
+    back = _hops(links, hubs, one(end), length)
     layer = ahead.withColumnRenamed("hops", "h").join(back, "id").where(F.col("h") + F.col("hops") == length).select("id", "h")
-    links = materialize(undirected(edge_table).select("a", "b").where("a <> b").distinct(), "links")
-    hubs = hot_keys(links.groupBy("a").agg(F.count(F.lit(1)).alias("count")), "a")
     paths = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     for h in range(1, length + 1):
         step = salted_join(links, paths.withColumnRenamed("id", "a"), "a", hubs, F.col("b")).join(layer.where(F.col("h") == h), F.col("b") == F.col("id")).drop("id")

@@ -6,7 +6,7 @@ default. Every stage takes and returns DataFrames; nothing is collected on the w
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -98,11 +98,13 @@ def evidence_cascade(tables: GraphTables, question: str, pattern: patterns.Patte
 
     The entities are resolved by full text; the rows of the pattern, if one is given, come first. Only where it has none
     do the fallbacks run: direct edges, shared documents, shortest path, neighbourhood, images, the chunks behind the
-    shared documents, and the subgraph. What comes to the driver are the two best entities.
+    shared documents, and the subgraph. What comes to the driver are the best entities, five at most.
     """
     spark = tables.nodes.sparkSession
-    named = resolve(tables.nodes, question)
-    ends = [r.id for r in named.select("id").limit(2).collect()]
+    resolved = resolve(tables.nodes, question)
+    best = resolved.collect()
+    named = spark.createDataFrame(best, resolved.schema)
+    ends = [r.id for r in best[:2]]
     if pattern is not None:
         wanted = sorted({r for s in pattern.steps for r in s.rels})
         known = {r.rel for r in tables.edges.where(F.col("rel").isin(wanted)).select("rel").distinct().collect()}
@@ -113,13 +115,15 @@ def evidence_cascade(tables: GraphTables, question: str, pattern: patterns.Patte
     if not ends:
         return entities
     pair = spark.createDataFrame([tuple(sorted((ends[0], ends[-1])))], "a string, b string")
-    out = entities.unionByName(graph_evidence(tables, pair, ["direct", "comention"] if len(ends) > 1 else ["neighbour"]))
+    about = replace(tables, mentions=tables.mentions.where(F.col("id").isin(ends)))  # filtered before mentions are made distinct
+    out = entities.unionByName(graph_evidence(about, pair, ["direct", "comention"] if len(ends) > 1 else ["neighbour"]))
     if len(ends) > 1:
         out = out.unionByName(match.shortest_path(tables.edges, *ends).select(F.lit("path").alias("kind"), F.array_join("path", " - ").alias("evidence")))
         out = out.unionByName(graph_evidence(tables, pair, ["neighbour"]))
         if chunk_table is not None:
-            docs = match.comention_documents(tables.mentions, pair).select("doc")
-            told = cascades.chunk_by_pointer(docs, chunk_table).where("status = 'OK' and content is not null")
+            docs = match.comention_documents(about.mentions, pair)
+            asked = chunk_table.join(F.broadcast(docs.select(F.col("chunk_id").alias("id"))), "id", "left_semi")  # ten pointers at most
+            told = cascades.chunk_by_pointer(docs.select("doc"), asked).where("status = 'OK' and content is not null")
             out = out.unionByName(told.select(F.lit("chunk").alias("kind"), F.col("content").alias("evidence")))
     if images_of is not None:
         shown = match.image_evidence(tables.edges, tables.mentions, named.select("id"), images_of)
@@ -136,7 +140,7 @@ def hybrid_answer(tables: GraphTables, vector_table: DataFrame, question: str, k
     """
     spark = tables.nodes.sparkSession
     asked = spark.createDataFrame([(1, question)], "question_id bigint, question string")
-    hits = retrieve(vector_table, asked, k, **providers).join(vector_table.select("vec_id", "content"), "vec_id").select(F.lit("vector").alias("kind"), F.col("content").alias("evidence"))
+    hits = F.broadcast(retrieve(vector_table, asked, k, **providers)).join(vector_table.select("vec_id", "content"), "vec_id").select(F.lit("vector").alias("kind"), F.col("content").alias("evidence"))
     found = hits.unionByName(evidence_cascade(tables, question, chunk_table=chunk_table))
     context = found.groupBy().agg(F.array_sort(F.collect_list(F.struct("kind", "evidence"))).alias("e"))
     told = context.select(F.lit(question).alias("question"), F.transform("e", lambda x: x["evidence"]).alias("evidence"), F.array_distinct(F.transform("e", lambda x: x["kind"])).alias("kinds"))

@@ -158,12 +158,13 @@ def hybrid_answer(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.operators import graph_match
 
     g = Graph(spark, d)
-    pair = graph_match.strongest_pair(g.edges).first()
+    edges = storage.materialize(g.edges, "edges")  # read by every kind of evidence
+    pair = graph_match.strongest_pair(edges).first()
     if pair is None:
         return spark.createDataFrame([], "question string, answer string, evidence array<string>, kinds array<string>")
     question = f"How is {pair.a} related to {pair.b}?"
     chunks = g.chunks.where(F.length("content") > 0).select(F.col("chunk_key").alias("vec_id"), F.col("content"), stub.embedding(F.col("content")).alias("embedding"))
-    return pipeline.hybrid_answer(pipeline.GraphTables(g.nodes, g.edges, g.mentions, g.items), chunks, question, chunk_table=g.chunks)
+    return pipeline.hybrid_answer(pipeline.GraphTables(g.nodes, edges, g.mentions, g.items), chunks, question, chunk_table=g.chunks)
 
 
 _JUDGED = """with c as (select doc_id as test_idx, coalesce(source, 'none') as category, coalesce(paper, '') as q, coalesce(text, '') as a from documents),

@@ -11,6 +11,7 @@ from graphloom import pipeline, sinks, sources, storage
 from graphloom.functions import records, tokens
 from graphloom.models import judges, stub
 from graphloom.operators import chunking, extraction, graph_metrics, patterns
+from graphloom.plans import answers
 from graphloom.streaming import flows
 
 EDGES = "src_type string, src string, rel string, dst_type string, dst string"
@@ -70,6 +71,21 @@ def test_answers_and_cases(spark, edges):
     assert pipeline.merged_report([graph_metrics.report(nodes, edges, mentions, nodes, edges.select(F.struct(F.col("src").alias("id")).alias("source"), F.struct(F.col("dst").alias("id")).alias("target")), ["orphan_ratio"]), spark.sql("select 1 as k")]).first().k == 1
 
 
+def test_answer_reads_the_relationships_once(spark, data):
+    found = answers.hybrid_answer(spark, data)
+    assert not any("graph_relationships" in f for f in found.inputFiles())  # each kind of evidence reads the edges that were written
+    assert {"vector", "entity", "neighbour", "subgraph"} <= set(found.first().kinds)
+
+
+def test_chunks_behind_shared_documents(spark, edges):
+    mentions = spark.createDataFrame([("f.jsonl::c1", "chunk", "B", "Book"), ("f.jsonl::c1", "chunk", "B", "Other"), ("f.jsonl::c2", "chunk", "P", "Ann")], "doc string, source_type string, type string, id string")
+    tables = pipeline.GraphTables(edges.select(F.col("dst_type").alias("type"), F.col("dst").alias("id")).distinct(), edges, mentions, edges)
+    chunk = "id string, content string, metadata struct<source: string>, chunk_index int, chunk_key bigint"
+    chunks = spark.createDataFrame([("c1", "there", ("f",), 0, 1), ("c1", "elsewhere", ("g",), 0, 2), ("c2", "other", ("f",), 1, 3), (None, "none", ("f",), 2, 4)], chunk)
+    told = pipeline.evidence_cascade(tables, "Book Other", chunk_table=chunks).collect()
+    assert [r.evidence for r in told if r.kind in ("comention", "chunk")] == ["f.jsonl::c1", "there"]
+
+
 def test_judges_have_their_own_thresholds(spark, tmp_path):
     cases = spark.createDataFrame([(1, "a", "what is a graph", "a graph is a set", "According to [1], a graph is a set."), (2, "a", "x", "", None)], "test_idx int, category string, query string, context string, final_answer string")
     rows = judges.judge(cases)

@@ -77,6 +77,14 @@ def test_shortest_path_is_the_smallest(spark):
     assert match.shortest_path(e, "s", "s").first().path == ["s"]
 
 
+def test_shortest_path_writes_its_links_once(spark, monkeypatch):
+    written, write = [], match.materialize
+    monkeypatch.setattr(match, "materialize", lambda df, label, *rest: written.append(label) or write(df, label, *rest))
+    e = edges(spark, [("s", "R", "m"), ("m", "R", "t"), ("m", "Q", "s"), (None, "R", "t"), ("t", "R", "t")])
+    assert match.shortest_path(e, "s", "t").first().path == ["s", "m", "t"]
+    assert written.count("links") == 1
+
+
 def test_allow_list_and_patterns(spark):
     assert match.allowed_types(["A", "B", "C"], ["C", "A"]) == (["A", "C"], ["B"])
     e = edges(spark, [("a", "R", "b"), ("b", "R", "a"), ("a", "S", "a")])
