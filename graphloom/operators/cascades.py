@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions import records, text as fn
 from graphloom.operators.skew import hub_join
-from graphloom.storage import materialize
+from graphloom.storage import give_back, materialize
 
 
 def pointer_keys(pointers: DataFrame, doc: str = "doc") -> DataFrame:
@@ -57,8 +57,8 @@ def shared_pointers(edge_table: DataFrame, inside: DataFrame) -> DataFrame:
     checks the other end by (doc, id); so a hub's pointers are never multiplied by its edges.
     """
     count = inside.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    e = edge_table.select("src", "rel", "dst").distinct()
-    e = hub_join(e, count.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src", ["rel", "dst"])
+    e = materialize(edge_table.select("src", "rel", "dst").distinct(), "asked")  # a join of hubs reads its left side three times
+    e = materialize(hub_join(e, count.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src", ["rel", "dst"]), "asked-here")
     e = hub_join(e, count.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst", ["src", "rel"])
     by_source = F.col("ns") <= F.col("nd")
     asked = e.select("src", "rel", "dst", F.when(by_source, F.col("src")).otherwise(F.col("dst")).alias("few"), F.when(by_source, F.col("dst")).otherwise(F.col("src")).alias("many"))
@@ -213,21 +213,23 @@ def relation_source(edge_table: DataFrame, mention_table: DataFrame, redirect_im
     not how often the ends of an edge are mentioned elsewhere. Names come back at the end, once per pair.
     """
     m = mention_table.where("doc is not null and id is not null")
-    docs = lambda number: m.groupBy("doc").agg(F.collect_set(number(F.col("id"))).alias("ids")).orderBy("doc").withColumn("no", F.monotonically_increasing_id())
+    image = records.is_image_source(F.col("doc")).cast("int")  # a number's last bit: a pointer tells what it leads to without being looked up
+    docs = lambda number: m.groupBy("doc").agg(F.collect_set(number(F.col("id"))).alias("ids")).orderBy("doc").withColumn("no", F.shiftleft(F.monotonically_increasing_id(), 1) + image)
     named, pairs, docs = _indexed(edge_table, docs)
     both = _pairs_inside(pairs, docs, ["no"]).groupBy("lo", "hi").agg(F.min("no").alias("no"))
     first = materialize(pairs.select("a", "b", *_ends()).join(both, ["lo", "hi"], "left").select("a", "b", "no"), "first")
-    of_id = docs.select("no", F.explode("ids").alias("id"))
-    least = of_id.groupBy("id").agg(F.min("no").alias("no"))
-    rest = first.where("no is null").select("a", "b").join(least.select(F.col("id").alias("a"), F.col("no").alias("s")), "a", "left").join(least.select(F.col("id").alias("b"), F.col("no").alias("t")), "b", "left")
+    del both
+    give_back(edge_table.sparkSession)
+    shows = lambda no: F.lit(redirect_images) & (F.col(no) % 2 == 1)
+    least = docs.select("no", F.explode("ids").alias("id")).groupBy("id").agg(F.min("no").alias("no"), F.min(F.when(F.col("no") % 2 == 0, F.col("no"))).alias("real"))
+    of_source, of_target = least.select(F.col("id").alias("a"), F.col("no").alias("s")), least.select(F.col("id").alias("b"), F.col("no").alias("t"), "real")
+    rest = first.where("no is null").select("a", "b").join(of_source, "a", "left").join(of_target, "b", "left")
     rule = F.when(F.col("s").isNotNull(), 2).when(F.col("t").isNotNull(), 3)
-    told = first.where("no is not null").select("a", "b", "no", F.lit(1).alias("rule")).unionByName(rest.select("a", "b", F.coalesce("s", "t").alias("no"), rule.alias("rule")))
+    rest = rest.select("a", "b", F.coalesce("s", "t").alias("no"), "real", rule.alias("rule")).select("a", "b", F.when(shows("no"), F.coalesce("real", "no")).otherwise(F.col("no")).alias("no"), "rule")
+    told = first.where(F.col("no").isNotNull() & ~shows("no")).select("a", "b", "no", F.lit(1).alias("rule")).unionByName(rest)
     if redirect_images:
-        shown = docs.select("no", records.is_image_source(F.col("doc")).alias("image"))
-        real = of_id.join(shown.where("not image"), "no").groupBy(F.col("id").alias("b")).agg(F.min("no").alias("real"))
-        given = told.join(shown.where("image"), "no", "left")
-        moved = given.where("image").join(real, "b", "left").select("a", "b", F.coalesce("real", "no").alias("no"), "rule")
-        told = given.where("image is null").select("a", "b", "no", "rule").unionByName(moved)
+        shown = first.where(shows("no")).join(of_target, "b", "left")
+        told = told.unionByName(shown.select("a", "b", F.coalesce("real", "no").alias("no"), F.lit(1).alias("rule")))
     written = told.join(docs.select("no", "doc"), "no", "left").select(*_ends(), (F.col("a") <= F.col("b")).alias("forward"), "doc", "rule")
     told_here = named.join(written, ["lo", "hi"]).withColumn("rels", F.filter("rels", lambda r: r["forward"] == F.col("forward")))
     return _with_names(told_here, ["doc", "rule"])

@@ -29,13 +29,16 @@ def nodes_last_wins(raw: DataFrame, order: list[str]) -> DataFrame:
     return raw.where(given(F.col("id"))).groupBy("id").agg(F.max_by("type", rank).alias("type"), F.min(order[0]).alias("first_at"))
 
 
+def edge_rows(raw: DataFrame) -> DataFrame:
+    """(src_type, src, rel, dst_type, dst) of every relationship with given endpoints, as often as it occurs: for readers that merge edges themselves."""
+    return raw.where(given(F.col("source.id")) & given(F.col("target.id"))).select(
+        F.col("source.type").alias("src_type"), F.col("source.id").alias("src"), F.col("type").alias("rel"), F.col("target.type").alias("dst_type"), F.col("target.id").alias("dst")
+    )
+
+
 def edges(raw: DataFrame) -> DataFrame:
     """(src_type, src, rel, dst_type, dst): distinct edges with given endpoints."""
-    return (
-        raw.where(given(F.col("source.id")) & given(F.col("target.id")))
-        .select(F.col("source.type").alias("src_type"), F.col("source.id").alias("src"), F.col("type").alias("rel"), F.col("target.type").alias("dst_type"), F.col("target.id").alias("dst"))
-        .distinct()
-    )
+    return edge_rows(raw).distinct()
 
 
 def edges_with_endpoints(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom import storage
 from graphloom.functions import records
 from graphloom.models import judges, stub
-from graphloom.operators import cascades, evaluation, extraction, patterns
+from graphloom.operators import cascades, evaluation, extraction, graph_build, patterns
 from graphloom.plans import retrieval
 from graphloom.plans.graph import CTE, ORACLES as GRAPH_ORACLES, QUERIES as GRAPH_QUERIES, Graph
 from graphloom.tables import table
@@ -269,7 +269,7 @@ select r.src, r.rel, r.dst, case when suffix(r.doc, '::images') or contains(r.do
 def relation_source_redirected(spark: SparkSession, d: str) -> DataFrame:
     """The pointer of each relation, image sources redirected to the target's chunk."""
     g = Graph(spark, d)
-    return cascades.relation_source(g.edges, g.mentions, redirect_images=True).select("src", "rel", "dst", "doc")
+    return cascades.relation_source(graph_build.edge_rows(g.raw_edges), g.mentions, redirect_images=True).select("src", "rel", "dst", "doc")
 
 
 @query(CTE + "select distinct c.id as chunk_id, m.doc from (select distinct id from chunks where length(id) > 0) c join (select distinct doc from mentions) m on contains(m.doc, c.id)")

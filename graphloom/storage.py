@@ -53,17 +53,19 @@ def scratch() -> Iterator[None]:
 
 
 def one_row(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """A report of one row, worked out here and now; what its working wrote and shuffled is given back before the next one's.
-
-    Spark keeps shuffle files until the driver has collected the plans that made them, so the driver's garbage is collected.
-    """
+    """A report of one row, worked out here and now; what its working wrote and shuffled is given back before the next one's."""
     with scratch():
         report = make()
         row = spark.createDataFrame(report.collect(), report.schema)
     del report
+    give_back(spark)
+    return row
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it keeps them until the driver has collected the plans that made them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return row
 
 
 def _delete(keep: int) -> None:

@@ -197,6 +197,29 @@ def test_relation_source_of_large_pointers_and_equal_numbers(spark, dense, monke
     assert {tuple(r) for r in cascades.relation_source(e, m).collect()} == first_pointers(docs, rows) and max(seeds) == 1
 
 
+@pytest.mark.parametrize("largest, most", [(500, 88_000), (7, 231_000)])
+def test_redirected_source_is_told_by_its_number(spark, dense, monkeypatch, largest, most):
+    docs, m, rows, e = dense
+    shown = {f"a_{i}.md::images": {f"x{(i * 7 + j) % 100}" for j in range(3)} for i in range(40)} | {"b.md": {"lost"}}
+    held = {**docs, **shown}
+    more = m.unionByName(spark.createDataFrame([(d, "image", "C", x) for d, xs in shown.items() for x in xs], MENTIONS))
+    image = lambda d: d is not None and (d.endswith("::images") or ".md" in d)
+    real = {}
+    for d in sorted(held, reverse=True):
+        real.update({} if image(d) else dict.fromkeys(held[d], d))
+    want = {(s, r, t, real.get(t, d) if image(d) else d, n) for s, r, t, d, n in first_pointers(held, rows)}
+    assert {x[4] for x in want if image(x[3])} == {2, 3} and want != first_pointers(held, rows)
+    monkeypatch.setattr(cascades, "LARGEST", largest)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written_rows(spark)
+        got = [tuple(r) for r in cascades.relation_source(e.unionByName(e), more, redirect_images=True).collect()]
+        shuffled = written_rows(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled < most and len(got) == len(rows) and set(got) == want
+
+
 def chunk_relations(docs, rows, chunks):
     return {(c, s, r, t) for c in chunks for d in docs if c in (d, d.rpartition("::")[2]) for s, r, t in rows if s in docs[d] and t in docs[d]}
 
